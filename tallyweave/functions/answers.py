@@ -63,17 +63,21 @@ def fragments(cell: Column, delimiters: Column) -> Column:
     return F.coalesce(_cut_structured(structured, delimiters), F.split(text, pattern))
 
 
-def cell_values(cell: Column, delimiters: Column, is_multiple: Column) -> Column:
-    """Normalised, non-blank answers of one cell, in cell order; may still hold duplicates."""
+def joined_text(cell: Column, delimiters: Column, is_multiple: Column) -> Column:
+    """NFKC text of a cell; the pieces of a multiple-choice cell are joined by SEPARATOR."""
     raw = F.coalesce(cell, F.lit(""))
-    joined = F.when(is_multiple, F.array_join(fragments(raw, delimiters), SEPARATOR)).otherwise(raw)
-    unwraps = is_multiple & (F.size(delimiters) > 0)
+    joined = F.array_join(fragments(raw, delimiters), SEPARATOR)
+    return nfkc(F.when(is_multiple, joined).otherwise(raw))
+
+
+def values_of(joined: Column, unwraps: Column) -> Column:
+    """Normalised, non-blank answers in a joined text, in cell order; may hold duplicates."""
 
     def value(v: Column) -> Column:
         inner = F.trim(F.substring(v, F.lit(2), F.length(v) - 2), F.lit(" \n"))
         return F.when(unwraps & v.rlike(_WRAPPED), inner).otherwise(v)
 
-    values = F.transform(F.split(nfkc(joined), SEPARATOR), lambda p: let(squeeze(p), value))
+    values = F.transform(F.split(joined, SEPARATOR), lambda p: let(squeeze(p), value))
     return F.filter(values, lambda v: ~is_blank_norm(v))
 
 
@@ -113,5 +117,6 @@ def options_of(values: Column, alias_index: Column) -> Column:
 
 def split_answers(cell: Column, delimiters: Column) -> Column:
     """Distinct answers of a multiple-choice cell, first spelling kept."""
-    options = options_of(cell_values(cell, delimiters, F.lit(True)), F.lit(None))
+    joined = joined_text(cell, delimiters, F.lit(True))
+    options = options_of(values_of(joined, F.size(delimiters) > 0), F.lit(None))
     return F.transform(options, lambda o: o["label"])

@@ -29,7 +29,7 @@ _MINUTES = "(?i)([0-9]+(?:\\.[0-9]+)?)(?:分|minutes?|mins?|m(?![a-z]))"
 
 def tidy(c: Column) -> Column:
     """Round to 12 significant digits, which drops binary floating-point noise."""
-    return F.format_string("%.11e", c).cast("double") + F.lit(0.0)
+    return F.format_string("%.11e", c).try_cast("double") + F.lit(0.0)
 
 
 def _group(t: Column, pattern: str, index: int) -> Column:
@@ -53,10 +53,15 @@ def _scalar(t: Column, unit: Column) -> Column:
     return F.when(is_clock, clock).otherwise(_scaled(t))
 
 
+def bare(text: Column) -> Column:
+    """Drop white space and thousands commas from an NFKC text."""
+    t = F.regexp_replace(text, WS + "+", "")
+    return F.regexp_replace(t, "([0-9]),(?=[0-9]{3}(?![0-9]))", "$1")
+
+
 def compact(c: Column) -> Column:
     """NFKC text without white space and without thousands commas."""
-    t = F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), WS + "+", "")
-    return F.regexp_replace(t, "([0-9]),(?=[0-9]{3}(?![0-9]))", "$1")
+    return bare(nfkc(F.coalesce(c, F.lit(""))))
 
 
 def _lent_scale(left: Column, right: Column) -> Column:

@@ -133,6 +133,10 @@ def natural_key(label: Column) -> Column:
     return F.transform(tokens, comparable)
 
 
-def natural_order(label: Column) -> list[Column]:
-    """Order-by list: natural key, then Japanese collation, then code points as a last tie."""
-    return [natural_key(label).asc(), F.collate(label, "ja").asc(), label.asc()]
+def natural_order(label: Column, key: Column | None = None) -> list[Column]:
+    """Order-by list: natural key, then Japanese collation, then code points as a last tie.
+
+    Pass the key as a stored column where the sort runs in a window or a range partitioning.
+    """
+    key = natural_key(label) if key is None else key
+    return [key.asc(), F.collate(label, "ja").asc(), label.asc()]

@@ -74,24 +74,26 @@ def duration_label(minutes: Column) -> Column:
     return label.when(minutes.isNotNull(), F.lit(DURATION_BINS[-1][1]))
 
 
-def _derived(raw: Column, label) -> Column:
+def _derived(text: Column, label) -> Column:
     """'' for an empty source cell (only '' is blank here), else the label or 'unparsed'."""
     return let(
-        norm_text(raw),
+        text,
         lambda t: F.when(t == "", F.lit("")).otherwise(F.coalesce(label(t), F.lit(UNPARSED))),
     )
 
 
-def work_days_cell(raw: Column) -> Column:
-    return _derived(raw, lambda t: F.concat(work_days(t).cast("string"), F.lit("日")))
+def work_days_label(text: Column) -> Column:
+    """Label from a normalised text."""
+    return _derived(text, lambda t: F.concat(work_days(t).cast("string"), F.lit("日")))
 
 
-def work_minutes_cell(raw: Column) -> Column:
-    return _derived(raw, lambda t: let(work_minutes(t), duration_label))
+def work_minutes_label(text: Column) -> Column:
+    """Label from a normalised text."""
+    return _derived(text, lambda t: let(work_minutes(t), duration_label))
 
 
-def year_month_cell(raw_year: Column, raw_month: Column) -> Column:
-    """'YYYY-MM' from two cells, '' when either is missing or the month is out of range."""
+def year_month_label(year: Column, month: Column) -> Column:
+    """'YYYY-MM' from two numbers, '' when either is missing or the month is out of range."""
 
     def label(year: Column, month: Column) -> Column:
         whole = F.when(year == F.floor(year), year.cast("bigint").cast("string"))
@@ -106,6 +108,17 @@ def year_month_cell(raw_year: Column, raw_month: Column) -> Column:
     def full(year: Column) -> Column:
         return F.when(year < 100, year + 2000).otherwise(year)
 
-    # Both numbers are parsed outside the binding: a Python helper cannot run inside a lambda.
-    parsed = F.struct(parse_number(raw_year).alias("y"), parse_number(raw_month).alias("m"))
-    return let(parsed, lambda p: let(full(p["y"]), lambda y: label(y, p["m"])))
+    pair = F.struct(year.alias("y"), month.alias("m"))
+    return let(pair, lambda p: let(full(p["y"]), lambda y: label(y, p["m"])))
+
+
+def work_days_cell(raw: Column) -> Column:
+    return work_days_label(norm_text(raw))
+
+
+def work_minutes_cell(raw: Column) -> Column:
+    return work_minutes_label(norm_text(raw))
+
+
+def year_month_cell(raw_year: Column, raw_month: Column) -> Column:
+    return year_month_label(parse_number(raw_year), parse_number(raw_month))
