@@ -55,6 +55,9 @@ SINGLE_MAX_DISTINCT = 30
 SINGLE_MAX_DISTINCT_RATIO = 0.6
 PIE_MAX_DISTINCT = 6
 
+# Chart of a question whose kind was changed by hand.
+KINDS_CHART = {"multiple": "hbar", "single": "bar", "numeric": "bar", "free": "none", "ignore": "none"}
+
 # ---- fixed values: reports ---------------------------------------------------------------
 FREE_SAMPLE_ROWS = 20
 FREE_SAMPLE_CHARS = 200
