@@ -11,63 +11,71 @@ from tallyweave.constants import BRACKETS
 from tallyweave.functions.text import SEPARATOR, is_blank_norm, key_of, let, nfkc, squeeze
 
 _QUOTE = '"'
-_CLOSERS = frozenset(BRACKETS.values())
-_UNSTRUCTURED = "^[^" + "".join(re.escape(ch) for ch in [*BRACKETS, *BRACKETS.values(), _QUOTE]) + "]*\\z"
+_STRUCTURE = "[" + "".join("\\" + ch for ch in [*BRACKETS, *BRACKETS.values(), _QUOTE]) + "]"
 _WRAPPED = '^(?:"[^"]*"|“[^"]*”)\\z'
 
 
-def _cut(text: str, marks: re.Pattern, quotes_count: bool) -> tuple[list[str], bool]:
-    """Cut at delimiters outside brackets and quotes; also tell whether a quote stayed open."""
-    pieces, start, depth, quoted = [], 0, 0, False
-    for m in marks.finditer(text):
-        ch = m.group()
-        if ch == _QUOTE:
-            quoted ^= quotes_count
-        elif quoted:
-            continue
-        elif ch in BRACKETS:
-            depth += 1
-        elif ch in _CLOSERS:
-            depth -= depth > 0
-        elif depth == 0:
-            pieces.append(text[start : m.start()])
-            start = m.end()
-    pieces.append(text[start:])
-    return pieces, quoted
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _cut_structured(text: pd.Series, delimiters: pd.Series) -> pd.Series:
-    patterns: dict[tuple, re.Pattern] = {}
-
-    def one(t, ds):
-        if not t:
-            return None
-        ds = tuple(ds)
-        if ds not in patterns:
-            chars = [*ds, *BRACKETS, *BRACKETS.values(), _QUOTE]
-            patterns[ds] = re.compile("[" + "".join(re.escape(c) for c in chars) + "]")
-        pieces, still_open = _cut(t, patterns[ds], True)
-        # A quote that never closes belongs to the text (5"monitor), so it does not protect.
-        return _cut(t, patterns[ds], False)[0] if still_open else pieces
-
-    return pd.Series([one(t, d) for t, d in zip(text, delimiters)], dtype=object)
-
-
-def fragments(cell: Column, delimiters: Column) -> Column:
-    """Raw pieces of a cell. Only cells with brackets or quotes leave the JVM."""
+def _cutter():
+    # Everything the helper needs is local, so it travels to executors by value.
+    openers, closers, quote, sep = dict(BRACKETS), frozenset(BRACKETS.values()), _QUOTE, SEPARATOR
+
+    def cut(text: str, marks, quotes_count: bool) -> tuple[list[str], bool]:
+        """Pieces between delimiters outside brackets and quotes; whether a quote stayed open."""
+        pieces, start, depth, quoted = [], 0, 0, False
+        for m in marks.finditer(text):
+            ch = m.group()
+            if ch == quote:
+                quoted ^= quotes_count
+            elif quoted:
+                continue
+            elif ch in openers:
+                depth += 1
+            elif ch in closers:
+                depth -= depth > 0
+            elif depth == 0:
+                pieces.append(text[start : m.start()])
+                start = m.end()
+        pieces.append(text[start:])
+        return pieces, quoted
+
+    def cut_cells(cells: pd.Series) -> pd.Series:
+        patterns: dict[str, re.Pattern] = {}
+
+        def one(cell):
+            if cell is None:
+                return None
+            delimiters, text = cell.split(sep, 1)
+            if delimiters not in patterns:
+                chars = [*delimiters, *openers, *closers, quote]
+                patterns[delimiters] = re.compile("[" + "".join(map(re.escape, chars)) + "]")
+            pieces, still_open = cut(text, patterns[delimiters], True)
+            if still_open:
+                # A quote that never closes is part of the text (5"monitor): it protects nothing.
+                pieces, _ = cut(text, patterns[delimiters], False)
+            return sep.join(pieces)
+
+        return cells.map(one)
+
+    return F.pandas_udf(cut_cells, T.StringType())
+
+
+_cut_structured = _cutter()
+
+
+def cut_text(cell: Column, delimiters: Column, active: Column) -> Column:
+    """Cell with SEPARATOR at each cut. Only active cells with brackets or quotes leave the JVM."""
     text = F.regexp_replace(cell, "\\r\\n?", "\n")
-    structured = F.regexp_replace(text, _UNSTRUCTURED, "")
-    quoted = F.transform(delimiters, lambda d: F.concat(F.lit("\\Q"), d, F.lit("\\E")))
-    pattern = F.when(F.size(delimiters) == 0, F.lit("(?!)")).otherwise(F.array_join(quoted, "|"))
-    return F.coalesce(_cut_structured(structured, delimiters), F.split(text, pattern))
+    marked = F.concat(F.array_join(delimiters, ""), F.lit(SEPARATOR), text)
+    structured = _cut_structured(F.when(active & text.rlike(_STRUCTURE), marked))
+    any_of = F.concat(F.lit("[\\Q"), F.array_join(delimiters, ""), F.lit("\\E]"))
+    pattern = F.when(F.size(delimiters) == 0, F.lit("(?!)")).otherwise(any_of)
+    return F.coalesce(structured, F.regexp_replace(text, pattern, F.lit(SEPARATOR)))
 
 
 def joined_text(cell: Column, delimiters: Column, is_multiple: Column) -> Column:
     """NFKC text of a cell; the pieces of a multiple-choice cell are joined by SEPARATOR."""
     raw = F.coalesce(cell, F.lit(""))
-    joined = F.array_join(fragments(raw, delimiters), SEPARATOR)
-    return nfkc(F.when(is_multiple, joined).otherwise(raw))
+    return nfkc(F.when(is_multiple, cut_text(raw, delimiters, is_multiple)).otherwise(raw))
 
 
 def values_of(joined: Column, unwraps: Column) -> Column:

@@ -33,23 +33,22 @@ def tidy(c: Column) -> Column:
 
 
 def _group(t: Column, pattern: str, index: int) -> Column:
-    return F.regexp_extract(t, pattern, index).try_cast("double")
+    """Captured numeral as a double, 0 without a match; the leading zero avoids failed casts."""
+    return F.concat(F.lit("0"), F.regexp_extract(t, pattern, index)).cast("double")
 
 
 def _scaled(t: Column) -> Column:
     weights = [float(w) for w in SCALES.values()] + [1.0]
     total = F.lit(0.0)
     for i, w in enumerate(weights):
-        total = total + F.coalesce(_group(t, _SCALED, i + 1) * F.lit(w), F.lit(0.0))
+        total = total + _group(t, _SCALED, i + 1) * F.lit(w)
     sign = F.when(t.rlike("^[-−][0-9]"), F.lit(-1.0)).otherwise(F.lit(1.0))
     return F.when(t.rlike("[0-9]"), tidy(total * sign))
 
 
 def _scalar(t: Column, unit: Column) -> Column:
-    hours, minutes = _group(t, _HOURS, 1), _group(t, _MINUTES, 1)
-    zero = F.lit(0.0)
     is_clock = unit.eqNullSafe(F.lit(HOUR_UNIT)) & (t.rlike(_HOURS) | t.rlike(_MINUTES))
-    clock = tidy(F.coalesce(hours, zero) + F.coalesce(minutes, zero) / 60)
+    clock = tidy(_group(t, _HOURS, 1) + _group(t, _MINUTES, 1) / 60)
     return F.when(is_clock, clock).otherwise(_scaled(t))
 
 

@@ -21,7 +21,9 @@ _APPROX_TAIL = "(?:ほど|程度|程|くらい|ぐらい|位)\\z"
 
 def _integer(text: Column, pattern: str, group: int = 1) -> Column:
     """Integer captured by an anchored pattern; NULL without a match or beyond 2^53."""
-    number = F.regexp_extract(text, pattern, group).try_cast("bigint")
+    digits = F.regexp_extract(text, pattern, group)
+    # Casting only real matches keeps failed casts, which are slow, out of the common path.
+    number = let(digits, lambda d: F.when(d != "", d.try_cast("bigint")))
     return let(number, lambda n: F.when(n <= _SAFE_INT, n))
 
 

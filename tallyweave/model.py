@@ -11,17 +11,40 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyweave.constants import SAFE_DELIMITERS
 
-QUESTIONS = """
-    survey_id string, q_ord int, q_key string, col_idx int, header string, label string,
-    kind string, chart string, delimiters array<string>, opt_order string,
-    preset_options array<string>, option_aliases map<string,string>, unit string,
-    selected boolean, identity string, inferred boolean, profile_key string,
-    derived struct<type:string,year_col:int,month_col:int,source_col:int>
-"""
+_TEXT, _TEXTS = T.StringType(), T.ArrayType(T.StringType())
+DERIVED = T.StructType(
+    [T.StructField("type", _TEXT)]
+    + [T.StructField(name, T.IntegerType()) for name in ("year_col", "month_col", "source_col")]
+)
+QUESTIONS = T.StructType(
+    [
+        T.StructField(name, dtype)
+        for name, dtype in (
+            ("survey_id", _TEXT),
+            ("q_ord", T.IntegerType()),
+            ("q_key", _TEXT),
+            ("col_idx", T.IntegerType()),
+            ("header", _TEXT),
+            ("label", _TEXT),
+            ("kind", _TEXT),
+            ("chart", _TEXT),
+            ("delimiters", _TEXTS),
+            ("opt_order", _TEXT),
+            ("preset_options", _TEXTS),
+            ("option_aliases", T.MapType(_TEXT, _TEXT)),
+            ("unit", _TEXT),
+            ("selected", T.BooleanType()),
+            ("identity", _TEXT),
+            ("inferred", T.BooleanType()),
+            ("profile_key", _TEXT),
+            ("derived", DERIVED),
+        )
+    ]
+)
 
 KINDS = ("single", "multiple", "numeric", "free", "ignore")
 DERIVATIONS = ("year-month", "work-days", "work-minutes")
@@ -45,8 +68,12 @@ class Survey:
     columns: DataFrame | None = None
     warnings: DataFrame | None = None
     traits: Traits = field(default_factory=Traits)
+    # Hand-written question rows, when the question table was made from them.
+    rows: tuple[tuple, ...] | None = None
 
     def with_(self, **changes) -> "Survey":
+        if "questions" in changes:
+            changes.setdefault("rows", None)
         return replace(self, **changes)
 
     @property
@@ -109,7 +136,30 @@ def question_table(spark: SparkSession, rows: list[tuple]) -> tuple[DataFrame, T
         presets=any(r[10] for r in rows),
         rows=len(rows),
     )
-    return spark.createDataFrame(rows, QUESTIONS), traits
+    if len(rows) > MAX_LITERAL_ROWS:
+        return spark.createDataFrame(rows, QUESTIONS), traits
+    # Literals keep the table inside the plan; no Python data source is involved.
+    literal = F.array(*[_literal_row(r, QUESTIONS) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(literal)), traits
+
+
+MAX_LITERAL_ROWS = 200
+
+
+def _literal(value, dtype: T.DataType) -> Column:
+    if value is not None and isinstance(dtype, T.ArrayType):
+        made = F.array(*[F.lit(v) for v in value])
+    elif value is not None and isinstance(dtype, T.MapType):
+        made = F.create_map(*[F.lit(x) for kv in value.items() for x in kv])
+    elif value is not None and isinstance(dtype, T.StructType):
+        made = F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, dtype)])
+    else:
+        made = F.lit(value)
+    return made.cast(dtype)
+
+
+def _literal_row(row: tuple, schema: T.StructType) -> Column:
+    return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(row, schema)])
 
 
 def traits_of(questions: DataFrame) -> Traits:
@@ -151,4 +201,4 @@ def define_survey(
     spark: SparkSession, responses: DataFrame, questions: list[tuple]
 ) -> Survey:
     table, traits = question_table(spark, questions)
-    return Survey(responses=responses, questions=table, traits=traits)
+    return Survey(responses=responses, questions=table, traits=traits, rows=tuple(questions))

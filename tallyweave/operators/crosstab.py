@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.constants import TOTAL_LABEL
 from tallyweave.functions.numbers import fixed
-from tallyweave.functions.text import key_of, natural_key
+from tallyweave.functions.text import key_of, let, natural_key
 from tallyweave.model import Survey
 from tallyweave.operators.frequency import option_order
 from tallyweave.operators.joins import dim_join
-from tallyweave.operators.numeric import bin_index, bin_layout, value_counts, with_bin
+from tallyweave.operators.numeric import bin_lookup, looked_up_label, value_counts
 from tallyweave.operators.ranking import ranked
 from tallyweave.operators.units import cell_sources, interpret, interpreted_units, with_dictionaries
-from tallyweave.session import pin
+from tallyweave.session import pin, staged
 
 PAIR = ["survey_id", "row_key", "col_key"]
 ELIGIBLE = ("single", "multiple", "numeric")
@@ -86,17 +86,18 @@ def _axis(
     options = F.col("options")
     if layout is not None:
         df = dim_join(df, layout, on, "raw", rows=survey.traits.rows, how="left")
-        index = F.when(F.col("discrete"), 0).otherwise(bin_index(F.col("num")))
-        df = with_bin(df.withColumn("_bin", index), "num", "_bin")
-        label = F.col("bin_label")
-        binned = F.array(F.struct(key_of(label).alias("key"), label.alias("label")))
-        options = F.when(F.col("kind") != "numeric", options).otherwise(
-            F.when(F.col("num").isNotNull() & F.col("discrete").isNotNull(), binned)
-        )
+        label = looked_up_label(F.col("num"))
+        binned = let(label, lambda t: F.array(F.struct(key_of(t).alias("key"), t.alias("label"))))
+        options = F.when(F.col("kind") != "numeric", options).when(label.isNotNull(), binned)
     kept = [c for c in units.columns if c not in (key, f"{side}_raw", f"{side}_raw2")]
-    return df.select(
-        *kept, F.col("q_key").alias(key), options.alias(f"{side}_options")
-    ).where(F.size(f"{side}_options") > 0)
+    name = f"{side}_options"
+    # Computed and tested in one step: a later filter would compute the options again.
+    df = staged(
+        df.select(*kept, F.col("q_key").alias(key), options.alias("_options")),
+        keep=lambda s: F.size(s[name]) > 0,
+        **{name: F.col("_options")},
+    )
+    return df.drop("_options")
 
 
 def crosstab_cube(survey: Survey, pairs: DataFrame, value_units: DataFrame | None = None) -> DataFrame:
@@ -106,9 +107,10 @@ def crosstab_cube(survey: Survey, pairs: DataFrame, value_units: DataFrame | Non
     layout = None
     if "numeric" in survey.traits.kinds:
         # Bins come from all included responses, not only from those answering both questions.
-        numeric = questions.where("kind = 'numeric'")
-        value_units = interpreted_units(survey, numeric) if value_units is None else value_units
-        layout = pin(bin_layout(value_counts(value_units.where("kind = 'numeric'"))))
+        if value_units is None:
+            value_units = pin(interpreted_units(survey, kinds=("numeric",)))
+        values = value_counts(value_units.where("kind = 'numeric'"))
+        layout = pin(bin_lookup(values, questions.select("survey_id", "q_key", "unit")))
     units = pair_units(survey, pairs)
     for side, key in (("r", "row_key"), ("c", "col_key")):
         units = _axis(units, survey, spec, layout, side, key)

@@ -71,7 +71,7 @@ def rank_options(
 def frequency(survey: Survey, units: DataFrame | None = None) -> DataFrame:
     """freq(survey_id, q_key, rank, opt_key, label, count, percentage) for choice questions."""
     questions = analysed(survey)
-    units = pin(interpreted_units(survey, questions)) if units is None else units
+    units = pin(interpreted_units(survey)) if units is None else units
     valid = question_stats(units).select(*KEY, "valid")
     counts = option_counts(units).join(valid, KEY)
     shares = counts.withColumn("percentage", percentage(F.col("count"), F.col("valid")))

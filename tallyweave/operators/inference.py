@@ -1,9 +1,10 @@
 """Question kind inference for every column of every survey in one pass.
 
-The decision ladder compares distinct counts with small limits only, so distinct values are
-kept in Theta sketches: exact up to their nominal size (1,024, far above every limit), bounded
-in memory, and merged map-side. The shuffle carries one sketch per column and task, never
-cell text.
+Short cells repeat a lot, so they are counted first (map-side combined) and each distinct text
+is examined once; long cells are examined where they are read and never shuffled. The decision
+ladder compares distinct counts with small limits only, so distinct values are kept in Theta
+sketches: exact up to their nominal size (1,024, far above every limit), bounded in memory and
+merged map-side.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyweave import constants as K
 from tallyweave.functions.answers import joined_text, values_of
 from tallyweave.functions.text import is_blank_norm, key_of, nfkc, squeeze
+from tallyweave.session import staged
 
 _LG_ENTRIES = 10
+# Cells up to this length are grouped by their text.
+SHORT_CELL = 64
 # Distinct counts above this are reported as this value; every rule decides below it.
 DISTINCT_CAP = K.MULTIPLE_MAX_TOKENS + 1
 
@@ -22,31 +26,43 @@ DISTINCT_CAP = K.MULTIPLE_MAX_TOKENS + 1
 def column_profile(responses: DataFrame) -> DataFrame:
     """Counters per (survey_id, col_idx) over non-blank cells; distinct counts are capped."""
     safe = F.array(*[F.lit(d) for d in K.SAFE_DELIMITERS])
-    cells = (
-        responses.select("survey_id", F.posexplode("cells").alias("col_idx", "raw"))
-        .withColumn("raw", F.coalesce("raw", F.lit("")))
-        .withColumn("_whole", nfkc(F.col("raw")))
-        .withColumn("_joined", joined_text(F.col("raw"), safe, F.lit(True)))
-        .withColumn("text", squeeze(F.col("_whole")))
-        .withColumn("filled", ~is_blank_norm(F.col("text")))
+    cells = responses.select(
+        "survey_id", F.posexplode("cells").alias("col_idx", "cell")
+    ).withColumn("cell", F.coalesce("cell", F.lit("")))
+    is_short = F.length("cell") <= SHORT_CELL
+    short = cells.where(is_short).groupBy("survey_id", "col_idx", "cell").agg(
+        F.count(F.lit(1)).alias("n")
     )
+    long = cells.where(~is_short).withColumn("n", F.lit(1).cast("bigint"))
+    raw = F.col("cell")
+    cells = short.unionByName(long).select(
+        "survey_id",
+        "col_idx",
+        "n",
+        raw.contains("\n").alias("multiline"),
+        nfkc(raw).alias("_whole"),
+        joined_text(raw, safe, F.lit(True)).alias("_joined"),
+    )
+    cells = staged(cells, text=squeeze(F.col("_whole")))
     parts = F.array_distinct(F.transform(values_of(F.col("_joined"), F.lit(True)), key_of))
+    filled = ~is_blank_norm(F.col("text"))
     cells = cells.select(
         "survey_id",
         "col_idx",
-        "filled",
+        "n",
+        filled.alias("filled"),
         key_of(F.col("text")).alias("key"),
-        F.col("raw").contains("\n").alias("multiline"),
+        "multiline",
         # Extraction succeeds exactly when a digit is present.
         F.col("text").rlike("[0-9]").alias("parsed"),
         # One token more than the limit already decides, so longer lists need not be expanded.
-        F.when(F.col("filled"), F.slice(parts, 1, DISTINCT_CAP)).alias("parts"),
+        F.when(filled, F.slice(parts, 1, DISTINCT_CAP)).alias("parts"),
     )
     rows = cells.select(
         "*", F.size("parts").alias("n_parts"), F.posexplode_outer("parts").alias("pos", "token")
     ).drop("parts")
     first = F.col("filled") & (F.coalesce("pos", F.lit(0)) == 0)
-    tally = lambda cond: F.sum(F.when(first & cond, 1).otherwise(0)).cast("bigint")
+    tally = lambda cond: F.sum(F.when(first & cond, F.col("n")).otherwise(0))
     distinct = lambda c: F.least(
         F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(c, _LG_ENTRIES)), F.lit(0)),
         F.lit(DISTINCT_CAP),

@@ -235,6 +235,48 @@ def with_bin(df: DataFrame, value: str, index: str, unit: str = "unit") -> DataF
     return df.withColumn("bin_label", label).drop("_upper")
 
 
+def labelled_bins(values: DataFrame, layout: DataFrame, units_of_measure: DataFrame) -> DataFrame:
+    """(keys, value, index, bin_from, bin_to, bin_label): every bin of every question.
+
+    At most ten rows per discrete question and MAX_BIN_CANDIDATES per other question; `value`
+    is NULL for range bins and `index` is 0 for discrete ones.
+    """
+    discrete = values.join(layout.where("discrete"), KEY).select(
+        *KEY, "value", F.lit(0).alias("index"), *_LAYOUT
+    )
+    ranges = layout.where("not discrete").select(
+        *KEY,
+        F.lit(None).cast("double").alias("value"),
+        F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("index"),
+        *_LAYOUT,
+    )
+    bins = discrete.unionByName(ranges).join(units_of_measure, KEY)
+    return with_bin(bins, "value", "index").select(
+        *KEY, "value", "index", "bin_from", "bin_to", "bin_label"
+    )
+
+
+def bin_lookup(values: DataFrame, units_of_measure: DataFrame) -> DataFrame:
+    """One row per question: its layout with the bins' lower edges and labels as arrays."""
+    layout = bin_layout(values)
+    edges = labelled_bins(values, layout, units_of_measure).groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("bin_from", "bin_label"))).alias("_bins")
+    )
+    return layout.join(edges, KEY).select(
+        *KEY,
+        *_LAYOUT,
+        F.transform("_bins", lambda b: b["bin_from"]).alias("edges"),
+        F.transform("_bins", lambda b: b["bin_label"]).alias("labels"),
+    )
+
+
+def looked_up_label(value: Column) -> Column:
+    """Bin label of a value under a joined lookup row; NULL without a value or a layout."""
+    position = F.array_position("edges", value).cast("int") - 1
+    index = F.when(F.col("discrete"), position).otherwise(bin_index(value))
+    return F.when(value.isNotNull(), F.get("labels", index))
+
+
 def histogram(
     values: DataFrame, units_of_measure: DataFrame, valid: DataFrame
 ) -> DataFrame:
@@ -245,30 +287,25 @@ def histogram(
     """
     layout = bin_layout(values)
     placed = values.join(layout, KEY)
-    discrete = placed.where("discrete").select(
-        *KEY, "value", F.lit(0).alias("index"), F.col("c").alias("count"), *_LAYOUT
-    )
+    exact = F.col("discrete")
+    # Discrete bins are matched by value, range bins by index.
     counted = (
-        placed.where("not discrete")
-        .withColumn("index", bin_index(F.col("value")))
-        .groupBy(*KEY, "index")
+        placed.withColumn("value_", F.when(exact, F.col("value")))
+        .withColumn("index", F.when(exact, 0).otherwise(bin_index(F.col("value"))))
+        .groupBy(*KEY, F.col("value_").alias("value"), "index")
         .agg(F.sum("c").alias("count"))
     )
-    spine = layout.where("not discrete").withColumn(
-        "index", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))
-    )
-    ranges = spine.join(counted, [*KEY, "index"], "left").select(
-        *KEY,
-        F.lit(None).cast("double").alias("value"),
-        "index",
-        F.coalesce("count", F.lit(0)).alias("count"),
-        *_LAYOUT,
+    bins = labelled_bins(values, layout, units_of_measure)
+    same = [bins[k] == counted[k] for k in (*KEY, "index")]
+    found = bins.join(counted, [*same, bins["value"].eqNullSafe(counted["value"])], "left").select(
+        *[bins[k] for k in KEY],
+        "bin_from",
+        "bin_to",
+        "bin_label",
+        F.coalesce(counted["count"], F.lit(0)).alias("count"),
     )
-    bins = discrete.unionByName(ranges).join(units_of_measure, KEY).join(valid, KEY)
-    labelled = with_bin(bins, "value", "index")
-    # At most ten discrete values or MAX_BIN_CANDIDATES ranges share a window group.
     order = Window.partitionBy(*KEY).orderBy("bin_from")
-    return labelled.select(
+    return found.join(valid, KEY).select(
         *KEY,
         F.row_number().over(order).cast("bigint").alias("rank"),
         F.col("bin_label").alias("label"),

@@ -22,6 +22,7 @@ from tallyweave.functions.text import (
 from tallyweave.functions.worktime import work_days_label, work_minutes_label, year_month_label
 from tallyweave.model import Survey, Traits
 from tallyweave.operators.joins import dim_join
+from tallyweave.session import staged
 
 KEY = ["survey_id", "q_key"]
 
@@ -46,38 +47,58 @@ def cell_sources(question: DataFrame) -> DataFrame:
     )
 
 
-def answer_cells(survey: Survey, questions: DataFrame) -> DataFrame:
+def _picked(key: Column, is_free: Column, a: Column, b: Column) -> Column:
+    raw = F.coalesce(F.get("cells", a), F.lit(""))
+    # Free text is only counted: long bodies shrink before they are grouped.
+    body = F.when(is_free, shorten_long(raw)).otherwise(raw)
+    second = F.when(b.isNotNull(), F.coalesce(F.get("cells", b), F.lit("")))
+    return F.struct(key.alias("q_key"), body.alias("raw"), second.alias("raw2"))
+
+
+def source_columns(row: tuple) -> tuple[int, int | None]:
+    """Source columns of a hand-written question row, as in `cell_sources`."""
+    col_idx, derived = row[3], row[17]
+    if not derived:
+        return col_idx, None
+    return (derived[1], derived[2]) if derived[0] == "year-month" else (derived[3], None)
+
+
+def answer_cells(
+    survey: Survey, questions: DataFrame, rows: list[tuple] | None = None
+) -> DataFrame:
     """(survey_id, response_id, q_key, raw, raw2) of included responses, one row per question.
 
     Question specs travel as one array per survey, so responses are joined once, not per cell.
+    `rows` are the questions when all are hand-written for one survey: then no join is needed
+    and only the columns they name are read.
     """
+    responses = survey.responses.where("included").select("survey_id", "response_id", "cells")
+    if rows:
+        null = F.lit(None).cast("int")
+        cells = []
+        for r in rows:
+            a, b = source_columns(r)
+            index = null if b is None else F.lit(b)
+            cells.append(_picked(F.lit(r[2]), F.lit(r[6] == "free"), F.lit(a), index))
+        return responses.where(F.col("survey_id") == rows[0][0]).select(
+            "survey_id", "response_id", F.inline(F.array(*cells))
+        )
     specs = (
         cell_sources(questions)
         .groupBy("survey_id")
         .agg(F.collect_list(F.struct("q_key", "kind", "a", "b")).alias("specs"))
     )
-    rows = survey.responses.where("included").select("survey_id", "response_id", "cells")
-    joined = dim_join(rows, specs, ["survey_id"], "response_id", rows=survey.traits.rows)
-
-    def picked(s: Column) -> Column:
-        raw = F.coalesce(F.get("cells", s["a"]), F.lit(""))
-        # Free text is only counted: long bodies shrink before they are grouped.
-        body = F.when(s["kind"] == "free", shorten_long(raw)).otherwise(raw)
-        return F.struct(
-            s["q_key"].alias("q_key"),
-            body.alias("raw"),
-            F.when(s["b"].isNotNull(), F.coalesce(F.get("cells", s["b"]), F.lit(""))).alias("raw2"),
-        )
+    joined = dim_join(responses, specs, ["survey_id"], "response_id", rows=survey.traits.rows)
+    picked = lambda s: _picked(s["q_key"], s["kind"] == "free", s["a"], s["b"])
+    return joined.select("survey_id", "response_id", F.inline(F.transform("specs", picked)))
 
-    return joined.select(
-        "survey_id", "response_id", F.inline(F.transform("specs", picked))
-    )
 
-
-def answer_units(survey: Survey, questions: DataFrame) -> DataFrame:
+def answer_units(
+    survey: Survey, questions: DataFrame, rows: list[tuple] | None = None
+) -> DataFrame:
     """Distinct cells with their number of respondents and the first respondent."""
     return (
-        answer_cells(survey, questions)
+        answer_cells(survey, questions, rows)
         .groupBy("survey_id", "q_key", "raw", "raw2")
         .agg(F.count(F.lit(1)).alias("n"), F.min("response_id").alias("first_id"))
     )
@@ -152,14 +173,15 @@ def interpret(df: DataFrame, traits: Traits) -> DataFrame:
         unwraps = multiple & (F.size("delimiters") > 0)
     else:
         text, unwraps = nfkc(F.col("raw")), F.lit(False)
-    staged = df.withColumn("_text", text)
+    texts = {"_text": text}
     if "year-month" in traits.derivations:
-        staged = staged.withColumn("_text2", nfkc(F.coalesce("raw2", F.lit(""))))
+        texts["_text2"] = nfkc(F.coalesce("raw2", F.lit("")))
+    df = df.withColumns(texts)
     values = values_of(F.col("_text"), unwraps)
     if traits.derivations:
         derived = _derived_values(traits, F.col("_text"), F.col("_text2"), derivation)
         values = F.when(derivation.isNull(), values).otherwise(derived)
-    staged = staged.withColumn("_values", values)
+    df = staged(df, _values=values)
 
     optional = kind.isin("single", "multiple")
     alias_index = F.col("alias_index") if traits.aliases else F.lit(None)
@@ -167,24 +189,35 @@ def interpret(df: DataFrame, traits: Traits) -> DataFrame:
     if "numeric" in traits.kinds:
         first = F.get("_values", F.lit(0))
         number = F.when(kind == "numeric", parse_compact(bare(first), F.col("unit")))
-    return (
-        staged.withColumn("options", F.when(optional, options_of(F.col("_values"), alias_index)))
-        .withColumn("num", number)
-        .withColumn(
-            "answered", F.when(optional, F.size("options")).otherwise(F.size("_values")) > 0
-        )
-        .drop("_text", "_text2", "_values")
-    )
+    options = F.when(optional, options_of(F.col("_values"), alias_index))
+    df = staged(df, options=options, num=number)
+    answered = F.when(optional, F.size("options")).otherwise(F.size("_values")) > 0
+    return df.withColumn("answered", answered).drop("_text", "_text2", "_values")
+
 
+def interpreted_units(
+    survey: Survey, questions: DataFrame | None = None, kinds: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Answer units with options, numbers and an answered flag.
 
-def interpreted_units(survey: Survey, questions: DataFrame | None = None) -> DataFrame:
-    """Answer units with options, numbers and an answered flag."""
-    questions = analysed(survey) if questions is None else questions
+    Selected, not ignored questions by default; `kinds` asks for all questions of some kinds.
+    """
+    rows = None
+    if questions is None:
+        if kinds is None:
+            questions = analysed(survey)
+            wanted = lambda r: r[6] != "ignore" and r[13]
+        else:
+            questions = survey.questions.where(F.col("kind").isin(*kinds))
+            wanted = lambda r: r[6] in kinds
+        rows = [r for r in survey.rows or () if wanted(r)]
+        if len({r[0] for r in survey.rows or ()}) != 1:
+            rows = None
     traits = survey.traits
     spec = with_dictionaries(questions, traits).select(
         "survey_id", "q_key", "kind", "delimiters", "unit", "derived", "alias_index"
     )
-    units = answer_units(survey, questions)
+    units = answer_units(survey, questions, rows)
     joined = dim_join(units, spec, KEY, "raw", rows=traits.rows)
     return interpret(joined, traits).select(
         "survey_id", "q_key", "kind", "raw", "n", "first_id", "options", "num", "answered"

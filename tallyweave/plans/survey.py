@@ -31,7 +31,7 @@ def analyze(survey: Survey) -> Analysis:
     """Analyse all selected questions. Raw responses are read once for counts (distinct cells
     are pinned) and once more for free-text samples when there are free questions."""
     questions = analysed(survey)
-    units = pin(interpreted_units(survey, questions))
+    units = pin(interpreted_units(survey))
     freq = fr.frequency(survey, units)
     items = freq.select(*KEY, "rank", "label", "count", "percentage")
     numeric = survey.spark.createDataFrame([], _NUMERIC)

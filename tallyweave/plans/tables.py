@@ -17,7 +17,7 @@ from tallyweave.operators.inference import infer_kinds
 from tallyweave.operators.units import interpreted_units
 from tallyweave.plans.survey import analysis_documents, analyze
 from tallyweave.profiles import Profile
-from tallyweave.session import pin
+from tallyweave.session import pin, spread
 from tallyweave.sinks import reports as rp
 from tallyweave.sources.layout import detect_layout, fold_paired, named_columns
 
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table ahead of CPU-heavy work on every row."""
+    return spread(table(spark, sf, name))
+
+
 def money(column: str) -> Column:
     return c(column).cast("decimal(18,2)").cast("string")
 
@@ -392,7 +397,7 @@ _HEADERS = {
 def _profiled(spark, sf) -> DataFrame:
     """Columns of four tables as the string cells of four surveys."""
     events = table_responses(
-        table(spark, sf, "events"), c("event_id"),
+        heavy(spark, sf, "events"), c("event_id"),
         [F.concat_ws(", ", "event_type", F.when(c("value") > 10, "big")), money("value"), c("props"), c("user_id")],
         "events",
     )
@@ -402,11 +407,11 @@ def _profiled(spark, sf) -> DataFrame:
         F.date_format("o_orderdate", "yyyy-MM-dd"),
     )
     part = table_responses(
-        table(spark, sf, "part"), c("p_partkey"),
+        heavy(spark, sf, "part"), c("p_partkey"),
         [c("p_brand"), c("p_type"), lit(""), c("p_size"), money("p_retailprice"), c("p_name")], "part",
     )
     docs = table_responses(
-        table(spark, sf, "documents"), c("doc_id"), [c("lang"), c("source"), c("n_chars")], "documents"
+        heavy(spark, sf, "documents"), c("doc_id"), [c("lang"), c("source"), c("n_chars")], "documents"
     )
     return events.unionByName(orders).unionByName(part).unionByName(docs)
 
@@ -421,11 +426,11 @@ def q_infer_kind(spark, sf):
 
 def q_infer_kind_text(spark, sf):
     """The same over whole documents, conversation turns and raw pages."""
-    docs = table_responses(table(spark, sf, "documents"), c("doc_id"), [c("text")], "documents")
+    docs = table_responses(heavy(spark, sf, "documents"), c("doc_id"), [c("text")], "documents")
     talk = table_responses(
-        table(spark, sf, "conversations"), c("conv_id") * 4096 + c("turn"), [c("role"), c("text")], "conversations"
+        heavy(spark, sf, "conversations"), c("conv_id") * 4096 + c("turn"), [c("role"), c("text")], "conversations"
     )
-    pages = table_responses(table(spark, sf, "pages"), c("page_id"), [c("url"), c("html")], "pages")
+    pages = table_responses(heavy(spark, sf, "pages"), c("page_id"), [c("url"), c("html")], "pages")
     r = docs.unionByName(talk).unionByName(pages)
     return infer_kinds(r).select("survey_id", "col_idx", *_COUNTERS, "kind", "chart")
 
@@ -513,7 +518,7 @@ def _folded(spark, sf) -> tuple[DataFrame, DataFrame]:
         c("l_linenumber"), c("l_returnflag"),
         code(first), blank(first), code(second), blank(second), code(third), blank(third), c("l_quantity"),
     ]
-    r = table_responses(table(spark, sf, "lineitem"), c("l_orderkey") * 8 + c("l_linenumber"), cells, "lineitem")
+    r = table_responses(heavy(spark, sf, "lineitem"), c("l_orderkey") * 8 + c("l_linenumber"), cells, "lineitem")
     return fold_paired(columns, r)
 
 
@@ -839,7 +844,7 @@ def q_work_functions(spark, sf):
     """Days and minutes read from each work-time cell."""
     t = text.norm_text(_work_cell())
     return (
-        table(spark, sf, "lineitem")
+        heavy(spark, sf, "lineitem")
         .select(worktime.work_days(t).alias("days"), worktime.work_minutes(t).alias("minutes"))
         .groupBy("days", "minutes")
         .agg(F.count(lit(1)).alias("n"))
