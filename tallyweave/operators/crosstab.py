@@ -24,6 +24,7 @@ from tallyweave.session import pin, staged
 PAIR = ["survey_id", "row_key", "col_key"]
 ELIGIBLE = ("single", "multiple", "numeric")
 MODES = ("count", "row", "col", "total")
+MAX_REPORT_COLUMNS = 10_000
 _SPEC = ("kind", "delimiters", "unit", "derived", "alias_index")
 _RAW = ("r_raw", "r_raw2", "c_raw", "c_raw2")
 
@@ -249,9 +250,13 @@ def cell_text(mode: str) -> Column:
 def matrix_rows(ct: DataFrame, cell: Column | None = None) -> DataFrame:
     """One row per row label with its cells in column order, then one totals row (rank NULL).
 
-    A row's cells are one report line, so its width is the number of column labels.
+    A row's cells are one report line, so its width is the number of column labels; beyond
+    MAX_REPORT_COLUMNS the tidy table must be used and the job fails with a message.
     """
     cell = F.col("count").cast("string") if cell is None else cell
+    too_wide = F.col("col_rank") > MAX_REPORT_COLUMNS
+    message = f"a cross-tab report has more than {MAX_REPORT_COLUMNS} columns; use the tidy table"
+    cell = F.when(too_wide, F.raise_error(message)).otherwise(cell)
     line = lambda c: F.transform(
         F.array_sort(F.collect_list(F.struct("col_rank", c.alias("v")))), lambda s: s["v"]
     )

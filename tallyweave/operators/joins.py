@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A dimension up to this many rows (question specs are well below 2 KB each) is broadcast.
-BROADCAST_ROWS = 20_000
+# A dimension up to this many rows is broadcast. Its rows are per-question metadata of a few
+# KB at most (presets, aliases, at most MAX_BIN_CANDIDATES bin labels), so about 40 MB in all.
+BROADCAST_ROWS = 5_000
 SALTS = 32
 
 
@@ -24,9 +25,14 @@ def dim_join(
     spread by `spread_by`, is shared by many tasks.
     """
     if rows is None:
-        rows = dim.limit(BROADCAST_ROWS + 1).count()
+        rows = 0 if is_small(dim) else BROADCAST_ROWS + 1
     if rows <= BROADCAST_ROWS:
         return facts.join(F.broadcast(dim), on, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def is_small(dim: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most `bound` rows; stops counting beyond it."""
+    return dim.limit(bound + 1).count() <= bound

@@ -18,9 +18,17 @@ from tallyweave.constants import (
     LISTING_ROWS,
     VISIBLE_BY_DEFAULT,
 )
-from tallyweave.functions.text import is_blank, norm_text
+from tallyweave.functions.text import (
+    SEPARATOR,
+    is_blank_norm,
+    nfkc,
+    norm_text,
+    shorten_long,
+    squeeze,
+)
 from tallyweave.model import Survey
-from tallyweave.operators.joins import dim_join
+from tallyweave.operators.joins import dim_join, is_small
+from tallyweave.session import staged
 
 
 @dataclass(frozen=True)
@@ -83,8 +91,14 @@ def set_included(responses: DataFrame, included: bool, matching: str | None = No
 
 
 def apply_exclusions(responses: DataFrame, overlay: DataFrame) -> DataFrame:
-    """Apply overlay(survey_id, response_id, included), at most one row per response."""
+    """Apply overlay(survey_id, response_id, included), at most one row per response.
+
+    A small overlay is broadcast, so responses are not shuffled for a few decisions; a large
+    one joins on the response key, which is unique and therefore free of hot keys.
+    """
     flags = overlay.select("survey_id", "response_id", F.col("included").alias("_flag"))
+    if is_small(flags, OVERLAY_BROADCAST_ROWS):
+        flags = F.broadcast(flags)
     return (
         responses.join(flags, ["survey_id", "response_id"], "left")
         .withColumn("included", F.coalesce("_flag", "included"))
@@ -92,6 +106,10 @@ def apply_exclusions(responses: DataFrame, overlay: DataFrame) -> DataFrame:
     )
 
 
+# Overlay rows are a survey name, an id and a flag.
+OVERLAY_BROADCAST_ROWS = 200_000
+
+
 def response_counters(responses: DataFrame, needle: str = "") -> DataFrame:
     """total / matched / included / excluded per survey."""
     return responses.groupBy("survey_id").agg(
@@ -169,10 +187,11 @@ def listing_page(
     )
 
 
-def free_text_cells(survey: Survey) -> DataFrame:
-    """(survey_id, q_key, q_ord, label, response_id, body): free answers of included responses.
+def free_text_entries(survey: Survey) -> DataFrame:
+    """(survey_id, response_id, bodies): non-blank free answers of each included response.
 
-    All free questions, selected or not; bodies are verbatim.
+    All free questions, selected or not; bodies are verbatim and stay in their row, so whole
+    texts are never shuffled. Responses without a free answer are left out.
     """
     specs = (
         survey.questions.where("kind = 'free'")
@@ -183,7 +202,7 @@ def free_text_cells(survey: Survey) -> DataFrame:
     )
     rows = survey.responses.where("included").select("survey_id", "response_id", "cells")
     joined = dim_join(rows, specs, ["survey_id"], "response_id", rows=survey.traits.rows)
-    bodies = F.transform(
+    answers = F.transform(
         "specs",
         lambda s: F.struct(
             s["q_ord"].alias("q_ord"), s["q_key"].alias("q_key"), s["label"].alias("label"),
@@ -191,7 +210,21 @@ def free_text_cells(survey: Survey) -> DataFrame:
             F.coalesce(F.get("cells", s["col_idx"]), F.lit("")).alias("body"),
         ),
     )
-    return joined.select("survey_id", "response_id", F.inline(bodies)).where(~is_blank(F.col("body")))
+    df = staged(joined, _all=answers).select("survey_id", "response_id", "_all")
+    # One normalisation call tests all of a response's answers.
+    probe = lambda a: F.translate(shorten_long(a["body"]), SEPARATOR, "x")
+    texts = nfkc(F.array_join(F.transform("_all", probe), SEPARATOR))
+    blank = F.transform(F.split(texts, SEPARATOR), lambda t: is_blank_norm(squeeze(t)))
+    df = df.withColumn("_blank", blank)
+    bodies = F.filter("_all", lambda a, i: ~F.get("_blank", i))
+    return staged(
+        df, keep=lambda s: F.size(s["bodies"]) > 0, bodies=bodies
+    ).select("survey_id", "response_id", "bodies")
+
+
+def free_text_cells(survey: Survey) -> DataFrame:
+    """(survey_id, response_id, q_ord, q_key, label, selected, body): one row per free answer."""
+    return free_text_entries(survey).select("survey_id", "response_id", F.inline("bodies"))
 
 
 def free_text_samples(survey: Survey) -> DataFrame:

@@ -13,6 +13,7 @@ from tallyweave.operators.units import KEY, analysed, interpreted_units
 from tallyweave.session import pin
 
 GENERATOR = "tallyweave 1.0"
+MAX_DOCUMENT_ITEMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -67,13 +68,16 @@ def analysis_documents(
     """(survey_id, document STRUCT): the nested result of each survey.
 
     A document is one survey's report: questions and their option tables, no raw answers
-    beyond the bounded samples.
+    beyond the bounded samples. A question with more than MAX_DOCUMENT_ITEMS options does not
+    fit a nested document; the job then fails with a message and the tidy tables must be used.
     """
     in_order = lambda *fields: F.transform(
         F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("v")))),
         lambda s: s["v"],
     )
-    items = analysis.items.groupBy(*KEY).agg(in_order("label", "count", "percentage").alias("items"))
+    message = f"a question has more than {MAX_DOCUMENT_ITEMS} options; use the tidy tables"
+    label = F.when(F.col("rank") > MAX_DOCUMENT_ITEMS, F.raise_error(message)).otherwise(F.col("label"))
+    items = analysis.items.withColumn("label", label).groupBy(*KEY).agg(in_order("label", "count", "percentage").alias("items"))
     samples = analysis.samples.groupBy(*KEY).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "sample"))), lambda s: s["sample"]

@@ -128,7 +128,7 @@ def q_all_questions_freq(spark, sf):
 def _flag_cells(spark, sf) -> DataFrame:
     """Orders with their distinct line flags written twice, in two spellings."""
     flags = (
-        table(spark, sf, "lineitem")
+        heavy(spark, sf, "lineitem")
         .select("l_orderkey", F.explode(F.array("l_returnflag", "l_linestatus")).alias("flag"))
         .distinct()
         .groupBy("l_orderkey")
@@ -290,7 +290,7 @@ def _work_cell() -> Column:
 
 def _work(spark, sf, key: str, presets) -> DataFrame:
     r = table_responses(
-        table(spark, sf, "lineitem"), c("l_orderkey") * 8 + c("l_linenumber"), [_work_cell()], "work"
+        heavy(spark, sf, "lineitem"), c("l_orderkey") * 8 + c("l_linenumber"), [_work_cell()], "work"
     )
     q = question("work", 0, key, "single", order="preset", presets=presets, derived=(key, None, None, 0))
     return _items(_freq(spark, r, q))

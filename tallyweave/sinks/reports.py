@@ -13,7 +13,7 @@ from tallyweave.functions.numbers import display_int, fixed, grouped
 from tallyweave.model import Survey
 from tallyweave.operators import crosstab as ct
 from tallyweave.operators.joins import dim_join
-from tallyweave.operators.policy import free_text_cells, mask_cells, visible_columns
+from tallyweave.operators.policy import free_text_entries, mask_cells, visible_columns
 from tallyweave.operators.units import KEY, analysed
 from tallyweave.plans.survey import GENERATOR, Analysis
 
@@ -211,16 +211,12 @@ def summary_markdown(analysis: Analysis, generator: str = GENERATOR, title: str
 
 def free_text_markdown(survey: Survey, counters: DataFrame) -> DataFrame:
     """Lines of the free-text report: included responses with at least one answer, verbatim."""
-    cells = free_text_cells(survey)
+    entries = free_text_entries(survey)
     labels = (
         survey.questions.where("kind = 'free'")
         .groupBy("survey_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("q_ord", "label"))), lambda s: s["label"]).alias("labels"))
     )
-    # A response has a handful of free answers, so grouping by response stays small.
-    entries = cells.groupBy("survey_id", "response_id").agg(
-        F.array_sort(F.collect_list(F.struct("q_ord", "label", "body"))).alias("bodies")
-    )
     answered = entries.groupBy("survey_id").agg(F.count(F.lit(1)).alias("entries"))
     top = counters.join(labels, "survey_id", "left").join(answered, "survey_id", "left")
     top = top.withColumn("entries", F.coalesce("entries", F.lit(0)))

@@ -13,6 +13,7 @@ from tallyweave.constants import MANAGEMENT_HEADERS
 from tallyweave.functions.text import SEPARATOR, is_blank_norm, nfkc, norm_text, squeeze
 from tallyweave.operators.joins import dim_join
 from tallyweave.operators.questions import unique_names
+from tallyweave.session import staged
 
 # Number, optional branch number, question text: "1. Age", "12-3. Tools used".
 _HEADER = "^\\s*([0-9]+)(?:\\s*-\\s*([0-9]+))?\\s*[.．]\\s*(.*)\\z"
@@ -148,7 +149,7 @@ def fold_responses(responses: DataFrame, plan: DataFrame, rows: int | None = Non
     df = dim_join(responses, per_survey, ["survey_id"], "response_id", rows=rows, how="left")
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
     wide = F.array_join(F.transform("_wide", cell), SEPARATOR)
-    df = df.withColumn("_labels", F.split(nfkc(wide), SEPARATOR))
+    df = staged(df.withColumn("_text", nfkc(wide)), _labels=F.split("_text", SEPARATOR))
 
     def folded(p: Column) -> Column:
         own = F.slice("_labels", p["start"], F.size(p["sources"]))
@@ -160,7 +161,7 @@ def fold_responses(responses: DataFrame, plan: DataFrame, rows: int | None = Non
     cells = F.when(F.col("_plan").isNull(), F.col("cells")).otherwise(
         F.transform("_plan", folded)
     )
-    return df.withColumn("cells", cells).drop("_plan", "_wide", "_labels")
+    return df.withColumn("cells", cells).drop("_plan", "_wide", "_text", "_labels")
 
 
 def fold_paired(columns: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
