@@ -187,12 +187,15 @@ def table_responses(
     survey_id: Column | str = "survey",
     included: Column | None = None,
 ) -> DataFrame:
-    """View any wide table as survey responses; columns become string cells in order."""
+    """View any wide table as survey responses; columns become string cells in order.
+
+    `included` stays a plain condition so that it reaches the scan; NULL means excluded.
+    """
     sid = F.lit(survey_id) if isinstance(survey_id, str) else survey_id
     return table.select(
         sid.alias("survey_id"),
         response_id.cast("bigint").alias("response_id"),
-        (F.lit(True) if included is None else F.coalesce(included, F.lit(False))).alias("included"),
+        (F.lit(True) if included is None else included).alias("included"),
         F.array(*[c.cast("string") for c in cells]).alias("cells"),
     )
 

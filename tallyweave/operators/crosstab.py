@@ -18,7 +18,13 @@ from tallyweave.operators.frequency import option_order
 from tallyweave.operators.joins import dim_join
 from tallyweave.operators.numeric import bin_lookup, looked_up_label, value_counts
 from tallyweave.operators.ranking import ranked
-from tallyweave.operators.units import cell_sources, interpret, interpreted_units, with_dictionaries
+from tallyweave.operators.units import (
+    cell_sources,
+    interpret,
+    interpreted_units,
+    source_columns,
+    with_dictionaries,
+)
 from tallyweave.session import pin, staged
 
 PAIR = ["survey_id", "row_key", "col_key"]
@@ -34,16 +40,67 @@ def eligible(questions: DataFrame) -> DataFrame:
     return questions.where(F.col("kind").isin(*ELIGIBLE))
 
 
-def all_pairs(survey: Survey) -> DataFrame:
+# Pairs of question keys: a table keyed by survey, or a list for the one hand-written survey.
+Pairs = DataFrame | list[tuple[str, str]]
+
+
+def _single_survey(survey: Survey) -> bool:
+    return len({r[0] for r in survey.rows or ()}) == 1
+
+
+def pair_table(survey: Survey, pairs: Pairs) -> DataFrame:
+    if isinstance(pairs, DataFrame):
+        return pairs
+    if not _single_survey(survey):
+        raise ValueError("a list of pairs needs a bundle of one hand-written survey")
+    schema = "survey_id string, row_key string, col_key string"
+    return survey.spark.createDataFrame([(survey.rows[0][0], *p) for p in pairs], schema)
+
+
+def all_pairs(survey: Survey) -> Pairs:
     """Every unordered pair of eligible questions of a survey, in definition order."""
+    if _single_survey(survey):
+        keys = [r[2] for r in sorted(survey.rows, key=lambda r: r[1]) if r[6] in ELIGIBLE]
+        return [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]]
     q = eligible(survey.questions).select("survey_id", "q_key", "q_ord")
     left = q.toDF("survey_id", "row_key", "_i")
     right = q.toDF("survey_id", "col_key", "_j")
     return left.join(right, "survey_id").where("_i < _j").select(*PAIR)
 
 
-def pair_units(survey: Survey, pairs: DataFrame) -> DataFrame:
-    """Distinct pairs of raw cells with respondents and first respondent, one raw-data pass."""
+def _listed_pairs(survey: Survey, responses: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Raw cells of each pair straight from the named columns, without a join."""
+    source = {r[2]: source_columns(r) for r in survey.rows if r[6] in ELIGIBLE}
+    known = [(a, b) for a, b in pairs if a in source and b in source]
+    used = sorted({i for p in known for k in p for i in source[k] if i is not None})
+    own = responses.where(F.col("survey_id") == survey.rows[0][0]).select(
+        "survey_id",
+        "response_id",
+        *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f"_{i}") for i in used],
+    )
+    none = F.lit(None).cast("string")
+    cell = lambda i: none if i is None else F.col(f"_{i}")
+    specs = [
+        F.struct(
+            F.lit(row).alias("row_key"),
+            F.lit(col).alias("col_key"),
+            *[
+                cell(i).alias(name)
+                for name, i in zip(_RAW, (*source[row], *source[col]))
+            ],
+        )
+        for row, col in known
+    ]
+    empty = "array<struct<row_key:string,col_key:string," + ",".join(f"{n}:string" for n in _RAW) + ">>"
+    made = F.array(*specs) if specs else F.array().cast(empty)
+    return own.select("survey_id", "response_id", F.inline(made))
+
+
+def pair_cells(survey: Survey, pairs: Pairs) -> DataFrame:
+    """(pair, response_id, raw cells of both sides) of included responses."""
+    responses = survey.responses.where("included").select("survey_id", "response_id", "cells")
+    if not isinstance(pairs, DataFrame):
+        return _listed_pairs(survey, responses, pairs)
     source = cell_sources(eligible(survey.questions)).drop("kind")
     rows = source.toDF("survey_id", "row_key", "ra", "rb")
     cols = source.toDF("survey_id", "col_key", "ca", "cb")
@@ -53,7 +110,6 @@ def pair_units(survey: Survey, pairs: DataFrame) -> DataFrame:
         .groupBy("survey_id")
         .agg(F.collect_list(F.struct("row_key", "col_key", "ra", "rb", "ca", "cb")).alias("specs"))
     )
-    responses = survey.responses.where("included").select("survey_id", "response_id", "cells")
     joined = dim_join(responses, specs, ["survey_id"], "response_id", rows=survey.traits.rows)
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
     second = lambda i: F.when(i.isNotNull(), cell(i))
@@ -68,8 +124,13 @@ def pair_units(survey: Survey, pairs: DataFrame) -> DataFrame:
             second(s["cb"]).alias("c_raw2"),
         )
 
+    return joined.select("survey_id", "response_id", F.inline(F.transform("specs", picked)))
+
+
+def pair_units(survey: Survey, pairs: Pairs) -> DataFrame:
+    """Distinct pairs of raw cells with respondents and first respondent, one raw-data pass."""
     return (
-        joined.select("survey_id", "response_id", F.inline(F.transform("specs", picked)))
+        pair_cells(survey, pairs)
         .groupBy(*PAIR, *_RAW)
         .agg(F.count(F.lit(1)).alias("n"), F.min("response_id").alias("first_id"))
     )
@@ -101,7 +162,7 @@ def _axis(
     return df.drop("_options")
 
 
-def crosstab_cube(survey: Survey, pairs: DataFrame, value_units: DataFrame | None = None) -> DataFrame:
+def crosstab_cube(survey: Survey, pairs: Pairs, value_units: DataFrame | None = None) -> DataFrame:
     """(pair, row_opt, row_label, col_opt, col_label, n); a NULL option is the total."""
     questions = eligible(survey.questions)
     spec = with_dictionaries(questions, survey.traits).select("survey_id", "q_key", *_SPEC)
@@ -170,7 +231,7 @@ def axis_labels(survey: Survey, cube: DataFrame) -> DataFrame:
 
 
 def crosstab(
-    survey: Survey, pairs: DataFrame, value_units: DataFrame | None = None
+    survey: Survey, pairs: Pairs, value_units: DataFrame | None = None
 ) -> DataFrame:
     """Tidy cross-tab: one row per occurring cell with its margins and both ranks."""
     cube = pin(crosstab_cube(survey, pairs, value_units))

@@ -85,7 +85,7 @@ def survey_counters(responses: DataFrame) -> DataFrame:
     return responses.groupBy("survey_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if("included").alias("included"),
-        F.count_if(~F.col("included")).alias("excluded"),
+        (F.count(F.lit(1)) - F.count_if("included")).alias("excluded"),
     )
 
 

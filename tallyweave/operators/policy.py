@@ -116,7 +116,7 @@ def response_counters(responses: DataFrame, needle: str = "") -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(matches(needle)).alias("matched"),
         F.count_if("included").alias("included"),
-        F.count_if(~F.col("included")).alias("excluded"),
+        (F.count(F.lit(1)) - F.count_if("included")).alias("excluded"),
     )
 
 
@@ -182,7 +182,7 @@ def listing_page(
     return mask_cells(top, hidden, rows).select(
         "survey_id",
         (F.col("response_id") + 1).alias("no"),
-        "included",
+        F.coalesce("included", F.lit(False)).alias("included"),
         F.transform("cells", shortened).alias("cells"),
     )
 

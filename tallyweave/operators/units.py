@@ -47,11 +47,10 @@ def cell_sources(question: DataFrame) -> DataFrame:
     )
 
 
-def _picked(key: Column, is_free: Column, a: Column, b: Column) -> Column:
-    raw = F.coalesce(F.get("cells", a), F.lit(""))
+def _picked(key: Column, is_free: Column, first: Column, second: Column) -> Column:
+    raw = F.coalesce(first, F.lit(""))
     # Free text is only counted: long bodies shrink before they are grouped.
     body = F.when(is_free, shorten_long(raw)).otherwise(raw)
-    second = F.when(b.isNotNull(), F.coalesce(F.get("cells", b), F.lit("")))
     return F.struct(key.alias("q_key"), body.alias("raw"), second.alias("raw2"))
 
 
@@ -74,22 +73,27 @@ def answer_cells(
     """
     responses = survey.responses.where("included").select("survey_id", "response_id", "cells")
     if rows:
-        null = F.lit(None).cast("int")
+        used = sorted({i for r in rows for i in source_columns(r) if i is not None})
+        own = responses.where(F.col("survey_id") == rows[0][0]).select(
+            "survey_id", "response_id", *[F.get("cells", F.lit(i)).alias(f"_{i}") for i in used]
+        )
         cells = []
         for r in rows:
             a, b = source_columns(r)
-            index = null if b is None else F.lit(b)
-            cells.append(_picked(F.lit(r[2]), F.lit(r[6] == "free"), F.lit(a), index))
-        return responses.where(F.col("survey_id") == rows[0][0]).select(
-            "survey_id", "response_id", F.inline(F.array(*cells))
-        )
+            second = F.lit(None).cast("string") if b is None else F.coalesce(f"_{b}", F.lit(""))
+            cells.append(_picked(F.lit(r[2]), F.lit(r[6] == "free"), F.col(f"_{a}"), second))
+        return own.select("survey_id", "response_id", F.inline(F.array(*cells)))
     specs = (
         cell_sources(questions)
         .groupBy("survey_id")
         .agg(F.collect_list(F.struct("q_key", "kind", "a", "b")).alias("specs"))
     )
     joined = dim_join(responses, specs, ["survey_id"], "response_id", rows=survey.traits.rows)
-    picked = lambda s: _picked(s["q_key"], s["kind"] == "free", s["a"], s["b"])
+
+    def picked(s: Column) -> Column:
+        second = F.when(s["b"].isNotNull(), F.coalesce(F.get("cells", s["b"]), F.lit("")))
+        return _picked(s["q_key"], s["kind"] == "free", F.get("cells", s["a"]), second)
+
     return joined.select("survey_id", "response_id", F.inline(F.transform("specs", picked)))
 
 

@@ -573,10 +573,6 @@ def q_header_uniquify(spark, sf):
 # ---- cross-tabs ---------------------------------------------------------------------------
 
 
-def _pairs(spark, sid: str, *pairs: tuple[str, str]) -> DataFrame:
-    return spark.createDataFrame([(sid, a, b) for a, b in pairs], "survey_id string, row_key string, col_key string")
-
-
 def _order_customers(spark, sf, cells: list[Column], included: Column | None = None) -> DataFrame:
     orders = table(spark, sf, "orders")
     customer = table(spark, sf, "customer")
@@ -584,14 +580,14 @@ def _order_customers(spark, sf, cells: list[Column], included: Column | None = N
     return table_responses(joined, c("o_orderkey"), cells, "oc", included)
 
 
-def _segment_priority(spark, sf) -> tuple[Survey, DataFrame]:
+def _segment_priority(spark, sf) -> tuple[Survey, list]:
     r = _order_customers(spark, sf, [c("c_mktsegment"), _with_blanks()], c("o_orderstatus") != "P")
     s = define_survey(
         spark, r,
         [question("oc", 0, "segment", "single", order="natural", label="区分"),
          question("oc", 1, "priority", "single", order="preset", presets=["4-NOT SPECIFIED", "2-HIGH"], label="優先|度")],
     )
-    return s, _pairs(spark, "oc", ("segment", "priority"))
+    return s, [("segment", "priority")]
 
 
 _TIDY = ("row_rank", "row_label", "col_rank", "col_label", "count", "row_total", "col_total", "grand_total")
@@ -610,7 +606,7 @@ def q_crosstab_margins(spark, sf):
     s = define_survey(
         spark, r, [question("s", 0, "flag", "multiple", order="natural"), question("s", 1, "status", "single", order="natural")]
     )
-    return ct.crosstab(s, _pairs(spark, "s", ("flag", "status"))).select(*_TIDY)
+    return ct.crosstab(s, [("flag", "status")]).select(*_TIDY)
 
 
 def q_crosstab_pct(spark, sf):
@@ -629,7 +625,7 @@ def q_crosstab_numeric(spark, sf):
         [question("orders", 0, "status", "single", order="natural"),
          question("orders", 1, "price", "numeric", unit="円", order="natural")],
     )
-    return ct.crosstab(s, _pairs(spark, "orders", ("status", "price"))).select(*_TIDY)
+    return ct.crosstab(s, [("status", "price")]).select(*_TIDY)
 
 
 def q_crosstab_all_pairs(spark, sf):
@@ -648,7 +644,7 @@ def q_crosstab_dense(spark, sf):
     s = define_survey(
         spark, r, [question("s", 0, "nation", "single", order="natural"), question("s", 1, "segment", "single", order="natural")]
     )
-    return ct.dense(ct.crosstab(s, _pairs(spark, "s", ("nation", "segment")))).select(*_TIDY)
+    return ct.dense(ct.crosstab(s, [("nation", "segment")])).select(*_TIDY)
 
 
 def _lines(df: DataFrame) -> DataFrame:

@@ -254,7 +254,8 @@ def free_text_markdown(survey: Survey, counters: DataFrame) -> DataFrame:
 # ---- cross-tab reports --------------------------------------------------------------------
 
 
-def _pair_labels(survey: Survey, pairs: DataFrame) -> DataFrame:
+def _pair_labels(survey: Survey, pairs: ct.Pairs) -> DataFrame:
+    pairs = ct.pair_table(survey, pairs)
     q = survey.questions.select("survey_id", "q_key", "label", "kind")
     row = q.toDF("survey_id", "row_key", "row_question", "row_kind")
     col = q.toDF("survey_id", "col_key", "col_question", "col_kind")
@@ -265,7 +266,7 @@ def _row_position(rank: Column) -> Column:
     return F.coalesce(rank, F.lit(9223372036854775807))
 
 
-def crosstab_csv(survey: Survey, tidy: DataFrame, pairs: DataFrame, mode: str = "count") -> DataFrame:
+def crosstab_csv(survey: Survey, tidy: DataFrame, pairs: ct.Pairs, mode: str = "count") -> DataFrame:
     """Lines of cross-tab.csv per pair; cells are counts whatever the display mode."""
     labels = _pair_labels(survey, pairs)
     grand = tidy.select(*ct.PAIR, "grand_total").distinct()
@@ -302,7 +303,7 @@ def crosstab_csv(survey: Survey, tidy: DataFrame, pairs: DataFrame, mode: str =
     return head.unionByName(body).unionByName(empty)
 
 
-def crosstab_markdown(survey: Survey, tidy: DataFrame, pairs: DataFrame, mode: str = "count") -> DataFrame:
+def crosstab_markdown(survey: Survey, tidy: DataFrame, pairs: ct.Pairs, mode: str = "count") -> DataFrame:
     """Lines of the Markdown cross-tab with cells in the chosen display mode."""
     labels = _pair_labels(survey, pairs)
     grand = tidy.select(*ct.PAIR, "grand_total").distinct()
@@ -356,7 +357,12 @@ def audit_rows(survey: Survey, hidden: DataFrame | None = None) -> DataFrame:
     responses = survey.responses
     if hidden is not None:
         responses = mask_cells(responses, hidden, survey.traits.rows)
-    return responses.select("survey_id", (F.col("response_id") + 1).alias("no"), "cells", "included")
+    return responses.select(
+        "survey_id",
+        (F.col("response_id") + 1).alias("no"),
+        "cells",
+        F.coalesce("included", F.lit(False)).alias("included"),
+    )
 
 
 def audit_csv(survey: Survey, hidden: DataFrame | None = None) -> DataFrame:

@@ -68,3 +68,14 @@ def test_default_axes(spark):
     assert pick() == ("gender", "ai-tools")
     assert pick("a", "a") == ("a", "gender")
     assert pick("f", "gender") == ("gender", "a")
+
+
+def test_listed_pairs_equal_pair_table(spark):
+    qs = [question("s", 0, "a", "single"), question("s", 1, "b", "multiple"), question("s", 2, "n", "numeric"),
+          question("s", 3, "ym", "single", derived=("year-month", 2, 0, None))]
+    rows = [["1", "p、q", "2024"], ["2", "q", "24"], ["1", "", "x"], ["2", "p", "7"]]
+    s = survey_of(spark, qs, rows)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(ct.crosstab(s, ct.all_pairs(s))) == key(ct.crosstab(s, ct.pair_table(s, ct.all_pairs(s))))
+    assert key(ct.pair_table(s, ct.all_pairs(s))) == key(ct.all_pairs(s.with_(rows=None)))
+    assert ct.crosstab(s, [("a", "zz")]).count() == 0
