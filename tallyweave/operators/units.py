@@ -226,3 +226,15 @@ def interpreted_units(
     return interpret(joined, traits).select(
         "survey_id", "q_key", "kind", "raw", "n", "first_id", "options", "num", "answered"
     )
+
+
+def fractional_year_warnings(units: DataFrame, questions: DataFrame) -> DataFrame:
+    """(survey_id, code, n): responses whose year cell was a range and gave a fractional year."""
+    derived = questions.where(F.col("derived.type") == "year-month").select(*KEY)
+    fractional = F.get("options", F.lit(0))["label"].rlike("^[0-9]+\\.[0-9]+-[0-9]{2}\\z")
+    return (
+        units.join(derived, KEY, "left_semi")
+        .where(fractional)
+        .groupBy("survey_id")
+        .agg(F.lit("fractional-year").alias("code"), F.sum("n").alias("n"))
+    )

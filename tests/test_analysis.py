@@ -146,3 +146,14 @@ def test_free_and_derived(spark):
                    ("ym", "2024-01", 1, 50.0), ("ym", "2024-11", 1, 50.0)]
     stats = {r["q_key"]: (r["valid"], r["blank"]) for r in fr.question_stats(interpreted_units(s)).collect()}
     assert stats["t"] == (1, 2) and stats["w"] == (2, 1)
+
+
+def test_fractional_year_is_kept_and_warned(spark):
+    from tallyweave.operators.units import fractional_year_warnings
+
+    q = [question("s", 0, "ym", "single", derived=("year-month", 0, 1, None))]
+    s = survey_of(spark, q, [["2023-2024", "1"], ["2024", "2"], ["2023〜2024", "1月"]])
+    units = interpreted_units(s)
+    assert [(l, n) for _, l, n, _ in freq_rows(s)] == [("2023.5-01", 2), ("2024-02", 1)]
+    found = fractional_year_warnings(units, s.questions).collect()
+    assert [(r["survey_id"], r["code"], r["n"]) for r in found] == [("s", "fractional-year", 2)]
