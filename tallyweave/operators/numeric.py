@@ -16,6 +16,7 @@ from tallyweave.constants import (
 from tallyweave.functions.numbers import display, percentage, tidy
 from tallyweave.functions.text import let
 from tallyweave.operators.units import KEY
+from tallyweave.session import pin
 
 
 def value_counts(units: DataFrame) -> DataFrame:
@@ -107,7 +108,8 @@ def order_statistics(values: DataFrame) -> DataFrame:
 
 def numeric_summary(units: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """n, min, max, mean, median, p25, p75, sum and unparsed per numeric question."""
-    values = value_counts(units) if values is None else values
+    # Read by the basics and twice by the order statistics.
+    values = pin(value_counts(units)) if values is None else values
     basics = values.groupBy(*KEY).agg(
         F.sum("c").alias("n"),
         F.min("value").alias("min"),
