@@ -191,7 +191,13 @@ def table_responses(
 
     `included` stays a plain condition so that it reaches the scan; NULL means excluded.
     """
-    sid = F.lit(survey_id) if isinstance(survey_id, str) else survey_id
+    if isinstance(survey_id, str):
+        # A constant would be folded out of partitioning and join keys, which turns per-survey
+        # windows into single-task ones and key joins into nested loops; so it depends on the row.
+        named = F.concat_ws("", F.lit(survey_id), response_id.cast("string"))
+        sid = F.substring(named, 1, len(survey_id))
+    else:
+        sid = survey_id
     return table.select(
         sid.alias("survey_id"),
         response_id.cast("bigint").alias("response_id"),
