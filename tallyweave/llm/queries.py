@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import quality_classifier, quality_rules
+from tallyweave.llm import decontamination, near_duplicates, quality_classifier, quality_rules
 from tallyweave.llm.common import table
 
 
@@ -13,14 +13,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "outlier", "distance")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The contract of this query counts shingles of four words.
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), near_duplicates.Scheme(shingle=4))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_classifier": op6_quality_classifier,
+    "op10_decontamination": op10_decontamination,
 }
 
 # DuckDB counterparts, where SQL can express the result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_decontamination": decontamination.ORACLE}
