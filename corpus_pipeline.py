@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import quality_classifier
+from tallyweave.llm import decontamination, line_dedup, near_duplicates, packing, quality_classifier
 from tallyweave.llm.common import table
 from tallyweave.session import ensure_checkpoint_dir, ship, tune
 
@@ -24,8 +24,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.drop("__score")
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later runs of repeated lines; documents that lose every line go."""
+    ship(tune(spark))
+    return line_dedup.clean(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies (five words, similarity 0.8)."""
+    ship(tune(spark))
+    return near_duplicates.deduplicate(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in which no window of a benchmark item occurs."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all remaining documents with their places in the sequences."""
+    ship(tune(spark))
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("quality classifier", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near_copies),
+    ("benchmark decontamination", benchmark_free),
+    ("packing", packed),
 ]
 
 # The classifier's scores cannot be expressed in SQL; tests compare with a brute-force version.

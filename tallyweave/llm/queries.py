@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontamination, near_duplicates, quality_classifier, quality_rules
+from tallyweave.llm import (
+    chat_format, decontamination, line_dedup, near_duplicates, packing, quality_classifier,
+    quality_rules, url_filters,
+)
 from tallyweave.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judge(pages, url_filters.noisy_urls(pages))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "outlier", "distance")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The contract of this query counts shingles of four words.
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), near_duplicates.Scheme(shingle=4))
@@ -22,16 +34,35 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(chat_format.control_conversation(turns))
+    return chat_format.digests(chat_format.format_conversations(turns))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op3_quality_rules": op3_quality_rules,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_packing": op7_packing,
+    "op9_chat_format": op9_chat_format,
     "op10_decontamination": op10_decontamination,
 }
 
 # DuckDB counterparts, where SQL can express the result.
-ORACLES: dict[str, str] = {"op10_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": url_filters.ORACLE,
+    "op4_line_dedup": line_dedup.ORACLE,
+    "op9_chat_format": chat_format.ORACLE,
+    "op10_decontamination": decontamination.ORACLE,
+}
