@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.llm import (
-    chat_format, decontamination, line_dedup, near_duplicates, packing, quality_classifier,
+    block_anchors, chat_format, decontamination, line_dedup, near_duplicates, packing, quality_classifier,
     quality_rules, url_filters,
 )
 from tallyweave.llm.common import table
@@ -38,6 +38,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = block_anchors.delete_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = turns.unionByName(chat_format.control_conversation(turns))
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
+    "op8_block_anchors": op8_block_anchors,
     "op9_chat_format": op9_chat_format,
     "op10_decontamination": op10_decontamination,
 }
