@@ -141,7 +141,7 @@ def two_rounds(docs: DataFrame, method: Method, schema: str) -> DataFrame:
             del payloads
             bucket = key[0].as_py()
             made = (method.meet if turn == 1 else method.settle)(bucket, asked)
-            return pa.concat_tables([_rows({bucket: a}, c, turn) for c, a in zip(chunks_here, made) if len(a[0])] or [_rows({}, 0, turn)])
+            return pa.concat_tables([_rows({bucket: a}, c, turn) for c, a in zip(chunks_here, made) if any(map(len, a))] or [_rows({}, 0, turn)])
 
         return run
 

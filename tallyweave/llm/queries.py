@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.llm import (
     block_anchors, chat_format, decontamination, line_dedup, near_duplicates, packing, quality_classifier,
-    quality_rules, url_filters,
+    quality_rules, suffix_repeats, url_filters,
 )
 from tallyweave.llm.common import table
 
@@ -16,6 +16,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, url_filters.noisy_urls(pages))
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_repeats.delete_repeats(table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "outlier", "distance")
@@ -55,6 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_suffix_repeats": op2_suffix_repeats,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_duplicates": op5_near_duplicates,
