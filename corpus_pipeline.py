@@ -18,10 +18,7 @@ from tallyweave.session import ensure_checkpoint_dir, ship, tune
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose predicted quality reaches the classifier's threshold."""
-    labels = table(spark, sf_dir, "labels").where(quality_classifier.remainder() != 0)
-    weights = quality_classifier.train(docs, labels)
-    kept = quality_classifier.score(docs, weights, into="__score", at_least=quality_classifier.THRESHOLD)
-    return kept.drop("__score")
+    return quality_classifier.accept(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

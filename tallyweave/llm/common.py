@@ -37,6 +37,14 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over all others."""
     x = x.astype(np.uint64)

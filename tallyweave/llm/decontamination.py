@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyweave.llm.common import free_name
 from tallyweave.session import pin
 
 WINDOW = 10
@@ -137,8 +138,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
-    hit = matches(docs, benchmark, window, shingle).select(F.col("row_key").alias("__hit")).distinct()
-    return docs.join(hit, _row_key() == F.col("__hit"), "left_anti")
+    name = free_name(docs, "hit")
+    hit = matches(docs, benchmark, window, shingle).select(F.col("row_key").alias(name)).distinct()
+    return docs.join(hit, _row_key() == F.col(name), "left_anti")
 
 
 # Independent of the operator: all windows of all documents against all windows of all items.

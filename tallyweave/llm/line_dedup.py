@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyweave.llm.common import BYTE_VALUES, SPACE, runs, slices, span_hashes
+from tallyweave.llm.common import BYTE_VALUES, SPACE, free_name, runs, slices, span_hashes
 from tallyweave.session import pin
 
 RUN = 2
@@ -126,30 +126,34 @@ def _delete_batches(names: list[str], schema: pa.Schema):
     return run
 
 
-def deduplicate(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with repeated runs deleted from text, and the counts __n_lines and __n_removed."""
-    gone = later_lines(docs, run).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "__gone")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc")) & (_text_key() == F.col("__key"))
-    joined = docs.join(gone, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__gone")
-    fields = joined.drop("__gone").schema.add("__n_lines", "long").add("__n_removed", "long")
-    return joined.mapInArrow(_delete_batches(docs.columns, to_arrow_schema(fields)), fields)
+def deduplicate(docs: DataFrame, run: int = RUN) -> tuple[DataFrame, str, str]:
+    """docs with repeated runs deleted from text; names of the counts of lines and of deleted ones."""
+    doc, key, gone = (free_name(docs, name) for name in ("line_doc", "line_key", "line_gone"))
+    total, removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
+    deleted = later_lines(docs, run).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias(gone))
+    deleted = deleted.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), gone)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (_text_key() == F.col(key))
+    joined = docs.join(deleted, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], gone)
+    fields = joined.drop(gone).schema.add(total, "long").add(removed, "long")
+    return joined.mapInArrow(_delete_batches(docs.columns, to_arrow_schema(fields)), fields), total, removed
 
 
 def clean(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs without repeated runs of lines; rows that lose all of their lines go."""
-    left = deduplicate(docs, run).where("__n_lines = 0 OR __n_removed < __n_lines")
+    left, total, removed = deduplicate(docs, run)
+    left = left.where((F.col(total) == 0) | (F.col(removed) < F.col(total)))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        changed = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
         left = left.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return left.drop("__n_lines", "__n_removed")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, run: int = RUN) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_chars, kept_sha256 of every row."""
     text = F.coalesce("text", F.lit(""))
-    return deduplicate(docs.select("doc_id", "text"), run).select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
+    left, total, removed = deduplicate(docs.select("doc_id", "text"), run)
+    return left.select(
+        "doc_id", F.col(total).alias("n_lines"), F.col(removed).alias("n_removed"),
         F.length(text).cast("bigint").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"),
     )
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.llm.common import (
-    BYTE_VALUES, LOWER, SPACE, mix, runs, seeded, slices, span_hashes, windows,
+    BYTE_VALUES, LOWER, SPACE, free_name, mix, runs, seeded, slices, span_hashes, windows,
 )
 from tallyweave.llm.components import components
 from tallyweave.session import pin
@@ -250,6 +250,10 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """The rows of docs of which one per component stays, with all their columns."""
-    gone = near_duplicates(docs, scheme).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of docs of which one document per component stays, with all their columns.
+
+    Rows that share an id are one document and stay or go together.
+    """
+    gone = free_name(docs, "gone")
+    others = near_duplicates(docs, scheme).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(others, F.col("doc_id").cast("bigint") == F.col(gone), "left_anti")

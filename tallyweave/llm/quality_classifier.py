@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyweave.llm.common import (
-    BYTE_VALUES, LOWER, SPACE, mix, runs, seeded, slices, span_hashes,
+    BYTE_VALUES, LOWER, SPACE, free_name, mix, runs, seeded, slices, span_hashes,
 )
 
 BUCKETS = 1 << 18
@@ -137,34 +137,38 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_sample
     return np.frombuffer(found[0].weights, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, into: str = "score", keep: list[str] | None = None,
-          at_least: float | None = None) -> DataFrame:
-    """Add the probability of label 1 to every row; with `at_least`, only return rows that reach it.
+def score(docs: DataFrame, weights: np.ndarray, into: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """Add the probability of label 1 to the kept columns (all, unless named) of every row.
 
     `weights` are a fixed number of values, so sending them to all tasks is bounded.
     """
-    kept = [c for c in (keep or docs.columns) if c != into]
-    carried = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("__text"))
-    schema = T.StructType([f for f in carried.schema if f.name != "__text"] + [T.StructField(into, T.DoubleType())])
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
+    carried = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias(free_name(docs, "scored_text")))
+    schema = T.StructType([*carried.schema[: len(kept)], T.StructField(into, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(np.asarray(weights, np.float32))
     out_schema = to_arrow_schema(schema)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value.astype(float)
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column("__text")):
+            for first, end, data, offsets in slices(batch.column(len(kept))):
                 rows, buckets, values = features(data, offsets)
                 dots = np.bincount(rows, values * w[buckets], end - first) + w[-1]
                 chance = 1 / (1 + np.exp(-np.clip(dots, -700, 700)))
                 part = batch.slice(first, end - first)
-                if at_least is not None:
-                    part, chance = part.filter(pa.array(chance >= at_least)), chance[chance >= at_least]
                 columns = [part.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(chance)], schema=out_schema)
 
     return carried.mapInArrow(scored, schema)
 
 
+def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns."""
+    into = free_name(docs, "score")
+    scored = score(docs, train(docs, labels.where(remainder() != 0)), into)
+    return scored.where(F.col(into) >= threshold).drop(into)
+
+
 def remainder():
     """crc32 of the id as text, modulo 5: 0 marks held-out rows."""
     return F.crc32(F.col("doc_id").cast("string")) % 5
