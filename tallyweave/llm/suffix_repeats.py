@@ -172,9 +172,9 @@ def suffix_array(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, leas
     text = np.repeat(np.arange(len(starts)), counts)
     offset = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     length, at = lengths[text] - offset, starts[text] + offset
-    width = int(lengths.max(initial=0))
+    width = int(lengths.max(initial=1))
     padded = np.r_[data, np.zeros(width, np.uint8)]
-    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at] if width else np.zeros((0, 1), np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at]
     rows = np.where(np.arange(width) < length[:, None], rows, np.uint8(0))
     # Equal but for their ends: the shorter first, as a prefix sorts.
     order = np.argsort(length, kind="stable")
