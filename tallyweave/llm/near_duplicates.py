@@ -10,9 +10,13 @@ and equal entries meet. All pairs within the distance are found, and pairs beyon
 probability that falls slowly. At similarity 0.8 the chance that no chunk meets is below 1e-5.
 
 Documents with equal sets are one class before any comparison. Links are confirmed on full sets.
-An entry shared by many classes never forms all pairs: members are first compared with the
-entry's smallest document and linked, and afterwards only members that are still in different
-components meet, with further pivots while there are many of them.
+An entry shared by many classes never forms all pairs. Its members are compared with one pivot,
+the document that shares most entries. Members linked to the pivot are connected. If x is not
+linked to the pivot p, and y is another member, then x and y can only be linked if they share a
+shingle that p does not have, or if y's set is smaller than p's and both have enough in common
+with p: what they share is otherwise part of p's set, which has too little in common with x. So
+pairs that are left meet by (pivot, shingle not in the pivot), which few documents share, and
+those groups are treated as entries again until all members of each are connected or compared.
 
 Null or empty texts and texts without words have an empty set and no links. Texts with fewer
 words than a shingle are one shingle. Equal rows share a class; a row without an id is linked
@@ -41,11 +45,8 @@ class Scheme:
     percent: int = 80
     chunks: int = 11
     width: int = 6
-    # Pairs that met and differ in more symbols are not compared: at the threshold similarity
-    # the expected number is 13 with a deviation of 3.3.
-    most_apart: int = 36
-    # Pivots are used while the pairs between components outnumber the members by this factor.
-    pairs_per_member: int = 8
+    # Rounds of pivots; groups still mixed after the last are compared pair by pair.
+    rounds: int = 5
 
     @property
     def symbols(self) -> int:
@@ -134,26 +135,38 @@ def _index_entries(scheme: Scheme):
     return run
 
 
-def _similar(scheme: Scheme):
+def _compare(scheme: Scheme):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Pairs arrive by pivot, so its set is often the one just made.
-        last, last_set = None, None
+        # Pairs mostly arrive by pivot, so its set is often the one just made.
+        last, pivot = None, np.zeros(0, np.uint64)
 
         def hashes(text: str) -> np.ndarray:
             data = np.frombuffer((text or "").encode(), np.uint8)
             return shingle_hashes(data, np.array([0, len(data)]), scheme.shingle)[1]
 
         for batch in batches:
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            texts_a, texts_b = batch.column("text_a"), batch.column("text_b")
-            linked = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, last_set = a[i], hashes(texts_a[i].as_py())
-                other = hashes(texts_b[i].as_py())
-                both = len(np.intersect1d(last_set, other, True))
-                linked[i] = 100 * both >= scheme.percent * (len(last_set) + len(other) - both) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], ["a", "b"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                a, b, many = (part.column(c).to_pylist() for c in ("a", "b", "many"))
+                texts_a, texts_b = part.column("text_a"), part.column("text_b")
+                common, size_a, size_b, more = [], [], [], []
+                for i in range(len(a)):
+                    if a[i] != last:
+                        last, pivot = a[i], hashes(texts_a[i].as_py())
+                    other = hashes(texts_b[i].as_py())
+                    at_pivot = np.minimum(np.searchsorted(pivot, other), len(pivot) - 1)
+                    held = pivot[at_pivot] == other
+                    common.append(int(held.sum()))
+                    size_a.append(len(pivot))
+                    size_b.append(len(other))
+                    more.append(other[~held].view(np.int64) if many[i] else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("a"), part.column("b"), *[pa.array(x, pa.int64()) for x in (common, size_a, size_b)],
+                        pa.array(more, pa.list_(pa.int64())),
+                    ],
+                    ["a", "b", "common", "n_a", "n_b", "added"],
+                )
 
     return run
 
@@ -162,35 +175,58 @@ def _similar(scheme: Scheme):
 BROADCAST_IDS = 2_000_000
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
-    sizes = reps.select("doc", "n_shingles", "symbols")
-    near = pairs.join(sizes.toDF("a", "n_a", "s_a"), "a").join(sizes.toDF("b", "n_b", "s_b"), "b")
-    near = near.where(100 * F.least("n_a", "n_b") >= scheme.percent * F.greatest("n_a", "n_b"))
-    apart = F.lit(0)
-    for j in range(1, scheme.symbols + 1):
-        apart = apart + (F.substring("s_a", j, 1) != F.substring("s_b", j, 1)).cast("int")
-    near = pin(near.where(apart <= scheme.most_apart).select("a", "b"))
-    wanted = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
+def _enough(common: Column, n_a: Column, n_b: Column, scheme: Scheme) -> Column:
+    return (100 + scheme.percent) * common >= scheme.percent * (n_a + n_b)
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """For pairs (pivot a, other b): sizes, common shingles, whether they are linked, and, where
+    the pivot has several others, the other's shingles that the pivot does not have."""
+    pairs = pin(pairs)
+    hubs = pairs.groupBy("a").agg((F.count("*") > 1).alias("many"))
+    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    # Rows of one id hold one text here, unless the table repeats an id; then any is the class's.
+    # One text per class; a table that repeats an id with other texts links them all.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").join(wanted, "doc", "left_semi")
-    full = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_similar(scheme), "a bigint, b bigint")
+    full = pairs.join(hubs, "a").join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    schema = "a bigint, b bigint, common bigint, n_a bigint, n_b bigint, added array<bigint>"
+    found = full.select("a", "b", "many", "text_a", "text_b").mapInArrow(_compare(scheme), schema)
+    return pin(found.withColumn("linked", _enough(F.col("common"), F.col("n_a"), F.col("n_b"), scheme)))
 
 
-def _pivot_pairs(members: DataFrame, pivot: Column) -> DataFrame:
-    chosen = members.groupBy("entry").agg(F.min(F.struct(pivot.alias("o"), "doc")).alias("p"))
-    chosen = chosen.select("entry", F.col("p.doc").alias("a"))
-    met = members.select("entry", F.col("doc").alias("b")).join(chosen, "entry").where("a <> b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pivot_pairs(groups: DataFrame) -> DataFrame:
+    """Each group's members (b) with its pivot (a): the member that meets most others."""
+    sizes = groups.groupBy("entry").agg(F.count("*").alias("n"))
+    meets = groups.join(sizes, "entry").groupBy("doc").agg(F.sum("n").alias("meets"))
+    pivots = groups.join(meets, "doc").groupBy("entry").agg(F.max(F.struct("meets", (-F.col("doc")).alias("o"))).alias("p"))
+    pairs = groups.select("entry", F.col("doc").alias("b")).join(pivots.select("entry", (-F.col("p.o")).alias("a")), "entry")
+    return pairs.where("a <> b").select("a", "b").distinct()
 
 
-def _mixed(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """Members, with components, of entries that hold more than one component."""
+def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """Pairs, and groups by shared further shingles, that may hold links the pivots missed."""
+    hubs = tested.groupBy("a").agg(
+        F.count("*").alias("n"), F.sum((~F.col("linked")).cast("int")).alias("apart"), F.min("n_b").alias("least")
+    )
+    around = tested.join(hubs.where("n > 1 AND apart > 0").select("a", "least"), "a")
+    smaller = around.where("n_b < n_a").select("a", F.col("b").alias("y"), F.col("common").alias("c_y"), F.col("n_b").alias("n_y"), F.col("linked").alias("l_y"))
+    outer = around.where(~F.col("linked") & _enough(F.col("common"), F.col("n_b"), F.col("least"), scheme))
+    outer = outer.select("a", F.col("b").alias("x"), F.col("common").alias("c_x"), F.col("n_b").alias("n_x"))
+    fits = _enough(F.least("c_x", "c_y"), F.col("n_x"), F.col("n_y"), scheme)
+    pairs = outer.join(smaller, "a").where(fits & (F.col("x") != F.col("y")))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    keyed = around.select("a", "b", "linked", F.explode("added").alias("shingle"))
+    keyed = keyed.select(F.xxhash64("a", "shingle").alias("entry"), F.col("b").alias("doc"), "linked")
+    mixed = keyed.groupBy("entry").agg(F.count("*").alias("n"), F.max(~F.col("linked")).alias("apart")).where("n > 1 AND apart")
+    return pairs, keyed.join(mixed.select("entry"), "entry").select("entry", "doc")
+
+
+def _mixed(groups: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members of groups that hold more than one component, with their components."""
     named = components(linked).withColumnRenamed("node", "doc")
-    named = members.join(named, "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("component"))
+    named = groups.select("entry", "doc").join(named, "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("component"))
     several = named.groupBy("entry").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     return pin(named.join(several.where("least <> most").select("entry"), "entry"))
 
@@ -204,33 +240,27 @@ def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFr
     reps = pin(
         some.groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min(F.struct("doc_id", "symbols")).alias("r"))
-        .select(F.col("r.doc_id").alias("doc"), "n_shingles", F.col("r.symbols").alias("symbols"))
+        .select(F.col("r.doc_id").alias("doc_id"), F.col("r.symbols").alias("symbols"))
     )
-    entries = reps.select(F.col("doc").alias("doc_id"), "symbols").mapInArrow(_index_entries(scheme), "entry bigint, doc bigint")
-    shared = entries.groupBy("entry").agg(F.count("*").alias("n"), F.min("doc").alias("pivot")).where("n > 1")
-    met = pin(entries.join(shared, "entry").where("doc <> pivot OR n > 2"))
-
-    first = met.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    linked = pin(_confirmed(first, reps, docs, scheme))
-    # With two members the pivot has met the other; larger entries may hold links without it.
-    members = met.where("n > 2").select("entry", "doc")
-    turn = 0
-    while True:
-        members = _mixed(members.select("entry", "doc"), linked)
-        size = members.groupBy("entry", "component").agg(F.count("*").alias("n")).groupBy("entry")
-        size = size.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        count, pairs = size.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
-        if not count:
-            return linked
-        if pairs <= scheme.pairs_per_member * count or turn >= 6:
+    entries = reps.mapInArrow(_index_entries(scheme), "entry bigint, doc bigint")
+    shared = entries.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
+    groups = pin(entries.join(shared, "entry").select("entry", "doc"))
+    tested = _compared(_pivot_pairs(groups), docs, scheme)
+    linked = tested.where("linked").select("a", "b")
+    for turn in range(scheme.rounds):
+        pairs, groups = _left_over(tested, scheme)
+        groups = _mixed(groups, linked)
+        left = groups.select("entry", F.col("doc").alias("a"), F.col("component").alias("of_a"))
+        if turn < scheme.rounds - 1:
+            more = pairs.unionByName(_pivot_pairs(groups)).distinct()
+        else:
+            right = left.toDF("entry", "b", "of_b")
+            more = pairs.unionByName(left.join(right, "entry").where("a < b AND of_a <> of_b").select("a", "b")).distinct()
+        tested = _compared(more, docs, scheme)
+        if tested.isEmpty():
             break
-        turn += 1
-        more = _pivot_pairs(members, F.xxhash64(F.lit(turn), "doc"))
-        linked = pin(linked.unionByName(_confirmed(more, reps, docs, scheme)))
-    left = members.toDF("entry", "a", "of_a")
-    right = members.toDF("entry", "b", "of_b")
-    cross = left.join(right, "entry").where("a < b AND of_a <> of_b").select("a", "b").distinct()
-    return pin(linked.unionByName(_confirmed(cross, reps, docs, scheme)))
+        linked = pin(linked.unionByName(tested.where("linked").select("a", "b")))
+    return linked
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
