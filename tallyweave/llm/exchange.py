@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyweave.llm.common import SLICE_BYTES, slices, text_bytes
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 2 << 20
 
 _codec = pa.Codec("zstd", 1)
@@ -121,8 +121,10 @@ def two_rounds(docs: DataFrame, method: Method, schema: str) -> DataFrame:
     """Run a method over all rows of docs (doc_id, text)."""
     spark = docs.sparkSession
     total, width = text_bytes(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(2 * width, -(-total // CHUNK_BYTES))
-    buckets = max(2 * width, -(-total // BUCKET_BYTES))
+    # At least a few for every core; beyond that they only depend on the texts.
+    cores = spark.sparkContext.defaultParallelism
+    chunks = max(cores, -(-total // CHUNK_BYTES))
+    buckets = max(cores, -(-total // BUCKET_BYTES))
 
     chunk = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(chunks)).cast("int")
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("chunk", chunk)
