@@ -11,12 +11,16 @@ probability that falls slowly. At similarity 0.8 the chance that no chunk meets
 
 Documents with equal sets are one class before any comparison. Links are confirmed on full sets.
 An entry shared by many classes never forms all pairs. Its members are compared with one pivot,
-the document that shares most entries. Members linked to the pivot are connected. If x is not
-linked to the pivot p, and y is another member, then x and y can only be linked if they share a
-shingle that p does not have, or if y's set is smaller than p's and both have enough in common
-with p: what they share is otherwise part of p's set, which has too little in common with x. So
-pairs that are left meet by (pivot, shingle not in the pivot), which few documents share, and
-those groups are treated as entries again until all members of each are connected or compared.
+the document that shares most entries. Members linked to the pivot are connected. For an outer
+member x, not linked to the pivot p, and another member y, what x and y share lies in p's set, or
+is a shingle that both have and p has not. The first part is at most what x shares with p, which
+is known, so x and y can only be linked if they share enough of the second kind (or, if no such
+shingle is needed, y's set is smaller than p's). Such shingles that no third member has are of no
+use; ordered by how many members have them, the first one that x and y share leaves enough behind
+it in both. A member therefore only offers the rarest of its shingles, and most offer none. Pairs
+that meet by one are compared if their shingles allow a link; a shingle that many members offer
+makes a group instead, treated as an entry again, until all members of each are connected or
+compared.
 
 Null or empty texts and texts without words have an empty set and no links. Texts with fewer
 words than a shingle are one shingle. Equal rows share a class; a row without an id is linked
@@ -30,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.llm.common import (
     BYTE_VALUES, LOWER, SPACE, free_name, mix, runs, seeded, slices, span_hashes, windows,
@@ -45,8 +49,10 @@ class Scheme:
     percent: int = 80
     chunks: int = 11
     width: int = 6
+    # A further shingle that at most this many members of a pivot share is probed pair by pair.
+    direct: int = 64
     # Rounds of pivots; groups still mixed after the last are compared pair by pair.
-    rounds: int = 5
+    rounds: int = 4
 
     @property
     def symbols(self) -> int:
@@ -156,16 +162,17 @@ def _compare(scheme: Scheme):
                     other = hashes(texts_b[i].as_py())
                     at_pivot = np.minimum(np.searchsorted(pivot, other), len(pivot) - 1)
                     held = pivot[at_pivot] == other
-                    common.append(int(held.sum()))
+                    n, both = len(other), int(held.sum())
+                    common.append(both)
                     size_a.append(len(pivot))
-                    size_b.append(len(other))
+                    size_b.append(n)
                     more.append(other[~held].view(np.int64) if many[i] else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("a"), part.column("b"), *[pa.array(x, pa.int64()) for x in (common, size_a, size_b)],
+                        part.column("a"), part.column("b"), part.column("many"), *[pa.array(x, pa.int64()) for x in (common, size_a, size_b)],
                         pa.array(more, pa.list_(pa.int64())),
                     ],
-                    ["a", "b", "common", "n_a", "n_b", "added"],
+                    ["a", "b", "many", "common", "n_a", "n_b", "added"],
                 )
 
     return run
@@ -180,17 +187,16 @@ def _enough(common: Column, n_a: Column, n_b: Column, scheme: Scheme) -> Column:
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """For pairs (pivot a, other b): sizes, common shingles, whether they are linked, and, where
-    the pivot has several others, the other's shingles that the pivot does not have."""
+    """For pairs (a, b, many): sizes, common shingles, whether they are linked, and, where many is
+    set, the shingles of b that a does not have."""
     pairs = pin(pairs)
-    hubs = pairs.groupBy("a").agg((F.count("*") > 1).alias("many"))
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     # One text per class; a table that repeats an id with other texts links them all.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").join(wanted, "doc", "left_semi")
-    full = pairs.join(hubs, "a").join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    schema = "a bigint, b bigint, common bigint, n_a bigint, n_b bigint, added array<bigint>"
+    full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    schema = "a bigint, b bigint, many boolean, common bigint, n_a bigint, n_b bigint, added array<bigint>"
     found = full.select("a", "b", "many", "text_a", "text_b").mapInArrow(_compare(scheme), schema)
     return pin(found.withColumn("linked", _enough(F.col("common"), F.col("n_a"), F.col("n_b"), scheme)))
 
@@ -201,34 +207,75 @@ def _pivot_pairs(groups: DataFrame) -> DataFrame:
     meets = groups.join(sizes, "entry").groupBy("doc").agg(F.sum("n").alias("meets"))
     pivots = groups.join(meets, "doc").groupBy("entry").agg(F.max(F.struct("meets", (-F.col("doc")).alias("o"))).alias("p"))
     pairs = groups.select("entry", F.col("doc").alias("b")).join(pivots.select("entry", (-F.col("p.o")).alias("a")), "entry")
-    return pairs.where("a <> b").select("a", "b").distinct()
+    pairs = pairs.where("a <> b").select("a", "b").distinct()
+    hubs = pairs.groupBy("a").agg((F.count("*") > 1).alias("many"))
+    return pairs.join(hubs, "a")
+
+
+def _required(n_a: Column, n_b: Column, scheme: Scheme) -> Column:
+    """Fewest common shingles of two linked sets."""
+    return F.ceil(scheme.percent * (n_a + n_b) / F.lit(100.0 + scheme.percent) - 1e-9)
 
 
 def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    """Pairs, and groups by shared further shingles, that may hold links the pivots missed."""
+    """Pairs, and groups by further shingles, that may hold links the pivots missed."""
     hubs = tested.groupBy("a").agg(
-        F.count("*").alias("n"), F.sum((~F.col("linked")).cast("int")).alias("apart"), F.min("n_b").alias("least")
+        F.count("*").alias("n"),
+        F.count_if(~F.col("linked")).alias("apart"),
+        F.min("n_b").alias("least"),
     )
     around = tested.join(hubs.where("n > 1 AND apart > 0").select("a", "least"), "a")
-    smaller = around.where("n_b < n_a").select("a", F.col("b").alias("y"), F.col("common").alias("c_y"), F.col("n_b").alias("n_y"), F.col("linked").alias("l_y"))
+
+    # Pairs that need no further shingle: the other's set is smaller than the pivot's.
+    smaller = around.where("n_b < n_a").select("a", F.col("b").alias("y"), F.col("common").alias("c_y"), F.col("n_b").alias("n_y"))
     outer = around.where(~F.col("linked") & _enough(F.col("common"), F.col("n_b"), F.col("least"), scheme))
     outer = outer.select("a", F.col("b").alias("x"), F.col("common").alias("c_x"), F.col("n_b").alias("n_x"))
     fits = _enough(F.least("c_x", "c_y"), F.col("n_x"), F.col("n_y"), scheme)
     pairs = outer.join(smaller, "a").where(fits & (F.col("x") != F.col("y")))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    keyed = around.select("a", "b", "linked", F.explode("added").alias("shingle"))
-    keyed = keyed.select(F.xxhash64("a", "shingle").alias("entry"), F.col("b").alias("doc"), "linked")
-    mixed = keyed.groupBy("entry").agg(F.count("*").alias("n"), F.max(~F.col("linked")).alias("apart")).where("n > 1 AND apart")
-    return pairs, keyed.join(mixed.select("entry"), "entry").select("entry", "doc")
+    # The fewest further shingles that a member shares with another it is linked to, where at least
+    # one of the two is not linked to the pivot.
+    needed = F.greatest(F.lit(1), _required(F.col("n_b"), F.col("least"), scheme) - F.col("common"))
+    around = around.withColumn("needed", F.when(~F.col("linked"), needed))
+    lowest = around.groupBy("a").agg(F.min("needed").alias("lowest"))
+    around = around.join(lowest, "a").withColumn("needed", F.coalesce("needed", "lowest"))
+    keyed = around.select("a", "b", "linked", "needed", "common", "n_b", F.explode("added").alias("shingle"))
+    several = keyed.groupBy("a", "shingle").agg(F.count("*").alias("f")).where("f > 1")
+    keyed = keyed.join(several, ["a", "shingle"])
+    own = Window.partitionBy("a", "b")
+    keyed = keyed.withColumns({"shared": F.count("*").over(own), "place": F.row_number().over(own.orderBy("f", "shingle"))})
+    # Of its shared ones, a member can spare all but the needed before it meets the first in common.
+    offered = keyed.where("place <= shared - needed + 1").select(
+        "a", "shingle", "b", "linked", "common", "n_b", (F.col("shared") - F.col("place") + 1).alias("behind")
+    )
+    offers = offered.groupBy("a", "shingle").agg(F.count("*").alias("f"), F.count_if(~F.col("linked")).alias("outer"))
+    offered = offered.join(offers.where("f > 1 AND outer > 0"), ["a", "shingle"])
+    few = offered.where(F.col("f") <= scheme.direct)
+    one = few.where("NOT linked").select("a", "shingle", *[F.col(n).alias(f"{n}_x") for n in ("b", "common", "n_b", "behind")])
+    two = few.select("a", "shingle", *[F.col(n).alias(f"{n}_y") for n in ("b", "common", "n_b", "behind")])
+    at_least = _required(F.col("n_b_x"), F.col("n_b_y"), scheme) - F.least("common_x", "common_y")
+    on = [one["a"] == two["a"], one["shingle"] == two["shingle"], one["b_x"] != two["b_y"], F.least("behind_x", "behind_y") >= at_least]
+    met = one.join(two, on).select(one["a"], F.least("b_x", "b_y").alias("x"), F.greatest("b_x", "b_y").alias("y")).distinct()
+    sets = around.select("a", "b", "common", "n_b", "added")
+    met = met.join(sets.toDF("a", "x", "c_x", "n_x", "s_x"), ["a", "x"]).join(sets.toDF("a", "y", "c_y", "n_y", "s_y"), ["a", "y"])
+    most = F.least("c_x", "c_y") + F.size(F.array_intersect("s_x", "s_y"))
+    met = met.where(_enough(most, F.col("n_x"), F.col("n_y"), scheme)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = offered.where(F.col("f") > scheme.direct)
+    return pairs.unionByName(met).distinct(), groups.select(F.xxhash64("a", "shingle").alias("entry"), F.col("b").alias("doc"))
+
+
+def _mixed(groups: DataFrame, named: DataFrame) -> DataFrame:
+    """Members of groups that hold more than one component, with their components."""
+    held = groups.select("entry", "doc").join(named.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("component"))
+    several = held.groupBy("entry").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return pin(held.join(several.where("least <> most").select("entry"), "entry"))
 
 
-def _mixed(groups: DataFrame, linked: DataFrame) -> DataFrame:
-    """Members of groups that hold more than one component, with their components."""
-    named = components(linked).withColumnRenamed("node", "doc")
-    named = groups.select("entry", "doc").join(named, "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("component"))
-    several = named.groupBy("entry").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    return pin(named.join(several.where("least <> most").select("entry"), "entry"))
+def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs that are not in one component yet."""
+    ends = pairs.join(named.toDF("a", "of_a"), "a", "left").join(named.toDF("b", "of_b"), "b", "left")
+    return ends.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
@@ -247,19 +294,24 @@ def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFr
     groups = pin(entries.join(shared, "entry").select("entry", "doc"))
     tested = _compared(_pivot_pairs(groups), docs, scheme)
     linked = tested.where("linked").select("a", "b")
+    once = F.lit(False).alias("many")
     for turn in range(scheme.rounds):
-        pairs, groups = _left_over(tested, scheme)
-        groups = _mixed(groups, linked)
-        left = groups.select("entry", F.col("doc").alias("a"), F.col("component").alias("of_a"))
-        if turn < scheme.rounds - 1:
-            more = pairs.unionByName(_pivot_pairs(groups)).distinct()
-        else:
-            right = left.toDF("entry", "b", "of_b")
-            more = pairs.unionByName(left.join(right, "entry").where("a < b AND of_a <> of_b").select("a", "b")).distinct()
-        tested = _compared(more, docs, scheme)
-        if tested.isEmpty():
-            break
+        pairs, groups = _left_over(tested.where("many"), scheme)
+        named = pin(components(linked))
+        groups = _mixed(groups, named)
+        pairs = _apart(pairs, named).select("a", "b", once)
+        done = groups.isEmpty()
+        if not done and turn < scheme.rounds - 1:
+            stars = _pivot_pairs(groups)
+            pairs = pairs.join(stars, ["a", "b"], "left_anti").unionByName(stars)
+        elif not done:
+            left = groups.select("entry", F.col("doc").alias("a"), F.col("component").alias("of_a"))
+            cross = left.join(left.toDF("entry", "b", "of_b"), "entry").where("a < b AND of_a <> of_b")
+            pairs = pairs.unionByName(cross.select("a", "b", once)).distinct()
+        tested = _compared(pairs, docs, scheme)
         linked = pin(linked.unionByName(tested.where("linked").select("a", "b")))
+        if done:
+            break
     return linked
 
 
