@@ -1,8 +1,14 @@
-"""Reading survey exports: many delimited files, each with its own encoding and delimiter.
+"""Reading survey exports: delimited files of any size, each with its own encoding and delimiter.
 
-Files are spread over tasks; a task decodes, sniffs and tokenises one file at a time and
-streams its records out in batches. The size of every file is checked before its content is
-read; larger files take `read_large_export`, which splits one file over many tasks.
+Files are read as lines of bytes, so that Spark can split a large one over many tasks. Whether a
+line end lies inside a quoted cell depends on everything before it, but a stretch of lines only
+turns one of two states (outside or inside a quoted cell) into another. A first scan works that
+out per input split and delimiter, together with the encoding and the delimiter count of the
+file's head; the few results are chained in file order, and a second scan knows for each split
+in which state it begins. Only records that span splits are moved to be joined.
+
+A quote opens a cell only where a cell starts (5"monitor is plain text), and a doubled quote
+inside a quoted cell is one quote. Line ends inside cells are kept as they are.
 """
 
 from __future__ import annotations
@@ -15,24 +21,24 @@ import unicodedata
 from collections.abc import Iterator
 from statistics import pvariance
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyweave.constants import BLANK_TOKENS, FILE_DELIMITERS, SNIFF_LINES
+from tallyweave.functions.text import norm_text
 from tallyweave.model import Survey, traits_of
 from tallyweave.operators.inference import infer_kinds
+from tallyweave.operators.joins import dim_join
 from tallyweave.operators.questions import build_questions
-from tallyweave.operators.ranking import ranked
 from tallyweave.profiles import DEFAULT_PROFILES
 from tallyweave.session import pin
 from tallyweave.sources.layout import fold_paired, named_columns
 
-MAX_FILE_BYTES = 256 * 1024 * 1024
-MAX_CELL_LINES = 100_000
-_BATCH = 4096
-RECORDS = """survey_id string, record string, response_id bigint, cells array<string>,
-             n bigint, detail string"""
+SPLIT = ["survey_id", "split"]
+# A split's row is about 150 bytes, so a broadcast stays near 40 MB.
+BROADCAST_SPLITS = 250_000
 _PIECE = re.compile(r'"[^"]*(?:"|\Z)|\r\n|\r|\n|[^"\r\n]+')
+_BOM = b"\xef\xbb\xbf"
 
 
 def sniff_delimiter(text: str) -> str:
@@ -44,7 +50,7 @@ def sniff_delimiter(text: str) -> str:
     line = ""
 
     def keep() -> None:
-        if line.strip(" \u3000"):
+        if line.strip(" 　"):
             lines.append(line)
 
     for piece in _PIECE.finditer(text):
@@ -66,16 +72,8 @@ def sniff_delimiter(text: str) -> str:
     return best
 
 
-def decode(content: bytes) -> tuple[str, bool]:
-    """Text of a file and whether the CP932 fallback was needed."""
-    try:
-        return content.decode("utf-8-sig"), False
-    except UnicodeDecodeError:
-        return content.decode("cp932", errors="replace"), True
-
-
 # White space as in functions.text.WS.
-_WS = "\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(
+_WS = "\t\n\v\f\r       　﻿" + "".join(
     chr(c) for c in range(0x2000, 0x200B)
 )
 
@@ -85,103 +83,350 @@ def _blank(cell: str) -> bool:
     return text == "" or text in BLANK_TOKENS
 
 
-def _records(text: str, delimiter: str) -> Iterator[list[str]]:
-    # A quoted cell may be as long as its file.
-    csv.field_size_limit(sys.maxsize)
-    yield from csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
-    if text.endswith(("\n", "\r")):
-        yield []
-
-
-def _file_rows(survey_id: str, content: bytes) -> Iterator[tuple]:
-    """Records of one file: a header, its non-blank rows at header width, and warnings."""
-    text, fallback = decode(content)
-    delimiter = sniff_delimiter(text)
-    records = _records(text, delimiter)
-    header = next(records, [])
-    yield (survey_id, "delimiter", None, None, None, delimiter)
-    if fallback:
-        yield (survey_id, "warning", None, None, 1, "decoded-as-cp932")
-    if text.count('"') % 2:
-        yield (survey_id, "warning", None, None, 1, "unclosed-quote")
-    if all(not unicodedata.normalize("NFKC", h).strip(_WS) for h in header):
-        yield (survey_id, "warning", None, None, 1, "empty-table")
-        return
-    yield (survey_id, "header", None, header, None, None)
-    width, kept, blank, long = len(header), 0, 0, 0
-    for record in records:
-        long += len(record) > width
-        cells = record[:width] + [""] * (width - len(record))
-        if all(map(_blank, cells)):
-            blank += 1
-            continue
-        yield (survey_id, "row", kept, cells, None, None)
-        kept += 1
-    if long:
-        yield (survey_id, "warning", None, None, long, "truncated-rows")
-    if blank:
-        yield (survey_id, "warning", None, None, blank, "blank-rows")
-
-
-def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["survey_id", "record", "response_id", "cells", "n", "detail"]
-    for batch in batches:
-        for survey_id, content in zip(batch["survey_id"], batch["content"]):
-            buffer: list[tuple] = []
-            for row in _file_rows(survey_id, bytes(content)):
-                buffer.append(row)
-                if len(buffer) == _BATCH:
-                    yield _frame(buffer, names)
-                    buffer = []
-            if buffer:
-                yield _frame(buffer, names)
+# ---- quote state ----------------------------------------------------------------------------
+
+
+class Quotes:
+    """Where records end in a stretch of whole lines."""
+
+    def __init__(self, delimiter: str):
+        mark = re.escape(delimiter.encode())
+        self._opening = re.compile(rb'(?:(?<=[\r\n])|(?<=' + mark + rb')|\A)"')
+        self._rest = re.compile(rb'(?:[^"]|"")*')
+
+    def scan(self, text: bytes, inside: bool) -> tuple[bool, int, int]:
+        """State at the end, and the ends of the first and the last line that ends a record.
 
+        The text begins at a line's start, inside a quoted cell or not, and ends with a line
+        end; -1 stands for no such line.
+        """
+        first = last = -1
+        at, end = 0, len(text)
+        while True:
+            if inside:
+                # Up to the quote that is not doubled; the cell goes on as plain text after it.
+                at = self._rest.match(text, at).end()
+                if at == end:
+                    return True, first, last
+                at, inside = at + 1, False
+            found = self._opening.search(text, at)
+            stop = found.start() if found else end
+            if first < 0:
+                first = text.find(b"\n", at, stop) + 1 or -1
+            last = max(last, text.rfind(b"\n", at, stop) + 1 or -1)
+            if not found:
+                return False, first, last
+            at, inside = found.end(), True
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
-    for c in ("response_id", "n"):
-        frame[c] = frame[c].astype("Int64")
-    return frame
 
+# ---- lines and splits -----------------------------------------------------------------------
 
-def read_records(spark: SparkSession, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Parsed records of all files under a path, written once to the checkpoint folder.
 
-    `survey_id` is the file name. Raises when a file is larger than `max_file_bytes`.
+def _relative(path: str) -> Column:
+    """A file's path below the folder that is read; its name when the file itself is, and its full
+    path when a pattern is."""
+    # A plus sign is not a blank in a path.
+    full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    if re.search(r"[*?\[{]", path):
+        return full
+    root = re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/") + "/"
+    at = F.locate(root, full)
+    below = F.substring(full, at + F.lit(len(root)), F.length(full))
+    return F.when(at > 0, below).otherwise(F.regexp_extract(full, "([^/]+)$", 1))
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(survey_id, split, at, line, size) of all files under a path; lines as bytes.
+
+    `split` is where the input split begins in its file; its lines arrive together, in order.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    # Only file listings are read here; the content column is pruned.
-    biggest = files.agg(F.max("length")).first()[0] or 0
-    if biggest > max_file_bytes:
-        raise ValueError(
-            f"a file holds {biggest} bytes, more than {max_file_bytes}; use read_large_export"
-        )
-    named = files.select(
-        F.url_decode(F.regexp_extract("path", "([^/]+)$", 1)).alias("survey_id"), "content"
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    return lines.select(
+        _relative(path).alias("survey_id"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").cast("binary").alias("line"),
+        F.col("_metadata.file_size").alias("size"),
     )
-    # The scan packs files into tasks by spark.sql.files.maxPartitionBytes, so a batch of
-    # contents stays near that size.
-    return pin(named.mapInPandas(_parse_files, RECORDS))
 
 
-def tables_of(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(columns, responses, warnings) of parsed records."""
-    raw = records.where("record = 'header'").select(
-        "survey_id", F.posexplode("cells").alias("col_idx", "header_raw")
+def content_lines(contents: DataFrame, lines_per_split: int = 10_000) -> DataFrame:
+    """The same from (survey_id, content BINARY) rows, one row per file."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for survey_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                content = content or b""
+                body = content.removeprefix(_BOM)
+                lines = body.split(b"\n")
+                lines = lines[:-1] if body.endswith(b"\n") else lines if body else []
+                for first in range(0, len(lines), lines_per_split):
+                    part = lines[first : first + lines_per_split]
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([survey_id] * n, pa.string()),
+                            pa.array([first] * n, pa.int64()),
+                            pa.array(range(first, first + n), pa.int64()),
+                            pa.array(part, pa.binary()),
+                            pa.array([len(content)] * n, pa.int64()),
+                        ],
+                        ["survey_id", "split", "at", "line", "size"],
+                    )
+
+    schema = "survey_id string, split bigint, at bigint, line binary, size bigint"
+    return contents.select("survey_id", "content").mapInArrow(cut, schema)
+
+
+def _split_runs(batches: Iterator[pa.RecordBatch], more: tuple[str, ...]) -> Iterator[tuple[tuple, bool, list[bytes]]]:
+    """(split key and further columns, whether it begins, lines) for stretches of one split."""
+    current = None
+    for batch in batches:
+        keys = list(zip(*[batch.column(c).to_pylist() for c in (*SPLIT, *more)]))
+        lines = batch.column("line").to_pylist()
+        start = 0
+        for i in range(1, len(keys) + 1):
+            if i == len(keys) or keys[i][:2] != keys[start][:2]:
+                yield keys[start], keys[start][:2] != current, lines[start:i]
+                current, start = keys[start][:2], i
+
+
+# Sniffing needs a few lines; a head of this many bytes without them is looked at as it is.
+_HEAD_BYTES = 4 << 20
+
+
+def _profile_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    scanners = [Quotes(d) for d in FILE_DELIMITERS]
+    names = ["survey_id", "split", "size", "bytes", "valid", "cr", "ends", "sniffed"]
+    rows: list = []
+
+    def finish() -> dict:
+        head = b"\n".join(state["head"])
+        texts = []
+        for encoding in ("utf-8", "cp932"):
+            texts.append(sniff_delimiter(head.decode(encoding, errors="replace")) if state["key"][1] == 0 else None)
+        return dict(zip(names, (*state["key"], state["bytes"], state["valid"], state["cr"], state["ends"], texts)))
+
+    state: dict = {}
+    for key, begins, lines in _split_runs(batches, ("size",)):
+        if begins:
+            if state:
+                rows.append(finish())
+            state = {"key": key, "bytes": 0, "valid": True, "cr": False, "head": [], "held": 0,
+                     "ends": [[False, True] for _ in FILE_DELIMITERS]}
+        text = b"\n".join(lines) + b"\n"
+        state["bytes"] += len(text)
+        state["cr"] = lines[-1].endswith(b"\r")
+        if state["valid"]:
+            try:
+                text.decode("utf-8")
+            except UnicodeDecodeError:
+                state["valid"] = False
+        if key[1] == 0 and state["held"] < _HEAD_BYTES:
+            state["head"] += lines
+            state["held"] += len(text)
+        if b'"' in text:
+            for scanner, ends in zip(scanners, state["ends"]):
+                ends[:] = [scanner.scan(text, s)[0] for s in ends]
+        if len(rows) >= 1000:
+            yield pa.RecordBatch.from_pylist(rows, _PROFILE)
+            rows = []
+    if state:
+        rows.append(finish())
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _PROFILE)
+
+
+_PROFILE = pa.schema(
+    [("survey_id", pa.string()), ("split", pa.int64()), ("size", pa.int64()), ("bytes", pa.int64()), ("valid", pa.bool_()),
+     ("cr", pa.bool_()), ("ends", pa.list_(pa.list_(pa.bool_()))), ("sniffed", pa.list_(pa.string()))]
+)
+_PROFILE_SQL = """survey_id string, split bigint, size bigint, bytes bigint, valid boolean, cr boolean,
+                  ends array<array<boolean>>, sniffed array<string>"""
+
+
+def profile_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, splits): encoding, delimiter and end of every file; the state before every split."""
+    found = pin(lines.mapInArrow(_profile_splits, _PROFILE_SQL))
+    # Line ends are one byte each, a byte order mark is three and already gone.
+    extra = F.max("size") - F.sum("bytes")
+    files = found.groupBy("survey_id").agg(
+        F.min("valid").alias("utf8"),
+        F.min_by("sniffed", "split").alias("sniffed"),
+        extra.isin(0, 3).alias("ends_lf"),
+        F.max_by("cr", "split").alias("ends_cr"),
     )
-    columns = named_columns(raw)
-    responses = records.where("record = 'row'").select(
-        "survey_id", "response_id", F.lit(True).alias("included"), "cells"
+    files = files.select(
+        "survey_id", "utf8", "ends_lf", (F.col("ends_lf") | F.col("ends_cr")).alias("blank_end"),
+        F.when(F.col("utf8"), F.get("sniffed", F.lit(0))).otherwise(F.get("sniffed", F.lit(1))).alias("delimiter"),
     )
-    found = records.where("record = 'warning'").select(
-        "survey_id", F.col("detail").alias("code"), "n"
+    number = F.array_position(F.array(*[F.lit(d) for d in FILE_DELIMITERS]), F.col("delimiter")).cast("int") - 1
+    chained = found.join(files, "survey_id").withColumn("turn", F.get("ends", number))
+    # A stretch that ends alike from both states decides; otherwise it keeps the state or turns it.
+    order = Window.partitionBy("survey_id").orderBy("split")
+    outside, inside = F.get("turn", F.lit(0)), F.get("turn", F.lit(1))
+    decided = F.when(outside == inside, F.col("split"))
+    chained = chained.withColumn("_since", F.coalesce(F.last(decided, True).over(order), F.lit(-1)))
+    run = Window.partitionBy("survey_id", "_since").orderBy("split")
+    base = F.first(F.when(outside == inside, outside).otherwise(F.lit(False))).over(run)
+    turns = F.sum(F.when((outside != inside) & outside, 1).otherwise(0)).over(run)
+    chained = chained.withColumn("_after", base != (turns % 2 == 1))
+    splits = chained.select(
+        *SPLIT, "delimiter", "utf8", F.coalesce(F.lag("_after").over(order), F.lit(False)).alias("inside"),
+        F.col("_after").alias("stays_open"),
     )
-    renamed = (
-        columns.where("renamed")
-        .groupBy("survey_id")
-        .agg(F.lit("renamed-headers").alias("code"), F.count(F.lit(1)).alias("n"))
+    return files, pin(splits)
+
+
+# ---- records --------------------------------------------------------------------------------
+
+_RECORDS = "survey_id string, split bigint, n bigint, cells array<string>, first_filled int, piece binary"
+_RECORD_SCHEMA = pa.schema(
+    [("survey_id", pa.string()), ("split", pa.int64()), ("n", pa.int64()), ("cells", pa.list_(pa.string())),
+     ("first_filled", pa.int32()), ("piece", pa.binary())]
+)
+_BATCH = 4096
+# Numbers of pieces: the end of a record begun in an earlier split, all of a split inside one, and
+# the beginning of a record that goes on in the next split.
+_ENDED, _INSIDE, _BEGUN = -1, -2, -3
+
+
+def _tokens(text: bytes, delimiter: str, utf8: bool) -> Iterator[tuple[list[str], int | None]]:
+    """Cells of whole records, and the number of the first cell that is not blank."""
+    # A quoted cell may be as long as its file.
+    csv.field_size_limit(sys.maxsize)
+    decoded = text.decode("utf-8" if utf8 else "cp932", errors="replace")
+    for cells in csv.reader(io.StringIO(decoded, newline=""), delimiter=delimiter):
+        yield cells, next((i for i, c in enumerate(cells) if not _blank(c)), None)
+
+
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records that lie in one split; what is left of others as pieces, in order."""
+    rows: list[dict] = []
+    scanners = {d: Quotes(d) for d in FILE_DELIMITERS}
+
+    def row(n, cells=None, filled=None, piece=None):
+        rows.append({"survey_id": key[0], "split": key[1], "n": n, "cells": cells, "first_filled": filled, "piece": piece})
+
+    def rest() -> None:
+        nonlocal held
+        if held:
+            row(_INSIDE if leading else _BEGUN, piece=held)
+        held = b""
+
+    held, inside, leading, n, key = b"", False, False, 0, None
+    for found, begins, lines in _split_runs(batches, ("delimiter", "utf8", "inside")):
+        if begins:
+            if key:
+                rest()
+            key, inside, held, n = found, found[4], b"", 0
+            leading = inside
+        text = b"\n".join(lines) + b"\n"
+        inside, first, last = scanners[found[2]].scan(text, inside)
+        if leading and first > 0:
+            # The end of a record that began in an earlier split.
+            row(_ENDED, piece=held + text[:first])
+            text, held, leading, last = text[first:], b"", False, last - first
+        if not leading and last >= 0:
+            for cells, filled in _tokens(held + text[:last], found[2], found[3]):
+                row(n, cells, filled)
+                n += 1
+            text, held = text[last:], b""
+        held += text
+        while len(rows) >= _BATCH:
+            yield pa.RecordBatch.from_pylist(rows[:_BATCH], _RECORD_SCHEMA)
+            rows = rows[_BATCH:]
+    if key:
+        rest()
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _RECORD_SCHEMA)
+
+
+def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            text = b"".join(r["pieces"])
+            text = text[:-1] if r["cut"] else text
+            for i, (cells, filled) in enumerate(_tokens(text, r["delimiter"], r["utf8"])):
+                rows.append({"survey_id": r["survey_id"], "split": r["owner"], "n": (1 << 40) + i, "cells": cells, "first_filled": filled, "piece": None})
+        yield pa.RecordBatch.from_pylist(rows, _RECORD_SCHEMA)
+
+
+def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(columns, responses, warnings) of the files whose lines are given."""
+    files, splits = profile_files(lines)
+    count = splits.limit(BROADCAST_SPLITS + 1).count()
+    known = splits.select(*SPLIT, "delimiter", "utf8", "inside")
+    if count <= BROADCAST_SPLITS:
+        named = lines.join(F.broadcast(known), SPLIT)
+    else:
+        named = lines.join(known, SPLIT).repartition(*SPLIT).sortWithinPartitions(*SPLIT, "at")
+    parsed = pin(named.select(*SPLIT, "line", "delimiter", "utf8", "inside").mapInArrow(_tokenise, _RECORDS))
+
+    # The end of a record, and a split inside one, belong to the last split that began a record.
+    pieces = parsed.where("piece IS NOT NULL").join(splits.select(*SPLIT, "delimiter", "utf8"), SPLIT)
+    order = Window.partitionBy("survey_id").orderBy("split", F.col("n").desc())
+    pieces = pieces.withColumn("owner", F.last(F.when(F.col("n") == _BEGUN, F.col("split")), True).over(order))
+    listed = F.array_sort(F.collect_list(F.struct("split", (-F.col("n")).alias("n"), "piece")))
+    joined = pieces.groupBy("survey_id", "owner", "delimiter", "utf8").agg(F.transform(listed, lambda p: p["piece"]).alias("pieces"))
+    # An open cell at the end of a file without a last line end has been given one.
+    opened = splits.groupBy("survey_id").agg(F.max_by("stays_open", "split").alias("opened"), F.max("split").alias("_last"))
+    unended = files.where("NOT ends_lf").join(opened.where("opened"), "survey_id").select("survey_id", F.lit(True).alias("unended"))
+    last_owner = Window.partitionBy("survey_id")
+    joined = joined.withColumn("_final", F.col("owner") == F.max("owner").over(last_owner)).join(unended, "survey_id", "left")
+    joined = joined.withColumn("cut", F.coalesce("unended", F.lit(False)) & F.col("_final")).drop("_final", "unended")
+    whole = parsed.where("piece IS NULL").unionByName(joined.mapInArrow(_join_pieces, _RECORDS))
+    return _tables(whole.drop("piece"), files, splits)
+
+
+def _tables(records: DataFrame, files: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    place = F.struct("split", "n")
+    headers = pin(records.groupBy("survey_id").agg(F.min(place).alias("first"), F.min_by("cells", place).alias("names")))
+    raw = headers.select("survey_id", F.posexplode("names").alias("col_idx", "header_raw"))
+    filled = raw.groupBy("survey_id").agg(F.max(norm_text(F.col("header_raw")) != "").alias("filled")).where("filled")
+    columns = named_columns(raw.join(filled.select("survey_id"), "survey_id", "left_semi"))
+
+    sized = headers.join(filled, "survey_id").select("survey_id", "first", F.size("names").alias("width"))
+    rows = dim_join(records, sized, ["survey_id"], "n").where(place != F.col("first"))
+    rows = rows.withColumn("blank", F.coalesce(F.col("first_filled") >= F.col("width"), F.lit(True)))
+    padding = F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.col("width") - F.size("cells")))
+    cells = F.slice(F.concat("cells", padding), F.lit(1), F.col("width"))
+    kept = rows.where(~F.col("blank")).withColumn("_no", F.row_number().over(Window.partitionBy(*SPLIT).orderBy("n")))
+    # Splits are numbered on their counts: one row per input split of a file.
+    counts = rows.where(~F.col("blank")).groupBy(*SPLIT).agg(F.count("*").alias("k"))
+    earlier = Window.partitionBy("survey_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_before", F.coalesce(F.sum("k").over(earlier), F.lit(0))).drop("k")
+    responses = dim_join(kept, shifts, SPLIT, "n").select(
+        "survey_id", (F.col("_no") + F.col("_before") - 1).alias("response_id"), F.lit(True).alias("included"), cells.alias("cells")
     )
-    return columns, responses, found.unionByName(renamed)
+
+    one = F.lit(1).cast("bigint")
+    tallies = rows.groupBy("survey_id").agg(F.count_if(F.size("cells") > F.col("width")).alias("long"), F.count_if("blank").alias("blanks"))
+    opened = splits.groupBy("survey_id").agg(F.max_by("stays_open", "split").alias("opened"))
+    stated = files.join(filled, "survey_id", "left").join(tallies, "survey_id", "left").join(opened, "survey_id")
+    # A final line end is followed by one more, empty record, unless a quote is still open.
+    last = F.when(F.col("blank_end") & ~F.col("opened"), 1).otherwise(0)
+    blanks = F.when(F.col("filled"), F.coalesce("blanks", F.lit(0)) + last).otherwise(0)
+    found = {
+        "decoded-as-cp932": F.when(~F.col("utf8"), one),
+        "unclosed-quote": F.when(F.col("opened"), one),
+        "empty-table": F.when(F.col("filled").isNull(), one),
+        "truncated-rows": F.col("long"),
+        "blank-rows": blanks,
+    }
+    listed = F.array(*[F.struct(F.lit(code).alias("code"), n.cast("bigint").alias("n")) for code, n in found.items()])
+    warnings = stated.select("survey_id", F.inline(listed)).where("n > 0")
+    renamed = columns.where("renamed").groupBy("survey_id").agg(F.lit("renamed-headers").alias("code"), F.count("*").alias("n"))
+    return columns, responses, warnings.unionByName(renamed)
+
+
+def read_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(columns, responses, warnings) of all files under a path, or of one file.
+
+    `survey_id` is the path below the given folder.
+    """
+    return parse_lines(file_lines(spark, path))
 
 
 def assemble(columns: DataFrame, responses: DataFrame, warnings: DataFrame, profiles=DEFAULT_PROFILES) -> Survey:
@@ -208,95 +453,4 @@ def assemble(columns: DataFrame, responses: DataFrame, warnings: DataFrame, prof
 
 def read_surveys(spark: SparkSession, path: str, profiles=DEFAULT_PROFILES) -> Survey:
     """All exports under a path as one survey bundle."""
-    return assemble(*tables_of(read_records(spark, path)), profiles)
-
-
-# ---- one large file over many tasks -------------------------------------------------------
-
-
-def read_large_export(
-    spark: SparkSession, path: str, delimiter: str, survey_id: str
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(columns, responses, warnings) of UTF-8 exports of any size, split over many tasks.
-
-    Quoted cells may span lines. A line starts a record when the number of quotes before it is
-    even; quotes are summed per input split, splits are chained by a running sum over split
-    totals, and lines of a record are then joined. Row order and numbering follow the file.
-    """
-    lines = (
-        spark.read.option("lineSep", "\n")
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_split"),
-            F.monotonically_increasing_id().alias("_at"),
-            F.regexp_replace("value", "\\r\\z", "").alias("line"),
-        )
-    )
-    # Line numbers depend on how the scan was split, so they are fixed once.
-    lines = pin(lines.withColumn("_quotes", F.length("line") - F.length(F.replace("line", F.lit('"')))))
-    split_order = Window.partitionBy(F.lit(0)).orderBy("_file", "_split")
-    in_split = Window.partitionBy("_file", "_split").orderBy("_at")
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    totals = lines.groupBy("_file", "_split").agg(F.sum("_quotes").alias("q"))
-    # One row per input split (a file block), so this window stays small.
-    starts = totals.withColumn("_q0", F.coalesce(F.sum("q").over(before(split_order)), F.lit(0)))
-    opened = (
-        lines.join(starts.drop("q"), ["_file", "_split"])
-        .withColumn("_open", F.col("_q0") + F.coalesce(F.sum("_quotes").over(before(in_split)), F.lit(0)))
-        .withColumn("_starts", (F.col("_open") % 2 == 0).cast("bigint"))
-    )
-    counts = opened.groupBy("_file", "_split").agg(F.sum("_starts").alias("s"))
-    shifts = counts.withColumn("_s0", F.coalesce(F.sum("s").over(before(split_order)), F.lit(0)))
-    numbered = opened.join(shifts.drop("s"), ["_file", "_split"]).withColumn(
-        "_record", F.col("_s0") + F.sum("_starts").over(in_split) - 1
-    )
-    longest = numbered.groupBy("_record").count().agg(F.max("count")).first()[0] or 0
-    if longest > MAX_CELL_LINES:
-        raise ValueError(f"a record spans {longest} lines; a quote is probably never closed")
-    text = (
-        numbered.groupBy("_record")
-        .agg(F.array_sort(F.collect_list(F.struct("_file", "_split", "_at", "line"))).alias("_lines"))
-        .withColumn("text", F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"))
-        .select("_record", "text")
-    )
-    return _large_tables(spark, text, delimiter, survey_id)
-
-
-def _large_tables(
-    spark: SparkSession, text: DataFrame, delimiter: str, survey_id: str
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        csv.field_size_limit(sys.maxsize)
-        for b in batches:
-            texts = [t.removeprefix("\ufeff") if r == 0 else t for r, t in zip(b["_record"], b["text"])]
-            cells = [next(csv.reader(io.StringIO(t, newline=""), delimiter=delimiter), []) for t in texts]
-            blank = [all(map(_blank, c)) for c in cells]
-            yield pd.DataFrame({"_record": b["_record"], "cells": cells, "blank": blank})
-
-    records = pin(text.mapInPandas(tokenise, "_record bigint, cells array<string>, blank boolean"))
-    header = records.where("_record = 0").select(F.lit(survey_id).alias("survey_id"), "cells")
-    columns = named_columns(
-        header.select("survey_id", F.posexplode("cells").alias("col_idx", "header_raw"))
-    )
-    width = header.select(F.size("cells")).first()[0]
-    padding = F.greatest(F.lit(0), F.lit(width) - F.size("cells"))
-    shaped = records.where("_record > 0").select(
-        "_record",
-        "blank",
-        (F.size("cells") > width).alias("long"),
-        F.slice(F.concat("cells", F.array_repeat(F.lit(""), padding)), 1, width).alias("cells"),
-    )
-    kept = ranked(
-        shaped.where("not blank").select(F.lit(survey_id).alias("survey_id"), "_record", "cells"),
-        ["survey_id"], [F.col("_record")], into="_no",
-    )
-    responses = kept.select(
-        "survey_id", (F.col("_no") - 1).alias("response_id"), F.lit(True).alias("included"), "cells"
-    )
-    counted = shaped.agg(F.count_if("long").alias("truncated-rows"), F.count_if("blank").alias("blank-rows"))
-    warnings = counted.select(
-        F.lit(survey_id).alias("survey_id"),
-        F.inline(F.array(*[F.struct(F.lit(c).alias("code"), F.col(f"`{c}`").alias("n")) for c in counted.columns])),
-    ).where("n > 0")
-    return columns, responses, warnings
+    return assemble(*read_tables(spark, path), profiles)

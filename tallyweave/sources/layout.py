@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.constants import MANAGEMENT_HEADERS
-from tallyweave.functions.text import SEPARATOR, is_blank_norm, nfkc, norm_text, squeeze
+from tallyweave.functions.text import SEPARATOR, is_blank_norm, nfkc, norm_text, protect, restore, squeeze
 from tallyweave.operators.joins import dim_join
 from tallyweave.operators.questions import unique_names
 from tallyweave.session import staged
@@ -148,12 +148,12 @@ def fold_responses(responses: DataFrame, plan: DataFrame, rows: int | None = Non
     )
     df = dim_join(responses, per_survey, ["survey_id"], "response_id", rows=rows, how="left")
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
-    wide = F.array_join(F.transform("_wide", cell), SEPARATOR)
+    wide = F.array_join(F.transform("_wide", lambda i: protect(cell(i))), SEPARATOR)
     df = staged(df.withColumn("_text", nfkc(wide)), _labels=F.split("_text", SEPARATOR))
 
     def folded(p: Column) -> Column:
         own = F.slice("_labels", p["start"], F.size(p["sources"]))
-        kept = F.filter(F.transform(own, squeeze), lambda v: ~is_blank_norm(v))
+        kept = F.filter(F.transform(own, lambda v: squeeze(restore(v))), lambda v: ~is_blank_norm(v))
         return F.when(p["multiple"], F.array_join(F.array_distinct(kept), "\n")).otherwise(
             cell(F.get(p["sources"], F.lit(0)))
         )

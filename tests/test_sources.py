@@ -44,7 +44,7 @@ def test_read_files(spark, tmp_path):
     write(tmp_path, "c.csv", "名前,年齢\n田中,３０\n".encode("cp932"))
     write(tmp_path, "d.csv", "\n")
     write(tmp_path, "e 1.csv", "a,b")
-    columns, responses, warnings = dl.tables_of(dl.read_records(spark, str(tmp_path)))
+    columns, responses, warnings = dl.read_tables(spark, str(tmp_path))
     headers = {}
     for r in columns.orderBy("survey_id", "col_idx").collect():
         headers.setdefault(r["survey_id"], []).append(r["header"])
@@ -58,30 +58,88 @@ def test_read_files(spark, tmp_path):
     found = {(r["survey_id"], r["code"]): r["n"] for r in warnings.collect()}
     assert found == {("a.csv", "truncated-rows"): 1, ("a.csv", "blank-rows"): 2, ("b.tsv", "renamed-headers"): 2,
                      ("c.csv", "decoded-as-cp932"): 1, ("c.csv", "blank-rows"): 1, ("d.csv", "empty-table"): 1}
-    with pytest.raises(ValueError):
-        dl.read_records(spark, str(tmp_path), max_file_bytes=10)
 
 
-def test_large_export_equals_small(spark, tmp_path):
-    body = "番号,本文,備考\n" + "".join(
-        f'{i},"行{i}\n""引用"" {"x" * (i % 50)}\n終",{"余,分" if i % 10 == 0 else "y"}\n' + ("-,,\n" if i % 7 == 0 else "")
-        for i in range(3000))
-    write(tmp_path, "big.csv", body)
-    columns, responses, warnings = dl.tables_of(dl.read_records(spark, str(tmp_path)))
+BIG = "番号,本文,備考\n" + "".join(
+    f'{i},"行{i}\n""引用"" {"x" * (i % 50)}\r\n終",{"余,分" if i % 10 == 0 else "y"}\n' + ("-,,\n" if i % 7 == 0 else "")
+    for i in range(3000))
+FILES = {
+    "inch.csv": b'id,item\n1,5"monitor\n2,mouse\n3,desk\n4,pen',
+    "open.csv": b'id,item\n1,a\n2,"never closed\n3,b\n4,c',
+    "openlf.csv": b'id,item\n1,a\n2,"never closed\n3,b\n',
+    "cp932.csv": ("番号,品目\r\n" + "".join(f"{i},表{i}｜\r\n" for i in range(400))).encode("cp932"),
+    "late.csv": ("番号,品目\n" + "".join(f"{i},x{i}\n" for i in range(400)) + "9,表\n").encode("cp932"),
+    "bom.tsv": "\ufeff名\t名\n\n1\t\t3\n-\tN/A".encode(),
+    "crlf.csv": b'a,b\r\n"x\r\ny",2\r\n\r\n3,4\r\n',
+    "cr.csv": b'a,b\r1,2\r3,4\r', "blank.csv": b",,\n1,2,3\n", "quotes.csv": b'a;b\n"x""y"z;"p;q"\n;"\n\n"\n',
+    "long.csv": ("k,v\n" + "".join(f'{i},"' + "line\n" * (i * 40) + '"\n' for i in range(30))).encode(),
+    "big.csv": BIG.encode(), "sub/big.csv": b"other,file\n1,2\n", "sub/a+b c.csv": b"x\n1\n",
+}
+
+
+def plainly(content):
+    """The reference reading of one file: whole text, one tokeniser."""
+    import csv, io
+    fallback = False
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text, fallback = content.decode("cp932", errors="replace"), True
+    delimiter = dl.sniff_delimiter(text)
+    rows = list(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter))
+    opened = dl.Quotes(delimiter).scan(text.encode(), False)[0]
+    found = {"decoded-as-cp932": int(fallback), "unclosed-quote": int(opened)}
+    head = rows[0] if rows else []
+    if not any(h.strip() for h in head):
+        return [], [], {k: n for k, n in (found | {"empty-table": 1}).items() if n}
+    body = rows[1:] + ([[]] if text.endswith(("\n", "\r")) and not opened else [])
+    cells = [(r + [""] * len(head))[: len(head)] for r in body]
+    kept = [r for r in cells if not all(map(dl._blank, r))]
+    found |= {"truncated-rows": sum(len(r) > len(head) for r in body), "blank-rows": len(cells) - len(kept)}
+    return head, kept, {k: n for k, n in found.items() if n}
+
+
+@pytest.mark.parametrize("split", [None, 997, 20_000])
+def test_any_split_reads_like_one_text(spark, tmp_path, split):
+    for name, content in FILES.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
     try:
-        c2, r2, w2 = dl.read_large_export(spark, str(tmp_path / "big.csv"), ",", "big.csv")
-        key = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
-        assert key(columns) == key(c2) and key(responses) == key(r2.select(responses.columns))
-        n = lambda w, code: sum(r["n"] for r in w.collect() if r["code"] == code)
-        # The small reader also counts the empty record after a final line end.
-        assert n(warnings, "truncated-rows") == n(w2, "truncated-rows") == 300
-        assert n(warnings, "blank-rows") == n(w2, "blank-rows") + 1
+        columns, responses, warnings = dl.read_tables(spark, str(tmp_path))
+        check_tables(columns, responses, warnings, FILES)
+        # One file by its own path is named by its name.
+        one = dl.read_tables(spark, str(tmp_path / "sub" / "a+b c.csv"))[1].collect()
+        assert [(r.survey_id, r.cells) for r in one] == [("a+b c.csv", ["1"])]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def check_tables(columns, responses, warnings, files):
+    names, rows, found = {}, {}, {}
+    for r in columns.orderBy("survey_id", "col_idx").collect():
+        names.setdefault(r.survey_id, []).append(r.header_raw)
+    for r in responses.orderBy("survey_id", "response_id").collect():
+        assert r.response_id == len(rows.setdefault(r.survey_id, []))
+        rows[r.survey_id].append(r.cells)
+    for r in warnings.where("code <> 'renamed-headers'").collect():
+        found.setdefault(r.survey_id, {})[r.code] = r.n
+    for name, content in files.items():
+        assert (names.get(name, []), rows.get(name, []), found.get(name, {})) == plainly(content), name
+
+
+@pytest.mark.parametrize("lines", [1, 3, 10_000])
+def test_contents_read_like_files(spark, lines, monkeypatch):
+    contents = spark.createDataFrame([(n, bytearray(c)) for n, c in FILES.items() if n != "big.csv"], "survey_id string, content binary")
+    if lines == 3:
+        # Beyond the broadcast bound the splits' states are joined by a shuffle.
+        monkeypatch.setattr(dl, "BROADCAST_SPLITS", 0)
+    tables = dl.parse_lines(dl.content_lines(contents, lines))
+    check_tables(*tables, {n: c for n, c in FILES.items() if n != "big.csv"})
+
+
 def test_unique_names(spark):
     names = ["x", "x", "x (2)", "x", "", "", "y"]
     df = spark.createDataFrame([("s", i, n) for i, n in enumerate(names)], "survey_id string, col_idx int, n string")
