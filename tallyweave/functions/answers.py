@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from tallyweave.constants import BRACKETS
-from tallyweave.functions.text import SEPARATOR, is_blank_norm, key_of, let, nfkc, squeeze
+from tallyweave.functions.text import (
+    SEPARATOR, is_blank_norm, key_of, let, nfkc, protect, restore, squeeze,
+)
 
 _QUOTE = '"'
 _STRUCTURE = "[" + "".join("\\" + ch for ch in [*BRACKETS, *BRACKETS.values(), _QUOTE]) + "]"
@@ -73,8 +75,11 @@ def cut_text(cell: Column, delimiters: Column, active: Column) -> Column:
 
 
 def joined_text(cell: Column, delimiters: Column, is_multiple: Column) -> Column:
-    """NFKC text of a cell; the pieces of a multiple-choice cell are joined by SEPARATOR."""
-    raw = F.coalesce(cell, F.lit(""))
+    """NFKC text of a cell; the pieces of a multiple-choice cell are joined by SEPARATOR.
+
+    The text is protected: `values_of` restores each piece.
+    """
+    raw = protect(F.coalesce(cell, F.lit("")))
     return nfkc(F.when(is_multiple, cut_text(raw, delimiters, is_multiple)).otherwise(raw))
 
 
@@ -85,7 +90,7 @@ def values_of(joined: Column, unwraps: Column) -> Column:
         inner = F.trim(F.substring(v, F.lit(2), F.length(v) - 2), F.lit(" \n"))
         return F.when(unwraps & v.rlike(_WRAPPED), inner).otherwise(v)
 
-    values = F.transform(F.split(joined, SEPARATOR), lambda p: let(squeeze(p), value))
+    values = F.transform(F.split(joined, SEPARATOR), lambda p: let(squeeze(restore(p)), value))
     return F.filter(values, lambda v: ~is_blank_norm(v))
 
 

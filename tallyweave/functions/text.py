@@ -24,7 +24,9 @@ _WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "\u3000\u00A0"
 _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + "  "
 
 # Unicode noncharacter that joins the fragments of a cell, so that one call normalises them all.
+# `protect` hides it in input, behind another noncharacter and a digit.
 SEPARATOR = "\uFDD0"
+_HIDDEN = "\uFDD2"
 
 # Ranges whose characters NFKC maps to themselves and never composes with one another.
 INERT_RANGES = (
@@ -40,7 +42,7 @@ INERT_RANGES = (
     (0x309D, 0x309E),
     (0x30A1, 0x30FE),  # katakana
     (0x4E00, 0x9FFF),  # CJK ideographs
-    (0xFDD0, 0xFDD0),  # SEPARATOR
+    (0xFDD0, 0xFDD2),  # noncharacters, SEPARATOR among them
 )
 _FOLDABLE = ((0xFF01, 0xFF5E), (0x3000, 0x3000), (0xA0, 0xA0))
 _NATIVE = "^[" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in INERT_RANGES + _FOLDABLE) + "]*\\z"
@@ -51,6 +53,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def protect(c: Column) -> Column:
+    """Text without SEPARATOR, from which `restore` makes the original again."""
+    escaped = F.replace(F.replace(c, F.lit(_HIDDEN), F.lit(_HIDDEN + "2")), F.lit(SEPARATOR), F.lit(_HIDDEN + "0"))
+    return F.when(c.rlike(f"[{SEPARATOR}{_HIDDEN}]"), escaped).otherwise(c)
+
+
+def restore(c: Column) -> Column:
+    plain = F.replace(F.replace(c, F.lit(_HIDDEN + "0"), F.lit(SEPARATOR)), F.lit(_HIDDEN + "2"), F.lit(_HIDDEN))
+    return F.when(c.contains(_HIDDEN), plain).otherwise(c)
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc_rest(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t) if t else None)

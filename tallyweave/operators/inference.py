@@ -1,10 +1,9 @@
 """Question kind inference for every column of every survey in one pass.
 
 Short cells repeat a lot, so they are counted first (map-side combined) and each distinct text
-is examined once; long cells are examined where they are read and never shuffled. The decision
-ladder compares distinct counts with small limits only, so distinct values are kept in Theta
-sketches: exact up to their nominal size (1,024, far above every limit), bounded in memory and
-merged map-side.
+is examined once. Long cells are examined where they are read: what is shuffled of them are
+their tokens and their key, as a digest when that is shorter. Distinct counts are exact: distinct
+values and tokens are rows of a grouping before they are counted.
 """
 
 from __future__ import annotations
@@ -16,64 +15,64 @@ from tallyweave.functions.answers import joined_text, values_of
 from tallyweave.functions.text import is_blank_norm, key_of, nfkc, squeeze
 from tallyweave.session import staged
 
-_LG_ENTRIES = 10
-# Cells up to this length are grouped by their text.
+# Cells up to this length are grouped by their text; longer keys and tokens by a digest.
 SHORT_CELL = 64
-# Distinct counts above this are reported as this value; every rule decides below it.
-DISTINCT_CAP = K.MULTIPLE_MAX_TOKENS + 1
+_CELL, _KEY, _TOKEN = 0, 1, 2
+_FLAGS = ("filled", "multiline", "parsed", "split_rows")
 
 
-def column_profile(responses: DataFrame) -> DataFrame:
-    """Counters per (survey_id, col_idx) over non-blank cells; distinct counts are capped."""
+def _short(text: Column) -> Column:
+    """A text that stands for a key or token when distinct ones are counted."""
+    return F.when(F.length(text) > SHORT_CELL, F.concat(F.lit("\n"), F.sha2(text, 256))).otherwise(text)
+
+
+def _row(part: int, value: Column, flags: dict[str, Column] | None = None) -> Column:
+    made = [F.coalesce((flags or {}).get(name, F.lit(False)), F.lit(False)).alias(name) for name in _FLAGS]
+    return F.struct(F.lit(part).alias("part"), value.cast("string").alias("value"), *made)
+
+
+def _examined(df: DataFrame, cell: Column) -> DataFrame:
+    """Add `found`: a row for the cell's key with its flags, and one for each distinct token."""
     safe = F.array(*[F.lit(d) for d in K.SAFE_DELIMITERS])
-    cells = responses.select(
-        "survey_id", F.posexplode("cells").alias("col_idx", "cell")
-    ).withColumn("cell", F.coalesce("cell", F.lit("")))
-    is_short = F.length("cell") <= SHORT_CELL
-    short = cells.where(is_short).groupBy("survey_id", "col_idx", "cell").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    long = cells.where(~is_short).withColumn("n", F.lit(1).cast("bigint"))
-    raw = F.col("cell")
-    cells = short.unionByName(long).select(
-        "survey_id",
-        "col_idx",
-        "n",
-        raw.contains("\n").alias("multiline"),
-        nfkc(raw).alias("_whole"),
-        joined_text(raw, safe, F.lit(True)).alias("_joined"),
-    )
-    cells = staged(cells, text=squeeze(F.col("_whole")))
-    parts = F.array_distinct(F.transform(values_of(F.col("_joined"), F.lit(True)), key_of))
-    filled = ~is_blank_norm(F.col("text"))
-    cells = cells.select(
-        "survey_id",
-        "col_idx",
-        "n",
-        filled.alias("filled"),
-        key_of(F.col("text")).alias("key"),
-        "multiline",
+    raw = F.coalesce(cell, F.lit(""))
+    kept = df.columns
+    df = df.withColumns({"_raw": raw, "_whole": nfkc(raw), "_joined": joined_text(raw, safe, F.lit(True))})
+    df = staged(df, _text=squeeze(F.col("_whole")))
+    tokens = F.array_distinct(F.transform(values_of(F.col("_joined"), F.lit(True)), lambda v: _short(key_of(v))))
+    df = staged(df, _filled=~is_blank_norm(F.col("_text")), _tokens=tokens)
+    filled = F.col("_filled")
+    flags = {
+        "filled": filled,
+        "multiline": filled & F.col("_raw").contains("\n"),
         # Extraction succeeds exactly when a digit is present.
-        F.col("text").rlike("[0-9]").alias("parsed"),
-        # One token more than the limit already decides, so longer lists need not be expanded.
-        F.when(filled, F.slice(parts, 1, DISTINCT_CAP)).alias("parts"),
-    )
-    rows = cells.select(
-        "*", F.size("parts").alias("n_parts"), F.posexplode_outer("parts").alias("pos", "token")
-    ).drop("parts")
-    first = F.col("filled") & (F.coalesce("pos", F.lit(0)) == 0)
-    tally = lambda cond: F.sum(F.when(first & cond, F.col("n")).otherwise(0))
-    distinct = lambda c: F.least(
-        F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(c, _LG_ENTRIES)), F.lit(0)),
-        F.lit(DISTINCT_CAP),
-    ).cast("bigint")
-    return rows.groupBy("survey_id", "col_idx").agg(
-        tally(F.lit(True)).alias("filled"),
-        tally(F.col("multiline")).alias("multiline"),
-        tally(F.col("parsed")).alias("parsed"),
-        tally(F.col("n_parts") >= 2).alias("split_rows"),
-        distinct(F.when(first, F.col("key"))).alias("distinct_values"),
-        distinct(F.col("token")).alias("distinct_tokens"),
+        "parsed": filled & F.col("_text").rlike("[0-9]"),
+        "split_rows": filled & (F.size("_tokens") >= 2),
+    }
+    listed = F.transform(F.when(filled, F.col("_tokens")).otherwise(F.array().cast("array<string>")), lambda t: _row(_TOKEN, t))
+    key = F.array(_row(_KEY, F.when(filled, _short(key_of(F.col("_text")))), flags))
+    return df.select(*kept, F.concat(key, listed).alias("found"))
+
+
+def column_profile(responses: DataFrame) -> DataFrame:
+    """Counters per (survey_id, col_idx) over non-blank cells."""
+    column = ["survey_id", "col_idx"]
+    cells = responses.select("survey_id", F.posexplode("cells").alias("col_idx", "cell"))
+    cells = cells.withColumn("cell", F.coalesce("cell", F.lit("")))
+    long = F.length("cell") > SHORT_CELL
+    rows = _examined(cells, F.when(long, F.col("cell")))
+    rows = rows.select(*column, F.inline(F.when(long, F.col("found")).otherwise(F.array(_row(_CELL, F.col("cell"))))))
+    counted = rows.groupBy(*column, "part", "value", *_FLAGS).agg(F.count(F.lit(1)).alias("n"))
+
+    short = F.col("part") == _CELL
+    again = _examined(counted, F.when(short, F.col("value")))
+    itself = F.array(F.struct("part", "value", *_FLAGS))
+    rows = again.select(*column, "n", F.inline(F.when(short, F.col("found")).otherwise(itself)))
+    tally = lambda name: F.sum(F.when(F.col(name), F.col("n")).otherwise(0)).alias(name)
+    values = rows.groupBy(*column, "part", "value").agg(*[tally(name) for name in _FLAGS])
+    return values.groupBy(*column).agg(
+        *[F.sum(name).alias(name) for name in _FLAGS],
+        F.count_if((F.col("part") == _KEY) & F.col("value").isNotNull()).alias("distinct_values"),
+        F.count_if(F.col("part") == _TOKEN).alias("distinct_tokens"),
     )
 
 

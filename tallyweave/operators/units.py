@@ -16,6 +16,8 @@ from tallyweave.functions.text import (
     is_blank_norm,
     key_of,
     nfkc,
+    protect,
+    restore,
     shorten_long,
     squeeze,
 )
@@ -110,8 +112,8 @@ def answer_units(
 
 def _keys_of_all(texts: Column) -> Column:
     """Grouping keys of an array of texts with one normalisation call."""
-    joined = F.array_join(F.coalesce(texts, F.array().cast("array<string>")), SEPARATOR)
-    parts = F.transform(F.split(nfkc(joined), SEPARATOR), lambda p: key_of(squeeze(p)))
+    joined = F.array_join(F.transform(F.coalesce(texts, F.array().cast("array<string>")), protect), SEPARATOR)
+    parts = F.transform(F.split(nfkc(joined), SEPARATOR), lambda p: key_of(squeeze(restore(p))))
     return F.when(F.size(texts) > 0, parts)
 
 
@@ -183,7 +185,7 @@ def interpret(df: DataFrame, traits: Traits) -> DataFrame:
     df = df.withColumns(texts)
     values = values_of(F.col("_text"), unwraps)
     if traits.derivations:
-        derived = _derived_values(traits, F.col("_text"), F.col("_text2"), derivation)
+        derived = _derived_values(traits, restore(F.col("_text")), F.col("_text2"), derivation)
         values = F.when(derivation.isNull(), values).otherwise(derived)
     df = staged(df, _values=values)
 
