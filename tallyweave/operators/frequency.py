@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyweave.functions.numbers import percentage
 from tallyweave.functions.text import natural_key, natural_order
 from tallyweave.model import Survey
+from tallyweave.operators.joins import dim_join
 from tallyweave.operators.ranking import ranked
 from tallyweave.operators.units import KEY, analysed, interpreted_units, with_dictionaries
 from tallyweave.session import pin
@@ -60,7 +61,7 @@ def rank_options(
     position = F.array_position("preset_keys", F.col("opt_key"))
     # Ranked inputs are pinned, so sort keys are stored and the preset list is dropped.
     placed = (
-        counts.join(rules, KEY)
+        dim_join(counts, rules, KEY, "opt_key", rows=survey.traits.rows)
         .withColumn("_place", F.when(position > 0, position))
         .withColumn("_natural", natural_key(F.col("label")))
         .drop("preset_keys")
@@ -73,7 +74,7 @@ def frequency(survey: Survey, units: DataFrame | None = None) -> DataFrame:
     questions = analysed(survey)
     units = pin(interpreted_units(survey)) if units is None else units
     valid = question_stats(units).select(*KEY, "valid")
-    counts = option_counts(units).join(valid, KEY)
+    counts = dim_join(option_counts(units), valid, KEY, "opt_key", rows=survey.traits.rows)
     shares = counts.withColumn("percentage", percentage(F.col("count"), F.col("valid")))
     return rank_options(shares, questions, survey).select(
         *KEY, "rank", "opt_key", "label", "count", "percentage"

@@ -15,6 +15,7 @@ from tallyweave.constants import (
 )
 from tallyweave.functions.numbers import display, percentage, tidy
 from tallyweave.functions.text import let
+from tallyweave.operators.joins import dim_join
 from tallyweave.operators.units import KEY
 from tallyweave.session import pin
 
@@ -32,26 +33,27 @@ def value_counts(units: DataFrame) -> DataFrame:
 # ---- order statistics ---------------------------------------------------------------------
 
 
-def _head(value: Column) -> Column:
-    """First six significant digits of a value as a struct that sorts like the value."""
+def _head(value: Column, digits: int) -> Column:
+    """First significant digits of a value as a struct that sorts like the value."""
 
     def parts(text: Column) -> Column:
         sign = F.signum(value).cast("int")
         exponent = F.substring_index(text, "e", -1).cast("int")
-        digits = F.concat(F.substring(text, 1, 1), F.substring(text, 3, 5)).cast("int")
+        held = F.concat(F.substring(text, 1, 1), F.substring(text, 3, digits - 1)).cast("bigint")
         return F.struct(
-            sign.alias("sign"), (sign * exponent).alias("exponent"), (sign * digits).alias("digits")
+            sign.alias("sign"), (sign * exponent).alias("exponent"), (sign * held).alias("digits")
         )
 
-    return let(F.format_string("%.11e", F.abs(value)), parts)
+    return let(F.format_string("%.16e", F.abs(value)), parts)
 
 
 def order_statistics(values: DataFrame) -> DataFrame:
     """p25, median and p75 without interpolation, exact and without a large sort group.
 
-    Two levels, like a radix selection: counts per six-digit head (bounded by the number of
-    heads, not by the data) locate the head holding each wanted position; only the values
-    under those heads are then ordered.
+    Three levels, like a radix selection: counts per head of six digits locate the head holding
+    each wanted position, counts of twelve digits under that head locate a closer one, and only
+    the values under it are ordered. A double has seventeen significant digits, so the two lower
+    levels order at most a million rows per question and statistic, however the values lie.
     """
     n = F.col("n")
     wanted = F.array(
@@ -65,7 +67,7 @@ def order_statistics(values: DataFrame) -> DataFrame:
             )
         ]
     )
-    headed = values.withColumn("head", _head(F.col("value")))
+    headed = values.withColumn("head", _head(F.col("value"), 6))
     group = Window.partitionBy(*KEY)
     heads = (
         headed.groupBy(*KEY, "head")
@@ -83,10 +85,19 @@ def order_statistics(values: DataFrame) -> DataFrame:
         .where(F.size("hits") > 0)
         .select(*KEY, "head", "before", F.inline("hits"))
     )
-    inside = Window.partitionBy(*KEY, "stat").orderBy("value")
+    # At most four heads per question, so values are not moved to meet them.
+    under = dim_join(headed, heads, [*KEY, "head"], "value").withColumn("closer", _head(F.col("value"), 12))
+    inside = Window.partitionBy(*KEY, "stat")
+    closer = (
+        under.groupBy(*KEY, "stat", "position", "before", "closer")
+        .agg(F.sum("c").alias("c"))
+        .withColumn("before", F.col("before") + F.sum("c").over(inside.orderBy("closer")) - F.col("c"))
+        .where((F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("c")))
+        .select(*KEY, "stat", "closer", F.col("before").alias("start"))
+    )
     located = (
-        headed.join(heads, [*KEY, "head"])
-        .withColumn("upto", F.col("before") + F.sum("c").over(inside))
+        dim_join(under, closer, [*KEY, "stat", "closer"], "value")
+        .withColumn("upto", F.col("start") + F.sum("c").over(inside.orderBy("value")))
         .where(F.col("upto") > F.col("position"))
         .groupBy(*KEY, "stat")
         .agg(F.min("value").alias("value"))
@@ -243,7 +254,7 @@ def labelled_bins(values: DataFrame, layout: DataFrame, units_of_measure: DataFr
     At most ten rows per discrete question and MAX_BIN_CANDIDATES per other question; `value`
     is NULL for range bins and `index` is 0 for discrete ones.
     """
-    discrete = values.join(layout.where("discrete"), KEY).select(
+    discrete = dim_join(values, layout.where("discrete"), KEY, "value").select(
         *KEY, "value", F.lit(0).alias("index"), *_LAYOUT
     )
     ranges = layout.where("not discrete").select(
@@ -288,7 +299,7 @@ def histogram(
     valid answers, including those that could not be read as a number.
     """
     layout = bin_layout(values)
-    placed = values.join(layout, KEY)
+    placed = dim_join(values, layout, KEY, "value")
     exact = F.col("discrete")
     # Discrete bins are matched by value, range bins by index.
     counted = (
