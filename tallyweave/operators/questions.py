@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyweave.constants import DAYS_PRESET, KINDS_CHART, MINUTES_PRESET, SAFE_DELIMITERS
 from tallyweave.functions.text import let, norm_header
@@ -27,24 +28,28 @@ _NAMES = (
 def uniquify(names: Column, first: int, suffix: str) -> Column:
     """Make an ordered array of names unique: a repeat takes the first free `name + suffix`.
 
-    `suffix` holds `{n}`, counted from `first`; empty names stay empty. The array is one
-    survey's header, so it is as long as the survey is wide.
+    `suffix` holds `{n}`, counted from `first`; empty names stay empty. The array is one survey's
+    header. Numbers of a name only grow, so each name is looked up about once.
     """
-    head, tail = suffix.split("{n}")
 
-    def numbered(name: Column, n: Column) -> Column:
-        return F.concat(name, F.lit(head), n.cast("string"), F.lit(tail))
-
-    def add(taken: Column, name: Column) -> Column:
-        free = F.filter(
-            F.sequence(F.lit(first), F.size(taken) + first),
-            lambda n: ~F.array_contains(taken, numbered(name, n)),
-        )
-        unused = (name == "") | ~F.array_contains(taken, name)
-        chosen = F.when(unused, name).otherwise(numbered(name, F.get(free, F.lit(0))))
-        return F.concat(taken, F.array(chosen))
-
-    return F.aggregate(names, F.array().cast("array<string>"), add)
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def unique(headers: pd.Series) -> pd.Series:
+        def one(header):
+            taken, following, out = set(), {}, []
+            for name in header:
+                chosen = name
+                if name and name in taken:
+                    n = following.get(name, first)
+                    while (chosen := name + suffix.format(n=n)) in taken:
+                        n += 1
+                    following[name] = n + 1
+                taken.add(chosen)
+                out.append(chosen)
+            return out
+
+        return headers.map(one)
+
+    return unique(names)
 
 
 def unique_names(
