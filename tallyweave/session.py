@@ -11,16 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; make one only on a local master that names none."""
+    """Use the folder the session names, else one in the warehouse, which executors share too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="tallyweave-checkpoint-")
-    sc.setCheckpointDir(folder)
+    sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def pin(df: DataFrame) -> DataFrame:
