@@ -1,11 +1,14 @@
 """Equivalent DuckDB SQL for the registered queries, written independently of the library.
 
-Small Python helpers only assemble repeated SQL fragments. Queries whose result depends on
-bracket-aware splitting of long documents have no SQL here; tests check them by brute force.
+Small Python helpers only assemble repeated SQL fragments; the fixed wording of reports is taken
+from where it is stated.
 """
 
 from __future__ import annotations
 
+from tallyweave.plans.survey import GENERATOR
+from tallyweave.sinks.reports import METHOD_NOTES, TITLE
+
 
 def tidy(x: str) -> str:
     return f"(CAST(printf('%.11e', CAST({x} AS DOUBLE)) AS DOUBLE) + 0.0)"
@@ -282,7 +285,7 @@ INFER = f"""
     cnt AS (SELECT survey_id, col_idx, count(*) FILTER (filled) AS filled, count(*) FILTER (filled AND contains(x, chr(10))) AS multiline,
                    count(*) FILTER (filled AND regexp_matches(x, '[0-9]')) AS parsed, count(*) FILTER (len(ps) >= 2) AS split_rows,
                    count(DISTINCT key) FILTER (filled) AS dv FROM parts GROUP BY ALL),
-    both_ AS (SELECT cnt.*, least(dv, 41) AS distinct_values, least(coalesce(tok.n, 0), 41) AS distinct_tokens
+    both_ AS (SELECT cnt.*, dv AS distinct_values, coalesce(tok.n, 0) AS distinct_tokens
               FROM cnt LEFT JOIN tok USING (survey_id, col_idx)),
     inf AS (SELECT *, CASE WHEN filled = 0 THEN 'ignore'
             WHEN multiline / filled < 0.3 AND parsed / filled >= 0.9 AND distinct_values > 12 THEN 'numeric'
@@ -292,6 +295,46 @@ INFER = f"""
              WHEN 'single' THEN CASE WHEN dv <= 6 THEN 'pie' ELSE 'bar' END ELSE 'none' END AS chart FROM inf)"""
 O["q_infer_kind"] = f"""WITH {INFER}
     SELECT survey_id, CAST(col_idx AS INT) AS col_idx, filled, multiline, parsed, split_rows, distinct_values, distinct_tokens, kind, chart FROM infc"""
+# Bracket- and quote-aware split of whole texts, character by character: brackets count outside quotes only, quotes only
+# when they are all closed, and a closing bracket never counts below the outermost level.
+O["q_infer_kind_text"] = """
+    WITH cells AS (SELECT 'documents' AS survey_id, 0 AS col_idx, doc_id AS id, coalesce(text, '') AS x FROM documents
+        UNION ALL SELECT 'conversations', 0, conv_id * 4096 + turn, coalesce(role, '') FROM conversations
+        UNION ALL SELECT 'conversations', 1, conv_id * 4096 + turn, coalesce(text, '') FROM conversations
+        UNION ALL SELECT 'pages', 0, page_id, coalesce(url, '') FROM pages UNION ALL SELECT 'pages', 1, page_id, coalesce(html, '') FROM pages),
+    lines AS (SELECT survey_id, col_idx, id, replace(replace(x, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS x, x AS raw FROM cells),
+    chars AS (SELECT survey_id, col_idx, id, unnest(string_split(x, '')) AS ch, generate_subscripts(string_split(x, ''), 1) AS i,
+                  (length(x) - length(replace(x, '"', ''))) % 2 = 0 AS closed FROM lines WHERE x <> ''),
+    quoted AS (SELECT *, closed AND sum(CASE WHEN ch = '"' THEN 1 ELSE 0 END) OVER w % 2 = 1 AS q FROM chars
+               WINDOW w AS (PARTITION BY survey_id, col_idx, id ORDER BY i)),
+    steps AS (SELECT *, sum(CASE WHEN q OR (closed AND ch = '"') THEN 0 WHEN ch IN ('(', '（', '【', '「', '『') THEN 1
+                                 WHEN ch IN (')', '）', '】', '」', '』') THEN -1 ELSE 0 END) OVER w AS s FROM quoted
+              WINDOW w AS (PARTITION BY survey_id, col_idx, id ORDER BY i)),
+    deep AS (SELECT *, s - least(0, min(s) OVER w) AS depth FROM steps WINDOW w AS (PARTITION BY survey_id, col_idx, id ORDER BY i)),
+    cuts AS (SELECT *, NOT q AND depth = 0 AND ch IN (chr(10), ',', '、', ';', '；', '|', '｜') AS cut FROM deep),
+    numbered AS (SELECT *, sum(cut::INT) OVER (PARTITION BY survey_id, col_idx, id ORDER BY i) AS piece FROM cuts),
+    pieces AS (SELECT survey_id, col_idx, id, piece, coalesce(string_agg(ch, '' ORDER BY i) FILTER (NOT cut), '') AS p FROM numbered GROUP BY ALL),
+    tidy AS (SELECT survey_id, col_idx, id, trim(regexp_replace(regexp_replace(p, '[ \\t\\v\\f\\r]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), ' ' || chr(10)) AS p FROM pieces),
+    bare AS (SELECT survey_id, col_idx, id, CASE WHEN regexp_full_match(p, '"[^"]*"|“[^"]*”') THEN trim(p[2:length(p) - 1], ' ' || chr(10)) ELSE p END AS p FROM tidy),
+    tokens AS (SELECT DISTINCT survey_id, col_idx, id, trim(rtrim(lower(p), '。、．，.,'), ' ' || chr(10)) AS t FROM bare
+               WHERE lower(p) NOT IN ('', '-', '‐', '—', 'n/a', 'na', 'null', 'undefined')),
+    whole AS (SELECT *, trim(regexp_replace(regexp_replace(x, '[ \\t\\v\\f\\r]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), ' ' || chr(10)) AS t FROM lines),
+    named AS (SELECT *, lower(t) NOT IN ('', '-', '‐', '—', 'n/a', 'na', 'null', 'undefined') AS filled,
+                  trim(rtrim(lower(t), '。、．，.,'), ' ' || chr(10)) AS key FROM whole),
+    n_tokens AS (SELECT survey_id, col_idx, id, count(*) AS n FROM tokens GROUP BY ALL),
+    kinds_of AS (SELECT survey_id, col_idx, count(DISTINCT t) AS n FROM tokens GROUP BY ALL),
+    cnt AS (SELECT n.survey_id, n.col_idx, count(*) FILTER (filled) AS filled, count(*) FILTER (filled AND contains(raw, chr(10))) AS multiline,
+                count(*) FILTER (filled AND regexp_matches(t, '[0-9]')) AS parsed, count(*) FILTER (filled AND k.n >= 2) AS split_rows,
+                count(DISTINCT key) FILTER (filled) AS distinct_values
+            FROM named n LEFT JOIN n_tokens k USING (survey_id, col_idx, id) GROUP BY ALL),
+    both_ AS (SELECT c.*, coalesce(k.n, 0) AS distinct_tokens FROM cnt c LEFT JOIN kinds_of k USING (survey_id, col_idx)),
+    inf AS (SELECT *, CASE WHEN filled = 0 THEN 'ignore'
+            WHEN multiline / filled < 0.3 AND parsed / filled >= 0.9 AND distinct_values > 12 THEN 'numeric'
+            WHEN split_rows / filled >= 0.15 AND distinct_tokens <= 40 THEN 'multiple'
+            WHEN distinct_values <= 30 AND distinct_values / filled <= 0.6 THEN 'single' ELSE 'free' END AS kind FROM both_)
+    SELECT survey_id, CAST(col_idx AS INT) AS col_idx, filled, multiline, parsed, split_rows, distinct_values, distinct_tokens, kind,
+           CASE kind WHEN 'numeric' THEN 'bar' WHEN 'multiple' THEN 'hbar'
+                WHEN 'single' THEN CASE WHEN distinct_values <= 6 THEN 'pie' ELSE 'bar' END ELSE 'none' END AS chart FROM inf"""
 # header, base key, label, profile kind, profile chart, unit
 META = """m(survey_id, col_idx, header, q_key, label, pk, pc, unit) AS (VALUES
     ('events', 0, 'Event type', 'type', '種類', 'multiple', 'hbar', NULL), ('events', 1, 'Value', 'q2', 'Value', NULL, NULL, NULL),
@@ -332,10 +375,15 @@ O["q_profile_match"] = """
 FOLDED = """SELECT l_returnflag AS flag, list_distinct([x FOR x IN [CASE WHEN l_linestatus = 'O' THEN 'OPEN' END,
         CASE WHEN l_quantity > 25 THEN 'large order' END, CASE WHEN l_discount > 0.05 THEN 'OPEN' END] IF x IS NOT NULL]) AS fs FROM lineitem"""
 O["q_wide_fold"] = f"""
-    SELECT flag, CASE WHEN list_contains(fs, 'OPEN') AND list_contains(fs, 'large order') THEN
-               CASE WHEN first_open THEN 'OPEN' || chr(10) || 'large order' ELSE 'large order' || chr(10) || 'OPEN' END
-               WHEN len(fs) = 1 THEN fs[1] ELSE '' END AS features, CAST(7 AS BIGINT) AS width, count(*) AS n
-    FROM ({FOLDED.replace("AS flag,", "AS flag, l_linestatus = 'O' AS first_open,")}) GROUP BY ALL"""
+    WITH f AS (SELECT l.*, list_distinct([x FOR x IN [CASE WHEN l_linestatus = 'O' THEN 'OPEN' END, CASE WHEN l_quantity > 25 THEN 'large order' END,
+        CASE WHEN l_discount > 0.05 THEN 'OPEN' END] IF x IS NOT NULL]) AS fs FROM lineitem l)
+    SELECT 'https://example.invalid' AS c2, CAST(l_shipdate AS VARCHAR) AS c3, l_returnflag AS c4,
+        CASE WHEN list_contains(fs, 'OPEN') AND list_contains(fs, 'large order') THEN
+             CASE WHEN l_linestatus = 'O' THEN 'OPEN' || chr(10) || 'large order' ELSE 'large order' || chr(10) || 'OPEN' END
+             WHEN len(fs) = 1 THEN fs[1] ELSE '' END AS c5, CAST(l_quantity AS VARCHAR) AS c6, CAST(7 AS BIGINT) AS width, count(*) AS n,
+        CAST(sum(l_orderkey) AS BIGINT) AS orders, CAST(sum(l_suppkey) AS BIGINT) AS suppliers,
+        '0 作業ID -; 1 作業者 -; 2 作業者ページURL -; 3 承認日時 -; 4 1. フラグ single; 5 2. 特徴 multiple; 6 3. 数量 -' AS layout
+    FROM f GROUP BY ALL"""
 O["q_fold_freq"] = f"""
     WITH x AS ({FOLDED}),
     a AS (SELECT 'flag' AS q_key, flag AS label, (SELECT count(*) FROM x) AS valid FROM x
@@ -463,7 +511,7 @@ MIXED = f"""
         UNION ALL SELECT 'orders', 'status', 'large' FROM inc WHERE o_totalprice > 250000
         UNION ALL SELECT 'documents', 'lang', lang FROM documents),
     qm(survey_id, q_ord, q_key, question, kind, multiple) AS (VALUES ('orders', 0, 'priority', '優先度', 'single', false),
-        ('orders', 1, 'status', '状態', 'multiple', true), ('orders', 2, 'price', '価格', 'numeric', false),
+        ('orders', 1, 'status', '状態|区分', 'multiple', true), ('orders', 2, 'price', '価格', 'numeric', false),
         ('orders', 3, 'none', '無回答', 'single', false), ('documents', 0, 'lang', '言語, lang', 'single', false),
         ('documents', 1, 'text', '本文', 'free', false)),
     val AS (SELECT q_key, total, CASE q_key WHEN 'priority' THEN (SELECT count(p) FROM inc) WHEN 'none' THEN 0
@@ -502,8 +550,11 @@ O["q_analysis_json"] = f"""WITH {MIXED}, {STAT}
            CAST(q_ord AS BIGINT) AS q_ord, q_key, kind, valid,
            CASE q_key WHEN 'status' THEN (SELECT count(*) FROM ans WHERE q_key = 'status') ELSE valid END AS selections,
            CASE q_key WHEN 'price' THEN (SELECT median FROM pm) END AS median,
-           (SELECT count(*) FROM items i WHERE i.q_key = qm.q_key) AS n_items,
-           CAST(coalesce((SELECT sum(count) FROM items i WHERE i.q_key = qm.q_key), 0) AS BIGINT) AS count_sum
+           question, multiple, total - valid AS blank,
+           coalesce((SELECT string_agg(label || '=' || count || '=' || printf('%.2f', CAST(percentage AS DOUBLE)), ' ; ' ORDER BY rank)
+                     FROM items i WHERE i.q_key = qm.q_key), '') AS items,
+           CASE kind WHEN 'free' THEN coalesce((SELECT string_agg(substring({DOC_NORM}, 1, 200), ' ; ' ORDER BY doc_id)
+                FROM (SELECT * FROM documents WHERE NOT {DOC_BLANK} ORDER BY doc_id LIMIT 20)), '') ELSE '-' END AS samples
     FROM qm JOIN val USING (q_key)"""
 
 
@@ -521,6 +572,12 @@ O["q_report_lines"] = f"""WITH {MIXED}, {STAT},
     nl AS (SELECT ['- 件数: ' || format('{{:,}}', n) || '件', '- 平均: ' || {always1("mean")} || '円', '- 中央値: ' || {always1("median")} || '円',
         '- 最小: ' || {money1("lo")} || '円', '- 最大: ' || {money1("hi")} || '円', '- 第1四分位: ' || {money1("p25")} || '円',
         '- 第3四分位: ' || {money1("p75")} || '円', ''] AS l FROM pm),
+    tot AS (SELECT 'orders' AS survey_id, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM inc) AS included
+        UNION ALL SELECT 'documents', count(*), count(*) FROM documents),
+    ends AS (SELECT survey_id, 0 AS section, ['{TITLE}', '', '- データ名: ' || survey_id, '- 生成日時: now', '- 出力元: {GENERATOR}',
+                 '- 全回答数: ' || format('{{:,}}', total) || '件', '- 有効回答数(集計対象): ' || format('{{:,}}', included) || '件',
+                 '- 除外回答数: ' || format('{{:,}}', total - included) || '件', ''] AS l FROM tot
+             UNION ALL SELECT survey_id, 2, [{", ".join(f"'{note}'" for note in METHOD_NOTES)}] FROM tot),
     blk AS (SELECT qm.survey_id, CAST(q_ord * 3 AS BIGINT) AS position, ['## ' || question, '']
         || CASE WHEN multiple THEN ['※複数回答（合計が100%を超えることがあります）', ''] ELSE [] END
         || ['有効回答数: ' || format('{{:,}}', valid) || '件（未回答 ' || format('{{:,}}', total - valid) || '件 / 集計対象 ' || format('{{:,}}', total) || '件）', '']
@@ -529,8 +586,52 @@ O["q_report_lines"] = f"""WITH {MIXED}, {STAT},
                 WHEN q_key = 'none' THEN ['（集計対象となる回答がありません）', ''] ELSE ['| 選択肢 | 人数 | 割合 |', '|---|---:|---:|'] END AS l
         FROM qm JOIN val USING (q_key)
         UNION ALL SELECT survey_id, q_ord * 3 + 2, [''] FROM qm WHERE q_key NOT IN ('text', 'none'))
-    SELECT survey_id, position, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS part, unnest(l) AS line FROM blk
-    UNION ALL SELECT items.survey_id, q_ord * 3 + 1, CAST(rank AS INT), '| ' || label || ' | ' || format('{{:,}}', count) || ' | '
+    SELECT survey_id, 1 AS section, position, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS part, unnest(l) AS line FROM blk
+    UNION ALL SELECT survey_id, section, 0, CAST(unnest(generate_series(0, len(l) - 1)) AS INT), unnest(l) FROM ends
+    UNION ALL SELECT items.survey_id, 1, q_ord * 3 + 1, CAST(rank AS INT), '| ' || label || ' | ' || format('{{:,}}', count) || ' | '
         || {dec1("percentage")} || '% |' FROM items JOIN qm USING (q_key)"""
 
+# ---- delimited files and assembled exports ------------------------------------------------
+EXPORTS = """e AS (SELECT CAST(p_partkey AS VARCHAR) AS survey_id, p.*, [',', chr(9), ';', '|'][p_size % 4 + 1] AS d, p_size % 3 = 0 AS cp932,
+        p_size % 7 = 0 AS opened, p_size % 7 <> 0 AND p_size % 5 <> 0 AS ended FROM part p)"""
+O["q_sniff_delimiter"] = f"WITH {EXPORTS} SELECT survey_id, d AS delimiter, NOT cp932 AS utf8, ended AS ends_lf FROM e"
+O["q_delimited_read"] = f"""WITH {EXPORTS}, r AS (
+    SELECT survey_id, unnest([[survey_id, p_name, '5"monitor'], [survey_id, p_type || chr(13) || chr(10) || 'with "quotes" and ' || d, 'x'],
+        [p_brand, '', '']] || CASE WHEN opened THEN [['open' || d || p_name, '', '']] ELSE [] END) AS cells,
+        unnest(generate_series(0, CASE WHEN opened THEN 3 ELSE 2 END)) AS response_id FROM e)
+    SELECT survey_id, response_id, array_to_string(cells, '␟') AS cells FROM r"""
+O["q_ragged_accounting"] = f"""WITH {EXPORTS}, w AS (
+    SELECT survey_id, unnest(['truncated-rows', 'blank-rows', 'decoded-as-cp932', 'unclosed-quote']) AS code,
+        unnest([1, 1 + ended::INT, cp932::INT, opened::INT]) AS n FROM e)
+    SELECT survey_id, code, CAST(n AS BIGINT) AS n FROM w WHERE n > 0"""
+O["q_encoding_fallback"] = f"""WITH {EXPORTS}
+    SELECT survey_id, unnest([0, 1, 2])::BIGINT AS col_idx, unnest(['番号', 'name', 'note']) AS header, false AS is_empty, false AS renamed FROM e"""
+ASSEMBLED = f"""
+    x AS (SELECT l_returnflag AS flag, [v FOR v IN [CASE WHEN l_quantity > 25 THEN '大口' END, CASE WHEN l_discount > 0.05 THEN '値引' END] IF v IS NOT NULL] AS fs,
+              CAST(year(l_shipdate) AS VARCHAR) AS y, month(l_shipdate) AS m, CAST(l_linenumber AS VARCHAR) AS days, CAST(l_quantity AS INT) AS hours FROM lineitem),
+    bins AS (SELECT *, CASE WHEN hours * 60 < 30 THEN '30分未満' WHEN hours * 60 < 60 THEN '30分~1時間未満' WHEN hours * 60 < 120 THEN '1~2時間未満'
+        WHEN hours * 60 < 180 THEN '2~3時間未満' WHEN hours * 60 < 300 THEN '3~5時間未満' WHEN hours * 60 < 600 THEN '5~10時間未満'
+        WHEN hours * 60 < 1200 THEN '10~20時間未満' ELSE '20時間以上' END AS bin FROM x),
+    a AS (SELECT 'q5' AS q_key, flag AS label FROM bins UNION ALL SELECT 'q6', unnest(fs) FROM bins UNION ALL SELECT 'start-year', y FROM bins
+        UNION ALL SELECT 'start-month', m || '月' FROM bins UNION ALL SELECT 'start-year-month', y || '-' || printf('%02d', m) FROM bins
+        UNION ALL SELECT 'work-hours', '- 作業日数:' || days || '日' || chr(10) || '- 合計作業時間:' || hours || '時間' FROM bins
+        UNION ALL SELECT 'work-days', days || '日' FROM bins UNION ALL SELECT 'work-minutes', bin FROM bins),
+    n AS (SELECT count(*) AS total, count(*) FILTER (len(fs) > 0) AS answered, CAST(sum(len(fs)) AS BIGINT) AS picks FROM x)"""
+O["q_assembled_freq"] = f"""WITH {ASSEMBLED}, f AS (SELECT q_key, label, count(*) AS count FROM a GROUP BY ALL)
+    SELECT q_key, label, count, {pct("count", "CASE q_key WHEN 'q6' THEN answered ELSE total END")} AS percentage FROM f, n"""
+O["q_assembled_questions"] = f"""WITH {ASSEMBLED}, q(q_ord, q_key, header, kind, chart, opt_order, derived) AS (VALUES
+    (0, 'worker-id', '作業ID', 'ignore', 'none', 'count', '-'), (1, 'worker-name', '作業者', 'ignore', 'none', 'count', '-'),
+    (2, 'worker-url', '作業者ページURL', 'ignore', 'none', 'count', '-'), (3, 'approved-at', '承認日時', 'ignore', 'none', 'count', '-'),
+    (4, 'q5', '1. フラグ', 'single', 'pie', 'count', '-'), (5, 'q6', '2. 特徴', 'multiple', 'hbar', 'count', '-'),
+    (6, 'start-year', '5. 仕事を受注・開始した年', 'single', 'bar', 'natural', '-'),
+    (7, 'start-month', '6. 仕事を受注・開始した月', 'single', 'bar', 'preset', '-'),
+    (8, 'work-hours', '11. 実際の作業時間', 'single', 'bar', 'preset', '-'),
+    (9, 'start-year-month', '(派生) 年 + 月', 'single', 'line', 'natural', 'year-month'),
+    (10, 'work-days', '(派生) 実際の作業時間 → 作業日数', 'single', 'bar', 'preset', 'work-days'),
+    (11, 'work-minutes', '(派生) 実際の作業時間 → 合計作業時間', 'single', 'bar', 'preset', 'work-minutes'))
+    SELECT CAST(q_ord AS BIGINT) AS q_ord, q_key, header, kind, chart, opt_order, derived,
+        CASE WHEN kind = 'ignore' THEN 0 WHEN q_key = 'q6' THEN answered ELSE total END AS valid,
+        CASE WHEN kind = 'ignore' THEN total WHEN q_key = 'q6' THEN total - answered ELSE 0 END AS blank,
+        CASE WHEN kind = 'ignore' THEN 0 WHEN q_key = 'q6' THEN picks ELSE total END AS total_selections FROM q, n"""
+
 ORACLES = O

@@ -19,6 +19,7 @@ from tallyweave.plans.survey import analysis_documents, analyze
 from tallyweave.profiles import Profile
 from tallyweave.session import pin, spread
 from tallyweave.sinks import reports as rp
+from tallyweave.sources.delimited import assemble, content_lines, parse_lines, profile_files
 from tallyweave.sources.layout import detect_layout, fold_paired, named_columns
 
 c, lit = F.col, F.lit
@@ -523,12 +524,15 @@ def _folded(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def q_wide_fold(spark, sf):
-    """Folded cells of every line item, counted per distinct pair of answers."""
-    _, folded = _folded(spark, sf)
-    return folded.groupBy(
-        F.get("cells", lit(4)).alias("flag"), F.get("cells", lit(5)).alias("features"),
-        F.size("cells").cast("bigint").alias("width"),
-    ).agg(F.count(lit(1)).alias("n"))
+    """Folded cells of every line item: management, choice and free columns."""
+    columns, folded = _folded(spark, sf)
+    names = columns.orderBy("col_idx").agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat(c("col_idx").cast("string"), lit(" "), "header", lit(" "), F.coalesce("forced_kind", lit("-"))))), "; ").alias("layout"))
+    return folded.select(*[F.get("cells", lit(i)).alias(f"c{i}") for i in range(7)], F.size("cells").cast("bigint").alias("width")).groupBy(
+        "c2", "c3", "c4", "c5", "c6", "width"
+    ).agg(F.count(lit(1)).alias("n"), F.sum(c("c0").cast("bigint")).alias("orders"), F.sum(c("c1").cast("bigint")).alias("suppliers")).join(
+        F.broadcast(names)
+    )
 
 
 def q_fold_freq(spark, sf):
@@ -570,6 +574,91 @@ def q_header_uniquify(spark, sf):
     )
 
 
+# ---- delimited files ------------------------------------------------------------------------
+
+
+def _exports(spark, sf) -> DataFrame:
+    """One small export per part: four delimiters, two encodings, CRLF or LF, with inch marks,
+    quoted line ends and delimiters, long, short and blank rows, and some quotes never closed."""
+    d = F.element_at(F.array(*map(lit, (",", "\t", ";", "|"))), (c("p_size") % 4 + 1).cast("int"))
+    cp932 = c("p_size") % 3 == 0
+    end = F.when(c("p_size") % 2 == 0, "\r\n").otherwise("\n")
+    number = F.when(cp932, F.unhex(lit("94D48D86"))).otherwise(F.unhex(lit("E795AAE58FB7")))
+    bom = F.when((c("p_size") % 5 == 1) & ~cp932, F.unhex(lit("EFBBBF"))).otherwise(lit("").cast("binary"))
+    key = c("p_partkey").cast("string")
+    rows = F.concat(
+        d, lit("name"), d, lit("note"), end,
+        key, d, "p_name", d, lit('5"monitor'), end,
+        key, d, lit('"'), "p_type", lit("\r\nwith "), lit('""quotes"" and '), d, lit('"'), d, lit("x"), d, lit("extra"), end,
+        lit("-"), d, lit("N/A"), end,
+        c("p_brand"),
+    )
+    opened = c("p_size") % 7 == 0
+    tail = F.when(opened, F.concat(end, lit('"open'), d, "p_name")).when(c("p_size") % 5 == 0, "").otherwise(end)
+    content = F.concat(bom, number, F.concat(rows, tail).cast("binary"))
+    return table(spark, sf, "part").select(key.alias("survey_id"), content.alias("content"))
+
+
+def q_sniff_delimiter(spark, sf):
+    """Delimiter and encoding of every export."""
+    files, _ = profile_files(content_lines(_exports(spark, sf), lines_per_split=2))
+    return files.select("survey_id", "delimiter", "utf8", "ends_lf")
+
+
+def q_delimited_read(spark, sf):
+    """Cells of every record, each export cut into splits of two lines."""
+    _, responses, _ = parse_lines(content_lines(_exports(spark, sf), lines_per_split=2))
+    return responses.select("survey_id", "response_id", F.array_join("cells", "␟").alias("cells"))
+
+
+def q_ragged_accounting(spark, sf):
+    """Warnings of every export."""
+    _, _, warnings = parse_lines(content_lines(_exports(spark, sf), lines_per_split=3))
+    return warnings
+
+
+def q_encoding_fallback(spark, sf):
+    """Headers of every export, whichever its encoding is."""
+    columns, _, _ = parse_lines(content_lines(_exports(spark, sf)))
+    return columns.select("survey_id", c("col_idx").cast("bigint").alias("col_idx"), "header", "is_empty", "renamed")
+
+
+def _assembled(spark, sf) -> Survey:
+    """Line items as a paired platform export with year, month and work-time questions."""
+    headers = [
+        "作業ID", "作業者", "作業者ページURL", "承認日時", "1. フラグ", "", "2-1. 特徴", "", "2-2. 特徴", "",
+        "5. 仕事を受注・開始した年", "6. 仕事を受注・開始した月", "11. 実際の作業時間",
+    ]
+    raw = spark.createDataFrame([("lineitem", i, h) for i, h in enumerate(headers)], "survey_id string, col_idx int, header_raw string")
+    large, cheap = F.when(c("l_quantity") > 25, "大口"), F.when(c("l_discount") > 0.05, "値引")
+    code = lambda label: F.when(label.isNull(), "").otherwise("1")
+    hours = c("l_quantity").cast("int").cast("string")
+    cells = [
+        c("l_orderkey"), c("l_suppkey"), lit("https://example.invalid"), c("l_shipdate").cast("date"),
+        c("l_linenumber"), c("l_returnflag"), code(large), F.coalesce(large, lit("")), code(cheap), F.coalesce(cheap, lit("")),
+        F.year("l_shipdate"), F.concat(F.month("l_shipdate").cast("string"), lit("月")),
+        F.concat(lit("- 作業日数：", ), c("l_linenumber").cast("string"), lit("日\n- 合計作業時間："), hours, lit("時間")),
+    ]
+    r = table_responses(heavy(spark, sf, "lineitem"), c("l_orderkey") * 8 + c("l_linenumber"), cells, "lineitem")
+    none = spark.createDataFrame([], "survey_id string, code string, n bigint")
+    return assemble(named_columns(raw), r, none)
+
+
+def q_assembled_questions(spark, sf):
+    """Questions of an assembled export, derived ones last, with their answers counted."""
+    s = _assembled(spark, sf)
+    asked = s.questions.select("survey_id", "q_key", "header", "chart", "opt_order", F.coalesce("derived.type", lit("-")).alias("derived"))
+    stats = fr.all_question_stats(s, pin(interpreted_units(s)))
+    return stats.join(asked, ["survey_id", "q_key"]).select(
+        c("q_ord").cast("bigint").alias("q_ord"), "q_key", "header", "kind", "chart", "opt_order", "derived", "valid", "blank", "total_selections"
+    )
+
+
+def q_assembled_freq(spark, sf):
+    """Frequencies of all questions of an assembled export, derived ones included."""
+    return fr.frequency(_assembled(spark, sf)).select("q_key", "label", "count", "percentage")
+
+
 # ---- cross-tabs ---------------------------------------------------------------------------
 
 
@@ -765,7 +854,7 @@ def _mixed_survey(spark, sf) -> Survey:
         orders.unionByName(docs),
         [
             question("orders", 0, "priority", "single", label="優先度", chart="pie"),
-            question("orders", 1, "status", "multiple", label="状態"),
+            question("orders", 1, "status", "multiple", label="状態|区分"),
             question("orders", 2, "price", "numeric", label="価格", unit="円"),
             question("orders", 3, "none", "single", label="無回答"),
             question("documents", 0, "lang", "single", label="言語, lang"),
@@ -786,8 +875,9 @@ def q_summary_csv(spark, sf):
 
 
 def q_report_lines(spark, sf):
-    """Question blocks of the Markdown summary."""
-    return rp.summary_markdown(analyze(_mixed_survey(spark, sf))).where("section = 1").drop("section")
+    """The whole Markdown summary; only its time stamp is replaced."""
+    lines = rp.summary_markdown(analyze(_mixed_survey(spark, sf)))
+    return lines.withColumn("line", F.regexp_replace("line", "^(- 生成日時: ).*", "$1now"))
 
 
 def q_analysis_json(spark, sf):
@@ -802,7 +892,10 @@ def q_analysis_json(spark, sf):
     return asked.select(
         "source", "total", "included", c("q_ord").cast("bigint").alias("q_ord"), c("q.key").alias("q_key"), "q.kind",
         c("q.validResponses").alias("valid"), c("q.totalSelections").alias("selections"), c("q.numeric.median").alias("median"),
-        F.size("q.items").cast("bigint").alias("n_items"), F.aggregate("q.items", lit(0).cast("bigint"), lambda a, i: a + i["count"]).alias("count_sum"),
+        c("q.question").alias("question"), c("q.multiple").alias("multiple"), c("q.blankResponses").alias("blank"),
+        F.array_join(F.transform("q.items", lambda i: F.concat(
+            i["label"], lit("="), i["count"].cast("string"), lit("="), F.format_string("%.2f", i["percentage"]))), " ; ").alias("items"),
+        F.coalesce(F.array_join("q.freeTextSamples", " ; "), lit("-")).alias("samples"),
     )
 
 
