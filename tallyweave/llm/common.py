@@ -85,6 +85,16 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * inverses[starts])
 
 
+def rolling_sums(values: np.ndarray, k: int) -> np.ndarray:
+    """As span_hashes for every run of k values, not yet mixed: the upper bits are spread well."""
+    powers, inverses = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[: len(values)], out=sums[1:])
+    found = sums[k:] - sums[:-k]
+    found *= inverses[: len(found)]
+    return found
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow text column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.llm.common import BYTE_VALUES, mix, span_hashes
+from tallyweave.llm.common import BYTE_VALUES, mix, rolling_sums, span_hashes
 from tallyweave.llm.exchange import Arrays, Sent, Texts, among, by_bucket, split_keys, two_rounds, whole_keys
 
 LEAST = 50
@@ -81,30 +81,37 @@ def regions(texts: Texts, least: int = LEAST, k: int = ANCHOR) -> Regions:
         if n < least:
             continue
         values = BYTE_VALUES[0][data]
-        place = np.arange(n - k + 1)
-        grams = span_hashes(values, place, place + k)
-        low = (grams >> _PLACE_BITS << _PLACE_BITS) | place.astype(np.uint64)
+        grams = rolling_sums(values, k)
+        low = grams >> _PLACE_BITS
+        low <<= _PLACE_BITS
+        low |= np.arange(len(low), dtype=np.uint64)
         width = 1
         while 2 * width <= span:
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         if width < span:
             low = np.minimum(low[: -(span - width)], low[span - width :])
-        chosen = (low & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
-
-        lengths = np.diff(offsets)
-        own = np.repeat(np.arange(len(lengths)), lengths)[: n - least + 1]
-        inside = np.flatnonzero(np.arange(n - least + 1) + least <= offsets[1:][own])
-        if not len(inside):
+        low &= (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
+
+        # Rows that hold a whole string, and where a new anchor begins among their strings.
+        held = np.diff(offsets) >= least
+        begin, end = offsets[:-1][held], offsets[1:][held] - least + 1
+        inside = np.zeros(len(low) + 1, np.int8)
+        inside[begin] += 1
+        inside[end] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        fresh = np.ones(len(low), bool)
+        fresh[1:] = low[1:] != low[:-1]
+        fresh[begin] = True
+        starts = np.flatnonzero(fresh & inside)
+        if not len(starts):
             continue
-        picked = chosen[inside]
-        fresh = np.ones(len(inside), bool)
-        fresh[1:] = (picked[1:] != picked[:-1]) | (inside[1:] != inside[:-1] + 1)
-        cuts = np.flatnonzero(fresh)
-        starts, count = inside[cuts], np.diff(np.r_[cuts, len(inside)])
-        rows = own[starts] + first
+        row = np.searchsorted(begin, starts, "right") - 1
+        count = np.minimum(np.r_[starts[1:], len(low)], end[row]) - starts
+        rows = np.flatnonzero(held)[row] + first
+        gram = mix(grams[low[starts].astype(np.int64)])
         there = texts.present[rows]
-        starts, count, rows, gram = starts[there], count[there], rows[there], grams[picked[cuts]][there]
+        starts, count, rows, gram = starts[there], count[there], rows[there], gram[there]
         body = span_hashes(values, starts, starts + count + least - 1)
         for into, made in zip(found, (rows, starts + at, count, gram, body)):
             into.append(made)
