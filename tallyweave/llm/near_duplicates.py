@@ -239,7 +239,7 @@ def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]
     needed = F.greatest(F.lit(1), _required(F.col("n_b"), F.col("least"), scheme) - F.col("common"))
     around = around.withColumn("needed", F.when(~F.col("linked"), needed))
     lowest = around.groupBy("a").agg(F.min("needed").alias("lowest"))
-    around = around.join(lowest, "a").withColumn("needed", F.coalesce("needed", "lowest"))
+    around = pin(around.join(lowest, "a").withColumn("needed", F.coalesce("needed", "lowest")).drop("lowest"))
     keyed = around.select("a", "b", "linked", "needed", "common", "n_b", F.explode("added").alias("shingle"))
     several = keyed.groupBy("a", "shingle").agg(F.count("*").alias("f")).where("f > 1")
     keyed = keyed.join(several, ["a", "shingle"])
@@ -249,6 +249,7 @@ def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]
     offered = keyed.where("place <= shared - needed + 1").select(
         "a", "shingle", "b", "linked", "common", "n_b", (F.col("shared") - F.col("place") + 1).alias("behind")
     )
+    offered = pin(offered)
     offers = offered.groupBy("a", "shingle").agg(F.count("*").alias("f"), F.count_if(~F.col("linked")).alias("outer"))
     offered = offered.join(offers.where("f > 1 AND outer > 0"), ["a", "shingle"])
     few = offered.where(F.col("f") <= scheme.direct)
@@ -297,10 +298,13 @@ def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFr
     once = F.lit(False).alias("many")
     for turn in range(scheme.rounds):
         pairs, groups = _left_over(tested.where("many"), scheme)
-        named = pin(components(linked))
-        groups = _mixed(groups, named)
-        pairs = _apart(pairs, named).select("a", "b", once)
+        groups = pin(groups)
         done = groups.isEmpty()
+        if not done:
+            named = pin(components(linked))
+            groups, pairs = _mixed(groups, named), _apart(pairs, named)
+            done = groups.isEmpty()
+        pairs = pairs.select("a", "b", once)
         if not done and turn < scheme.rounds - 1:
             stars = _pivot_pairs(groups)
             pairs = pairs.join(stars, ["a", "b"], "left_anti").unionByName(stars)
