@@ -3,7 +3,7 @@
 Respondents are first counted per distinct pair of raw cells. Every distinct pair is then
 expanded to (row option or total) x (column option or total): a respondent adds one to each
 combination, so cells, margins and grand total are plain sums of one aggregation and no
-count(DISTINCT) is needed.
+count(DISTINCT) is needed. A cell's text is interpreted once, however many others it meets.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from tallyweave.functions.numbers import fixed
 from tallyweave.functions.text import key_of, let, natural_key
 from tallyweave.model import Survey
 from tallyweave.operators.frequency import option_order
-from tallyweave.operators.joins import dim_join
+from tallyweave.operators.joins import BROADCAST_ROWS, dim_join
 from tallyweave.operators.numeric import bin_lookup, looked_up_label, value_counts
 from tallyweave.operators.ranking import ranked
 from tallyweave.operators.units import (
@@ -31,6 +31,7 @@ PAIR = ["survey_id", "row_key", "col_key"]
 ELIGIBLE = ("single", "multiple", "numeric")
 MODES = ("count", "row", "col", "total")
 MAX_REPORT_COLUMNS = 10_000
+SPEC_PAIRS = 1_000
 _SPEC = ("kind", "delimiters", "unit", "derived", "alias_index")
 _RAW = ("r_raw", "r_raw2", "c_raw", "c_raw2")
 
@@ -104,13 +105,16 @@ def pair_cells(survey: Survey, pairs: Pairs) -> DataFrame:
     source = cell_sources(eligible(survey.questions)).drop("kind")
     rows = source.toDF("survey_id", "row_key", "ra", "rb")
     cols = source.toDF("survey_id", "col_key", "ca", "cb")
+    asked = pin(pairs.join(rows, ["survey_id", "row_key"]).join(cols, ["survey_id", "col_key"]))
+    # A survey's pairs travel as arrays of bounded length; their number decides on a broadcast.
+    count = asked.count()
+    part = F.pmod(F.xxhash64("row_key", "col_key"), F.lit(max(1, count // SPEC_PAIRS)))
     specs = (
-        pairs.join(rows, ["survey_id", "row_key"])
-        .join(cols, ["survey_id", "col_key"])
-        .groupBy("survey_id")
+        asked.groupBy("survey_id", part.alias("_part"))
         .agg(F.collect_list(F.struct("row_key", "col_key", "ra", "rb", "ca", "cb")).alias("specs"))
+        .drop("_part")
     )
-    joined = dim_join(responses, specs, ["survey_id"], "response_id", rows=survey.traits.rows)
+    joined = dim_join(responses, specs, ["survey_id"], "response_id", rows=count)
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
     second = lambda i: F.when(i.isNotNull(), cell(i))
 
@@ -136,32 +140,46 @@ def pair_units(survey: Survey, pairs: Pairs) -> DataFrame:
     )
 
 
-def _axis(
-    units: DataFrame, survey: Survey, spec: DataFrame, layout: DataFrame | None, side: str, key: str
-) -> DataFrame:
-    """Replace one side's raw cells by its options; numeric answers become bin labels."""
+# Stands for "no second cell" in join keys.
+_NO_SECOND = "\uFDD1"
+
+
+def _options(units: DataFrame, survey: Survey, spec: DataFrame, layout: DataFrame | None) -> DataFrame:
+    """(survey_id, q_key, raw, raw2, options): every distinct cell of either side, interpreted once.
+
+    Numeric answers become bin labels; cells without an option are left out.
+    """
     on = ["survey_id", "q_key"]
-    df = units.withColumnRenamed(key, "q_key").withColumnsRenamed(
-        {f"{side}_raw": "raw", f"{side}_raw2": "raw2"}
-    )
-    df = interpret(dim_join(df, spec, on, "raw", rows=survey.traits.rows), survey.traits)
+    sides = [
+        units.select("survey_id", F.col(key).alias("q_key"), F.col(f"{side}_raw").alias("raw"), F.col(f"{side}_raw2").alias("raw2"))
+        for side, key in (("r", "row_key"), ("c", "col_key"))
+    ]
+    cells = sides[0].unionByName(sides[1]).distinct()
+    df = interpret(dim_join(cells, spec, on, "raw", rows=survey.traits.rows), survey.traits)
     options = F.col("options")
     if layout is not None:
         df = dim_join(df, layout, on, "raw", rows=survey.traits.rows, how="left")
         label = looked_up_label(F.col("num"))
         binned = let(label, lambda t: F.array(F.struct(key_of(t).alias("key"), t.alias("label"))))
         options = F.when(F.col("kind") != "numeric", options).when(label.isNotNull(), binned)
-    kept = [c for c in units.columns if c not in (key, f"{side}_raw", f"{side}_raw2")]
-    name = f"{side}_options"
     # Computed and tested in one step: a later filter would compute the options again.
     df = staged(
-        df.select(*kept, F.col("q_key").alias(key), options.alias("_options")),
-        keep=lambda s: F.size(s[name]) > 0,
-        **{name: F.col("_options")},
+        df.select(*on, "raw", F.coalesce("raw2", F.lit(_NO_SECOND)).alias("raw2"), options.alias("_options")),
+        keep=lambda s: F.size(s["options"]) > 0,
+        options=F.col("_options"),
     )
     return df.drop("_options")
 
 
+def _axis(units: DataFrame, options: DataFrame, side: str, key: str, count: int) -> DataFrame:
+    """Replace one side's raw cells by its options."""
+    named = options.toDF("survey_id", key, f"{side}_raw", f"{side}_raw2", f"{side}_options")
+    filled = units.withColumn(f"{side}_raw2", F.coalesce(f"{side}_raw2", F.lit(_NO_SECOND)))
+    # A cell that meets very many others is spread over tasks by the number of the pair.
+    joined = dim_join(filled, named, ["survey_id", key, f"{side}_raw", f"{side}_raw2"], "first_id", rows=count)
+    return joined.drop(f"{side}_raw", f"{side}_raw2")
+
+
 def crosstab_cube(survey: Survey, pairs: Pairs, value_units: DataFrame | None = None) -> DataFrame:
     """(pair, row_opt, row_label, col_opt, col_label, n); a NULL option is the total."""
     questions = eligible(survey.questions)
@@ -173,9 +191,11 @@ def crosstab_cube(survey: Survey, pairs: Pairs, value_units: DataFrame | None =
             value_units = pin(interpreted_units(survey, kinds=("numeric",)))
         values = value_counts(value_units.where("kind = 'numeric'"))
         layout = pin(bin_lookup(values, questions.select("survey_id", "q_key", "unit")))
-    units = pair_units(survey, pairs)
+    units = pin(pair_units(survey, pairs))
+    options = pin(_options(units, survey, spec, layout))
+    count = options.limit(BROADCAST_ROWS + 1).count()
     for side, key in (("r", "row_key"), ("c", "col_key")):
-        units = _axis(units, survey, spec, layout, side, key)
+        units = _axis(units, options, side, key, count)
 
     total = F.array(F.lit(None).cast("struct<key:string,label:string>"))
     combos = F.flatten(
@@ -219,8 +239,7 @@ def axis_labels(survey: Survey, cube: DataFrame) -> DataFrame:
     )
     position = F.array_position("preset_keys", F.col("opt"))
     placed = (
-        row.unionByName(col)
-        .join(rules, ["survey_id", "q_key"])
+        dim_join(row.unionByName(col), rules, ["survey_id", "q_key"], "opt", rows=survey.traits.rows)
         .withColumn("_place", F.when(position > 0, position))
         .withColumn("_natural", natural_key(F.col("label")))
         .drop("preset_keys")
@@ -235,7 +254,7 @@ def crosstab(
 ) -> DataFrame:
     """Tidy cross-tab: one row per occurring cell with its margins and both ranks."""
     cube = pin(crosstab_cube(survey, pairs, value_units))
-    labels = axis_labels(survey, cube)
+    labels = pin(axis_labels(survey, cube))
     side = lambda axis, name: labels.where(F.col("axis") == axis).select(
         *PAIR,
         F.col("opt").alias(f"{name}_opt"),
@@ -249,10 +268,12 @@ def crosstab(
     cells = cube.where("row_opt is not null and col_opt is not null").select(
         *PAIR, "row_opt", "col_opt", F.col("n").alias("count")
     )
+    # Labels of one pair may be many and its cells more: the joins are spread by the other side.
+    many = labels.limit(BROADCAST_ROWS + 1).count()
+    with_rows = dim_join(cells, side("row", "row"), [*PAIR, "row_opt"], "col_opt", rows=many)
+    with_both = dim_join(with_rows, side("col", "col"), [*PAIR, "col_opt"], "row_opt", rows=many)
     return (
-        cells.join(side("row", "row"), [*PAIR, "row_opt"])
-        .join(side("col", "col"), [*PAIR, "col_opt"])
-        .join(grand, PAIR)
+        dim_join(with_both, grand, PAIR, "row_opt", rows=many)
         .select(
             *PAIR, "row_rank", "row_label", "col_rank", "col_label",
             "count", "row_total", "col_total", "grand_total",

@@ -634,4 +634,10 @@ O["q_assembled_questions"] = f"""WITH {ASSEMBLED}, q(q_ord, q_key, header, kind,
         CASE WHEN kind = 'ignore' THEN total WHEN q_key = 'q6' THEN total - answered ELSE 0 END AS blank,
         CASE WHEN kind = 'ignore' THEN 0 WHEN q_key = 'q6' THEN picks ELSE total END AS total_selections FROM q, n"""
 
+O["q_crosstab_default_axes"] = f"""WITH {ASSEMBLED}, both_ AS (SELECT flag, fs FROM x WHERE len(fs) > 0),
+    cell AS (SELECT flag, unnest(fs) AS f FROM both_)
+    SELECT 'q5' AS row_key, 'q6' AS col_key, flag AS row_label, f AS col_label, count(*) AS count,
+        (SELECT count(*) FROM both_ b WHERE b.flag = c.flag) AS row_total, (SELECT count(*) FROM cell d WHERE d.f = c.f) AS col_total,
+        (SELECT count(*) FROM both_) AS grand_total FROM cell c GROUP BY flag, f"""
+
 ORACLES = O

@@ -687,6 +687,13 @@ def q_crosstab(spark, sf):
     return ct.crosstab(*_segment_priority(spark, sf)).select(*_TIDY)
 
 
+def q_crosstab_default_axes(spark, sf):
+    """Cross-tab of the default axes of an export whose questions were built from its columns."""
+    s = _assembled(spark, sf)
+    made = ct.crosstab(s, ct.default_axes(s.questions))
+    return made.select("row_key", "col_key", "row_label", "col_label", "count", "row_total", "col_total", "grand_total")
+
+
 def q_crosstab_margins(spark, sf):
     """Multiple choice by single choice: margins are distinct respondents, not cell sums."""
     flags = _flag_cells(spark, sf)
