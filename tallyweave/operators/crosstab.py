@@ -244,7 +244,7 @@ def axis_labels(survey: Survey, cube: DataFrame) -> DataFrame:
         .withColumn("_natural", natural_key(F.col("label")))
         .drop("preset_keys")
     )
-    return ranked(placed, [*PAIR, "axis"], option_order()).select(
+    return ranked(placed, [*PAIR, "axis"], option_order(), at_most=cube.count()).select(
         *PAIR, "axis", "opt", "label", "count", "rank"
     )
 

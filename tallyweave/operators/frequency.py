@@ -54,9 +54,10 @@ def option_order(prefix: str = "") -> list[Column]:
 
 
 def rank_options(
-    counts: DataFrame, questions: DataFrame, survey: Survey, keys: list[str] = KEY
+    counts: DataFrame, questions: DataFrame, survey: Survey, keys: list[str] = KEY,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """Add `rank` by each question's ordering rule."""
+    """Add `rank` by each question's ordering rule; `at_most` bounds the number of options."""
     rules = with_dictionaries(questions, survey.traits).select(*KEY, "opt_order", "preset_keys")
     position = F.array_position("preset_keys", F.col("opt_key"))
     # Ranked inputs are pinned, so sort keys are stored and the preset list is dropped.
@@ -66,7 +67,7 @@ def rank_options(
         .withColumn("_natural", natural_key(F.col("label")))
         .drop("preset_keys")
     )
-    return ranked(placed, keys, option_order()).drop("_place", "_natural", "opt_order")
+    return ranked(placed, keys, option_order(), at_most=at_most).drop("_place", "_natural", "opt_order")
 
 
 def frequency(survey: Survey, units: DataFrame | None = None) -> DataFrame:
@@ -76,7 +77,9 @@ def frequency(survey: Survey, units: DataFrame | None = None) -> DataFrame:
     valid = question_stats(units).select(*KEY, "valid")
     counts = dim_join(option_counts(units), valid, KEY, "opt_key", rows=survey.traits.rows)
     shares = counts.withColumn("percentage", percentage(F.col("count"), F.col("valid")))
-    return rank_options(shares, questions, survey).select(
+    # Units are pinned: their options bound what has to be ranked, at the price of one small sum.
+    listed = units.agg(F.sum(F.greatest(F.size("options"), F.lit(0)))).first()[0] or 0
+    return rank_options(shares, questions, survey, at_most=listed).select(
         *KEY, "rank", "opt_key", "label", "count", "percentage"
     )
 

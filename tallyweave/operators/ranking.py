@@ -18,16 +18,19 @@ def ranked(
     into: str = "rank",
     max_group: int = WINDOW_ROWS,
     partitions: int = RANGE_PARTITIONS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Number rows 1, 2, ... within each group.
 
-    The input is pinned and its largest group measured. Small groups use one window. When a
-    group is larger, rows are range-partitioned by (group, order), numbered inside each
-    range, and shifted by the sizes of the group's earlier ranges.
+    Small groups use one window. When a group is larger, rows are range-partitioned by (group,
+    order), numbered inside each range, and shifted by the sizes of the group's earlier ranges.
+    `at_most` is a known bound on the rows; where it does not settle the matter, the input is
+    pinned and its largest group measured.
     """
-    df = pin(df)
-    biggest = df.groupBy(*part).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_group:
+    if at_most is None or at_most > max_group:
+        df = pin(df)
+        at_most = df.groupBy(*part).count().agg(F.max("count")).first()[0] or 0
+    if at_most <= max_group:
         window = Window.partitionBy(*part).orderBy(*order)
         return df.withColumn(into, F.row_number().over(window).cast("bigint"))
 

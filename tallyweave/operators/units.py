@@ -178,7 +178,7 @@ def interpret(df: DataFrame, traits: Traits) -> DataFrame:
         text = joined_text(F.col("raw"), F.col("delimiters"), multiple)
         unwraps = multiple & (F.size("delimiters") > 0)
     else:
-        text, unwraps = nfkc(F.col("raw")), F.lit(False)
+        text, unwraps = nfkc(protect(F.col("raw"))), F.lit(False)
     texts = {"_text": text}
     if "year-month" in traits.derivations:
         texts["_text2"] = nfkc(F.coalesce("raw2", F.lit("")))

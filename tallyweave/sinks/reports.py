@@ -118,7 +118,7 @@ def summary_csv(analysis: Analysis) -> DataFrame:
         F.col("question"),
         F.col("option"),
         F.col("count").cast("string"),
-        fixed(F.col("percentage"), F.lit(2)),
+        F.format_string("%.2f", F.col("percentage")),
         F.col("valid_responses").cast("string"),
         F.col("multiple_choice").cast("string"),
     )
