@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.session import ship, tune
+from tallyweave.session import pin, ship, tune
 
 SLICE_BYTES = 1 << 20
 
@@ -32,6 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(tune(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame, rows_per_task: int = 20_000) -> tuple[DataFrame, int]:
+    """A result kept as a checkpoint, in no more partitions than its rows need, and its row count.
+
+    Results much smaller than the tables they come from would otherwise be read, and shuffled
+    again, by as many tasks as those.
+    """
+    kept = pin(df)
+    count = kept.count()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-count // rows_per_task))
+    return kept.coalesce(tasks), count
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Size of all texts; one scan of one column."""
     return docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0

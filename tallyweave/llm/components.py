@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyweave.session import pin
+from tallyweave.llm.common import settled
+
+# A node and its smallest neighbour are 16 bytes, so a broadcast stays near 16 MB.
+BROADCAST_NODES = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -12,21 +15,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every step links nodes to the smallest one they
     know, so paths shrink by halves and the number of rounds grows with the logarithm of the
-    longest path. Edges never leave the executors; each round is kept as a checkpoint.
+    longest path. Edges never leave the executors; each round is kept as a checkpoint. Smallest
+    neighbours are broadcast while the number of edges bounds them.
     """
-    edges = pin(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges, count = settled(edges)
+    tasks = edges.sparkSession.sparkContext.defaultParallelism
     before = None
     while True:
+        small = 2 * count <= BROADCAST_NODES
+        narrow = (lambda df: df.coalesce(tasks)) if small else (lambda df: df)
+        known = F.broadcast if small else (lambda df: df)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = pin(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        least = narrow(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(known(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = narrow(large.where("u <> v").distinct())
+        least = narrow(large.groupBy("u").agg(F.min("v").alias("m")))
+        linked = large.join(known(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges, count = settled(narrow(linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

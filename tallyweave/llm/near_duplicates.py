@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyweave.llm.common import (
-    BYTE_VALUES, LOWER, SPACE, free_name, mix, runs, seeded, slices, span_hashes, windows,
+    BYTE_VALUES, LOWER, SPACE, free_name, mix, runs, seeded, settled, slices, span_hashes, windows,
 )
 from tallyweave.llm.components import components
 from tallyweave.session import pin
@@ -189,7 +189,7 @@ def _enough(common: Column, n_a: Column, n_b: Column, scheme: Scheme) -> Column:
 def _compared(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     """For pairs (a, b, many): sizes, common shingles, whether they are linked, and, where many is
     set, the shingles of b that a does not have."""
-    pairs = pin(pairs)
+    pairs, _ = settled(pairs, 2_000)
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -198,7 +198,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     schema = "a bigint, b bigint, many boolean, common bigint, n_a bigint, n_b bigint, added array<bigint>"
     found = full.select("a", "b", "many", "text_a", "text_b").mapInArrow(_compare(scheme), schema)
-    return pin(found.withColumn("linked", _enough(F.col("common"), F.col("n_a"), F.col("n_b"), scheme)))
+    return settled(found.withColumn("linked", _enough(F.col("common"), F.col("n_a"), F.col("n_b"), scheme)), 2_000)[0]
 
 
 def _pivot_pairs(groups: DataFrame) -> DataFrame:
@@ -239,7 +239,8 @@ def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]
     needed = F.greatest(F.lit(1), _required(F.col("n_b"), F.col("least"), scheme) - F.col("common"))
     around = around.withColumn("needed", F.when(~F.col("linked"), needed))
     lowest = around.groupBy("a").agg(F.min("needed").alias("lowest"))
-    around = pin(around.join(lowest, "a").withColumn("needed", F.coalesce("needed", "lowest")).drop("lowest"))
+    around = around.join(lowest, "a").withColumn("needed", F.coalesce("needed", "lowest")).drop("lowest")
+    around, _ = settled(around, 2_000)
     keyed = around.select("a", "b", "linked", "needed", "common", "n_b", F.explode("added").alias("shingle"))
     several = keyed.groupBy("a", "shingle").agg(F.count("*").alias("f")).where("f > 1")
     keyed = keyed.join(several, ["a", "shingle"])
@@ -249,7 +250,7 @@ def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]
     offered = keyed.where("place <= shared - needed + 1").select(
         "a", "shingle", "b", "linked", "common", "n_b", (F.col("shared") - F.col("place") + 1).alias("behind")
     )
-    offered = pin(offered)
+    offered, _ = settled(offered)
     offers = offered.groupBy("a", "shingle").agg(F.count("*").alias("f"), F.count_if(~F.col("linked")).alias("outer"))
     offered = offered.join(offers.where("f > 1 AND outer > 0"), ["a", "shingle"])
     few = offered.where(F.col("f") <= scheme.direct)
@@ -270,7 +271,7 @@ def _mixed(groups: DataFrame, named: DataFrame) -> DataFrame:
     """Members of groups that hold more than one component, with their components."""
     held = groups.select("entry", "doc").join(named.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("component"))
     several = held.groupBy("entry").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    return pin(held.join(several.where("least <> most").select("entry"), "entry"))
+    return settled(held.join(several.where("least <> most").select("entry"), "entry"))[0]
 
 
 def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -285,23 +286,23 @@ def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFr
     `sets` is the result of `signatures`. Pairs already connected by other links are left out.
     """
     some = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = pin(
+    reps, _ = settled(
         some.groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min(F.struct("doc_id", "symbols")).alias("r"))
         .select(F.col("r.doc_id").alias("doc_id"), F.col("r.symbols").alias("symbols"))
     )
     entries = reps.mapInArrow(_index_entries(scheme), "entry bigint, doc bigint")
     shared = entries.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
-    groups = pin(entries.join(shared, "entry").select("entry", "doc"))
+    groups, _ = settled(entries.join(shared, "entry").select("entry", "doc"))
     tested = _compared(_pivot_pairs(groups), docs, scheme)
     linked = tested.where("linked").select("a", "b")
     once = F.lit(False).alias("many")
     for turn in range(scheme.rounds):
         pairs, groups = _left_over(tested.where("many"), scheme)
-        groups = pin(groups)
-        done = groups.isEmpty()
+        groups, size = settled(groups)
+        done = not size
         if not done:
-            named = pin(components(linked))
+            named, _ = settled(components(linked))
             groups, pairs = _mixed(groups, named), _apart(pairs, named)
             done = groups.isEmpty()
         pairs = pairs.select("a", "b", once)
@@ -313,7 +314,7 @@ def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFr
             cross = left.join(left.toDF("entry", "b", "of_b"), "entry").where("a < b AND of_a <> of_b")
             pairs = pairs.unionByName(cross.select("a", "b", once)).distinct()
         tested = _compared(pairs, docs, scheme)
-        linked = pin(linked.unionByName(tested.where("linked").select("a", "b")))
+        linked, _ = settled(linked.unionByName(tested.where("linked").select("a", "b")))
         if done:
             break
     return linked
