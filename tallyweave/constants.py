@@ -25,12 +25,19 @@ NICE_MANTISSAS = (1, 2, 5)
 MAX_BIN_CANDIDATES = 400
 DISCRETE_BIN_LIMIT = 10
 RANGE_MARK = "〜"
+# Possessive quantifiers keep a numeral whole: "35万" never yields a bare "3".
+NUMERAL = "([0-9]++(?:\\.[0-9]++)?+)"
+CALENDAR_DATE = "^[0-9]{4}[-/.][0-9]{1,2}(?:[-/.][0-9]{1,2})?\\z"
+HOURS_TEXT = "(?i)([0-9]+(?:\\.[0-9]+)?)(?:時間|時|hours?|hrs?|h)"
+MINUTES_TEXT = "(?i)([0-9]+(?:\\.[0-9]+)?)(?:分|minutes?|mins?|m(?![a-z]))"
 
 # ---- fixed values: work time -------------------------------------------------------------
 UNPARSED = "解析不能"
 DAYS_LABEL = "作業日数"
 MINUTES_LABEL = "合計作業時間"
 KANJI_DIGITS = "一二三四五六七八九十"
+APPROXIMATE_HEAD = "^(?:約|およそ|おおよそ|ほぼ)[ \\n]*"
+APPROXIMATE_TAIL = "(?:ほど|程度|程|くらい|ぐらい|位)\\z"
 # (upper bound in minutes, label); the last bin has no upper bound.
 DURATION_BINS = (
     (30, "30分未満"),
@@ -68,6 +75,9 @@ FREE_PLACEHOLDER = "(自由記述)"
 EMPTY_PLACEHOLDER = "(回答なし)"
 
 # ---- fixed values: platform export layout ------------------------------------------------
+# Number, optional branch number, question text: "1. Age", "12-3. Tools used".
+NUMBERED_HEADER = "^\\s*([0-9]+)(?:\\s*-\\s*([0-9]+))?\\s*[.．]\\s*(.*)\\z"
+UNNAMED_COLUMN = "列"
 MANAGEMENT_HEADERS = ("作業ID", "作業者", "作業者ページURL", "承認日時")
 IDENTITY_KINDS = ("worker-name", "worker-url", "worker-id", "approved-at")
 VISIBLE_BY_DEFAULT = ("approved-at",)

@@ -7,24 +7,21 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from tallyweave.constants import HOUR_UNIT, RANGE_SEPARATORS, SCALES
+from tallyweave.constants import (
+    CALENDAR_DATE, HOUR_UNIT, HOURS_TEXT, MINUTES_TEXT, NUMERAL, RANGE_SEPARATORS, SCALES,
+)
 from tallyweave.functions.text import WS, let, nfkc
 
-# Possessive quantifiers keep a numeral whole: "35万" never yields a bare "3".
-_NUM = "([0-9]++(?:\\.[0-9]++)?+)"
 _SCALE_CLASS = "[" + "".join(SCALES) + "]"
 # First numeral of the text followed by numerals of strictly smaller scale ("3万5000").
 _SCALED = (
     "^[^0-9]*"
-    + "".join(f"(?:{_NUM}{s})?" for s in SCALES)
-    + f"(?:{_NUM}(?!{_SCALE_CLASS}))?"
+    + "".join(f"(?:{NUMERAL}{s})?" for s in SCALES)
+    + f"(?:{NUMERAL}(?!{_SCALE_CLASS}))?"
 )
 _RANGE = (
     "(?s)^([^0-9]*[0-9].*?)(?:" + "|".join(RANGE_SEPARATORS) + ")(.*[0-9].*)\\z"
 )
-_CALENDAR = "^[0-9]{4}[-/.][0-9]{1,2}(?:[-/.][0-9]{1,2})?\\z"
-_HOURS = "(?i)([0-9]+(?:\\.[0-9]+)?)(?:時間|時|hours?|hrs?|h)"
-_MINUTES = "(?i)([0-9]+(?:\\.[0-9]+)?)(?:分|minutes?|mins?|m(?![a-z]))"
 
 
 def tidy(c: Column) -> Column:
@@ -47,8 +44,8 @@ def _scaled(t: Column) -> Column:
 
 
 def _scalar(t: Column, unit: Column) -> Column:
-    is_clock = unit.eqNullSafe(F.lit(HOUR_UNIT)) & (t.rlike(_HOURS) | t.rlike(_MINUTES))
-    clock = tidy(_group(t, _HOURS, 1) + _group(t, _MINUTES, 1) / 60)
+    is_clock = unit.eqNullSafe(F.lit(HOUR_UNIT)) & (t.rlike(HOURS_TEXT) | t.rlike(MINUTES_TEXT))
+    clock = tidy(_group(t, HOURS_TEXT, 1) + _group(t, MINUTES_TEXT, 1) / 60)
     return F.when(is_clock, clock).otherwise(_scaled(t))
 
 
@@ -87,7 +84,7 @@ def parse_compact(text: Column, unit: Column) -> Column:
         )
 
     def number(t: Column) -> Column:
-        is_range = t.rlike(_RANGE) & ~t.contains("年") & ~t.rlike(_CALENDAR)
+        is_range = t.rlike(_RANGE) & ~t.contains("年") & ~t.rlike(CALENDAR_DATE)
         return F.when(is_range, midpoint(t)).otherwise(_scalar(t, unit))
 
     return let(text, number)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tallyweave.constants import (
+    APPROXIMATE_HEAD,
+    APPROXIMATE_TAIL,
     DAYS_LABEL,
     DURATION_BINS,
     KANJI_DIGITS,
@@ -15,8 +17,6 @@ from tallyweave.functions.numbers import parse_number
 from tallyweave.functions.text import let, norm_text
 
 _SAFE_INT = 9007199254740991
-_APPROX_HEAD = "^(?:約|およそ|おおよそ|ほぼ)[ \\n]*"
-_APPROX_TAIL = "(?:ほど|程度|程|くらい|ぐらい|位)\\z"
 
 
 def _integer(text: Column, pattern: str, group: int = 1) -> Column:
@@ -33,7 +33,7 @@ def _target(text: Column, label: str) -> Column:
     after = F.trim(F.regexp_replace(rest, "^[ :：=＝]+", ""))
     bare = F.when(text.contains("\n"), F.lit("")).otherwise(text)
     value = F.when(text.contains(label), after).otherwise(bare)
-    value = F.regexp_replace(F.regexp_replace(value, _APPROX_HEAD, ""), _APPROX_TAIL, "")
+    value = F.regexp_replace(F.regexp_replace(value, APPROXIMATE_HEAD, ""), APPROXIMATE_TAIL, "")
     return F.trim(value)
 
 

@@ -59,14 +59,6 @@ GENDERS = {
     "未回答": "回答しない",
 }
 
-# Year and month questions share their stems.
-_START_STEMS = ("受注開始した", "仕事を始めた", "受注した", "開始した", "着手した", "受注", "開始")
-
-
-def _start_patterns(unit: str, extra: str) -> tuple[str, ...]:
-    return tuple(stem + unit for stem in _START_STEMS) + (extra,)
-
-
 # ---- fixed values: the questionnaire ------------------------------------------------------
 DEFAULT_PROFILES: tuple[Profile, ...] = (
     Profile(
@@ -91,12 +83,12 @@ DEFAULT_PROFILES: tuple[Profile, ...] = (
     ),
     Profile(
         "start-year", "仕事を受注・開始した年", "single", "bar", "natural",
-        _start_patterns("年", "西暦"),
+        ("受注開始した年", "仕事を始めた年", "受注した年", "開始した年", "着手した年", "受注年", "開始年", "西暦"),
     ),
     Profile(
         "start-month", "仕事を受注・開始した月", "single", "bar", "preset",
-        _start_patterns("月", "何月"),
-        presets=tuple(f"{m}月" for m in range(1, 13)),
+        ("受注開始した月", "仕事を始めた月", "受注した月", "開始した月", "着手した月", "受注月", "開始月", "何月"),
+        presets=("1月", "2月", "3月", "4月", "5月", "6月", "7月", "8月", "9月", "10月", "11月", "12月"),
     ),
     Profile(
         "job-category", "仕事の主なカテゴリ", "single", "hbar", "count",

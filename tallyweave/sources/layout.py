@@ -9,16 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyweave.constants import MANAGEMENT_HEADERS
+from tallyweave.constants import MANAGEMENT_HEADERS, NUMBERED_HEADER, UNNAMED_COLUMN
 from tallyweave.functions.text import SEPARATOR, is_blank_norm, nfkc, norm_text, protect, restore, squeeze
 from tallyweave.operators.joins import dim_join
 from tallyweave.operators.questions import unique_names
 from tallyweave.session import staged
 
-# Number, optional branch number, question text: "1. Age", "12-3. Tools used".
-_HEADER = "^\\s*([0-9]+)(?:\\s*-\\s*([0-9]+))?\\s*[.．]\\s*(.*)\\z"
-_EMPTY_NAME = "列"
-
 
 def named_columns(raw_columns: DataFrame) -> DataFrame:
     """columns(survey_id, col_idx, header, is_empty, renamed) from (survey_id, col_idx, header_raw).
@@ -29,7 +25,7 @@ def named_columns(raw_columns: DataFrame) -> DataFrame:
     named = named.withColumn("is_empty", F.col("_norm") == "").withColumn(
         "_named",
         F.when(
-            F.col("is_empty"), F.concat(F.lit(_EMPTY_NAME), (F.col("col_idx") + 1).cast("string"))
+            F.col("is_empty"), F.concat(F.lit(UNNAMED_COLUMN), (F.col("col_idx") + 1).cast("string"))
         ).otherwise(F.col("_norm")),
     )
     return unique_names(named, "_named", "header").select(
@@ -41,7 +37,7 @@ def named_columns(raw_columns: DataFrame) -> DataFrame:
 def parse_headers(columns: DataFrame, header: str = "header") -> DataFrame:
     """Add number, branch and text of numbered question headers; NULL for other headers."""
     df = columns.withColumn("header_norm", norm_text(F.col(header)))
-    group = lambda i: F.regexp_extract("header_norm", _HEADER, i)
+    group = lambda i: F.regexp_extract("header_norm", NUMBERED_HEADER, i)
     question = (group(1) != "") & (group(3) != "")
     return df.withColumns(
         {
