@@ -509,7 +509,7 @@ MIXED = f"""
     ans AS (SELECT 'orders' AS survey_id, 'priority' AS q_key, p AS label FROM inc WHERE p IS NOT NULL
         UNION ALL SELECT 'orders', 'status', o_orderstatus FROM inc
         UNION ALL SELECT 'orders', 'status', 'large' FROM inc WHERE o_totalprice > 250000
-        UNION ALL SELECT 'documents', 'lang', lang FROM documents),
+        UNION ALL SELECT 'documents', 'lang', lang || ' | "a"' || chr(10) || 'b' FROM documents),
     qm(survey_id, q_ord, q_key, question, kind, multiple) AS (VALUES ('orders', 0, 'priority', '優先度', 'single', false),
         ('orders', 1, 'status', '状態|区分', 'multiple', true), ('orders', 2, 'price', '価格', 'numeric', false),
         ('orders', 3, 'none', '無回答', 'single', false), ('documents', 0, 'lang', '言語, lang', 'single', false),
@@ -588,7 +588,7 @@ O["q_report_lines"] = f"""WITH {MIXED}, {STAT},
         UNION ALL SELECT survey_id, q_ord * 3 + 2, [''] FROM qm WHERE q_key NOT IN ('text', 'none'))
     SELECT survey_id, 1 AS section, position, CAST(unnest(generate_series(0, len(l) - 1)) AS INT) AS part, unnest(l) AS line FROM blk
     UNION ALL SELECT survey_id, section, 0, CAST(unnest(generate_series(0, len(l) - 1)) AS INT), unnest(l) FROM ends
-    UNION ALL SELECT items.survey_id, 1, q_ord * 3 + 1, CAST(rank AS INT), '| ' || label || ' | ' || format('{{:,}}', count) || ' | '
+    UNION ALL SELECT items.survey_id, 1, q_ord * 3 + 1, CAST(rank AS INT), '| ' || replace(replace(label, '|', '\\|'), chr(10), ' ') || ' | ' || format('{{:,}}', count) || ' | '
         || {dec1("percentage")} || '% |' FROM items JOIN qm USING (q_key)"""
 
 # ---- delimited files and assembled exports ------------------------------------------------
@@ -640,4 +640,7 @@ O["q_crosstab_default_axes"] = f"""WITH {ASSEMBLED}, both_ AS (SELECT flag, fs F
         (SELECT count(*) FROM both_ b WHERE b.flag = c.flag) AS row_total, (SELECT count(*) FROM cell d WHERE d.f = c.f) AS col_total,
         (SELECT count(*) FROM both_) AS grand_total FROM cell c GROUP BY flag, f"""
 
+O["q_written_csv"] = f"""SELECT CASE WHEN section = 0 THEN chr(65279) || line ELSE line END AS line
+    FROM ({O["q_summary_csv"]}) WHERE survey_id = 'orders'"""
+
 ORACLES = O

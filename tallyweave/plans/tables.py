@@ -6,6 +6,8 @@ from table columns; nothing is sampled, cut or filtered to make a query cheap.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyweave.functions import answers, numbers, text, worktime
@@ -17,7 +19,7 @@ from tallyweave.operators.inference import infer_kinds
 from tallyweave.operators.units import interpreted_units
 from tallyweave.plans.survey import analysis_documents, analyze
 from tallyweave.profiles import Profile
-from tallyweave.session import pin, spread
+from tallyweave.session import ensure_checkpoint_dir, pin, spread
 from tallyweave.sinks import reports as rp
 from tallyweave.sources.delimited import assemble, content_lines, parse_lines, profile_files
 from tallyweave.sources.layout import detect_layout, fold_paired, named_columns
@@ -855,7 +857,9 @@ def _mixed_survey(spark, sf) -> Survey:
         spark, sf, _with_blanks(), F.concat_ws("、", c("o_orderstatus"), F.when(c("o_totalprice") > 250000, "large")),
         F.concat(money("o_totalprice"), lit("円")), lit("-"), included=c("o_totalprice") > 5000,
     )
-    docs = table_responses(table(spark, sf, "documents"), c("doc_id"), [c("lang"), c("text"), c("source")], "documents")
+    # Labels with a bar and a line end, as reports have to escape them.
+    lang = F.concat(c("lang"), lit(' | "a"\nb'))
+    docs = table_responses(table(spark, sf, "documents"), c("doc_id"), [lang, c("text"), c("source")], "documents")
     return define_survey(
         spark,
         orders.unionByName(docs),
@@ -881,6 +885,17 @@ def q_summary_csv(spark, sf):
     return rp.summary_csv(analyze(_mixed_survey(spark, sf)))
 
 
+def q_written_csv(spark, sf):
+    """summary.csv of one survey as written for spreadsheet programs, read back as bytes."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    rp.write_lines(rp.summary_csv(analyze(_mixed_survey(spark, sf))).where("survey_id = 'orders'"), folder, bom=True, line_sep="\r\n")
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    lines = F.split(F.decode("content", "UTF-8"), "\r\n")
+    # Every line is ended, so the last piece of a part is empty.
+    return parts.select(F.explode(F.slice(lines, lit(1), F.size(lines) - 1)).alias("line"))
+
+
 def q_report_lines(spark, sf):
     """The whole Markdown summary; only its time stamp is replaced."""
     lines = rp.summary_markdown(analyze(_mixed_survey(spark, sf)))
