@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.llm import decontamination, line_dedup, near_duplicates, packing, quality_classifier
-from tallyweave.llm.common import table
-from tallyweave.session import ensure_checkpoint_dir, ship, tune
+from tallyweave.llm.common import ready, table
+from tallyweave.session import ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later runs of repeated lines; documents that lose every line go."""
-    ship(tune(spark))
+    ready(spark)
     return line_dedup.clean(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five words, similarity 0.8)."""
-    ship(tune(spark))
+    ready(spark)
     return near_duplicates.deduplicate(docs)
 
 
@@ -40,7 +40,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents with their places in the sequences."""
-    ship(tune(spark))
+    ready(spark)
     return packing.pack_documents(docs)
 
 
@@ -58,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages; each one's rows are written to the shared folder and read again."""
-    ship(tune(spark))
+    ready(spark)
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")

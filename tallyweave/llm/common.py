@@ -28,8 +28,20 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Session settings of these operators, and the package on the workers; explicit settings win.
+
+    Rows hold whole texts, so batches of the usual number of rows take tens of megabytes several
+    times over in the executor and its Python workers.
+    """
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, "2000")
+    return ship(tune(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(tune(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def settled(df: DataFrame, rows_per_task: int = 20_000) -> tuple[DataFrame, int]:
