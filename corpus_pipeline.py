@@ -22,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later runs of repeated lines; documents that lose every line go."""
+    """Deletes later runs of repeated lines and single long ones; documents that lose every line go."""
     ready(spark)
-    return line_dedup.clean(docs)
+    return line_dedup.clean(docs, alone=line_dedup.LONG_LINE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

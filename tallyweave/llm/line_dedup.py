@@ -6,7 +6,8 @@ overlapping runs count, and all runs are judged on the input. Of every `run` con
 hashes the smallest is kept as a fingerprint, so equal runs have an equal fingerprint at the same
 place. Fingerprints are joined by value; where one occurs twice, its place is extended both ways
 to all runs around it, and equal runs are compared by two 64-bit hashes of their lines. Only the
-earliest place of a run stays.
+earliest place of a run stays. With `alone`, a line of at least so many words is a run by itself:
+it is deleted wherever it is not at its earliest place, whatever its neighbours are.
 
 Counts and smallest places are sums that Spark combines before its shuffles, so a line that a
 third of all documents share is one row per task. A text is only moved to the task that deletes
@@ -31,6 +32,8 @@ from tallyweave.llm.common import BYTE_VALUES, SPACE, free_name, runs, slices, s
 from tallyweave.session import pin
 
 RUN = 2
+# Words that make a single line a run, where that is asked for.
+LONG_LINE = 50
 _TRIMMED = b" \t\x0b\x0c\r"
 
 
@@ -38,7 +41,7 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _line_batches(run: int):
+def _line_batches(run: int, alone: int | None):
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in slices(batch.column("text")):
@@ -46,6 +49,7 @@ def _line_batches(run: int):
                 words, word_ends, _ = runs(~SPACE[data], offsets)
                 low, high = np.searchsorted(words, starts), np.searchsorted(words, ends)
                 filled = high > low
+                long = (high - low)[filled] >= alone if alone else np.zeros(int(filled.sum()), bool)
                 # From the first word of the line to the end of its last.
                 starts, ends = words[low[filled]], word_ends[high[filled] - 1]
                 bounds = np.searchsorted(starts, offsets)
@@ -73,20 +77,22 @@ def _line_batches(run: int):
                         pa.array(starting),
                         pa.array(runs_a.view(np.int64)),
                         pa.array(runs_b.view(np.int64)),
+                        pa.array(b.view(np.int64), mask=~long),
                     ],
-                    ["doc_id", "text_key", "line", "hash", "chosen", "starts", "run_a", "run_b"],
+                    ["doc_id", "text_key", "line", "hash", "chosen", "starts", "run_a", "run_b", "long_b"],
                 )
 
     return batches_of
 
 
-def later_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def later_lines(docs: DataFrame, run: int = RUN, alone: int | None = None) -> DataFrame:
     """doc_id, text_key, line (number among the non-blank ones) of every line to delete."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_key().alias("text_key"), "text")
     schema = (
-        "doc_id bigint, text_key bigint, line bigint, hash bigint, chosen boolean, starts boolean, run_a bigint, run_b bigint"
+        "doc_id bigint, text_key bigint, line bigint, hash bigint, chosen boolean, starts boolean, run_a bigint, run_b bigint, "
+        "long_b bigint"
     )
-    lines = pin(rows.mapInArrow(_line_batches(run), schema))
+    lines = pin(rows.mapInArrow(_line_batches(run, alone), schema))
     prints = lines.where("chosen").select("doc_id", "text_key", "line", "hash")
     place = F.struct("doc_id", "text_key", "line")
     shared = prints.groupBy("hash").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("hash")
@@ -99,6 +105,11 @@ def later_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     earliest = found.groupBy("run_a", "run_b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     later = found.join(earliest, ["run_a", "run_b"]).where(place != F.col("first"))
     deleted = later.select("doc_id", "text_key", F.explode(F.sequence(F.col("line"), F.col("line") + (run - 1))).alias("line"))
+    if alone:
+        single = lines.where("long_b IS NOT NULL").select("doc_id", "text_key", "line", "hash", "long_b")
+        earliest = single.groupBy("hash", "long_b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        again = single.join(earliest.where("first <> last").drop("last"), ["hash", "long_b"]).where(place != F.col("first"))
+        deleted = deleted.unionByName(again.select("doc_id", "text_key", "line"))
     return deleted.distinct()
 
 
@@ -126,11 +137,11 @@ def _delete_batches(names: list[str], schema: pa.Schema):
     return run
 
 
-def deduplicate(docs: DataFrame, run: int = RUN) -> tuple[DataFrame, str, str]:
+def deduplicate(docs: DataFrame, run: int = RUN, alone: int | None = None) -> tuple[DataFrame, str, str]:
     """docs with repeated runs deleted from text; names of the counts of lines and of deleted ones."""
     doc, key, gone = (free_name(docs, name) for name in ("line_doc", "line_key", "line_gone"))
     total, removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
-    deleted = later_lines(docs, run).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias(gone))
+    deleted = later_lines(docs, run, alone).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias(gone))
     deleted = deleted.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), gone)
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (_text_key() == F.col(key))
     joined = docs.join(deleted, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], gone)
@@ -138,9 +149,9 @@ def deduplicate(docs: DataFrame, run: int = RUN) -> tuple[DataFrame, str, str]:
     return joined.mapInArrow(_delete_batches(docs.columns, to_arrow_schema(fields)), fields), total, removed
 
 
-def clean(docs: DataFrame, run: int = RUN) -> DataFrame:
+def clean(docs: DataFrame, run: int = RUN, alone: int | None = None) -> DataFrame:
     """docs without repeated runs of lines; rows that lose all of their lines go."""
-    left, total, removed = deduplicate(docs, run)
+    left, total, removed = deduplicate(docs, run, alone)
     left = left.where((F.col(total) == 0) | (F.col(removed) < F.col(total)))
     if "n_chars" in docs.columns:
         changed = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyweave.llm import block_anchors, exchange, line_dedup, suffix_repeats
 from tests.llm import plain
 
@@ -135,6 +136,18 @@ def test_lines_of_repeated_rows_and_other_columns(spark):
     assert left.where("doc_id = 9").count() == 2
 
 
+def test_a_long_line_between_other_lines_is_a_run(spark):
+    long, short = " ".join(plain.words(50, 31)), " ".join(plain.words(49, 32))
+    table = plain.docs(spark, [f"a 1\n{long}\nb 1\n{short}", f"a 2\n  {long}\t\nb 2\n{short}\nc 2\n{long}", long, f"{long} more", f"a 3\n{short}"])
+    table = table.unionByName(table.where("doc_id < 2")).unionByName(table.where("doc_id = 4").withColumn("text", F.lit(f"{long}\nother")))
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.lines(spark, table, "").collect()}
+    assert left == {
+        (0, f"a 1\n{long}\nb 1\n{short}"), (1, f"a 2\nb 2\n{short}\nc 2"), (3, f"{long} more"), (4, f"a 3\n{short}"), (4, "other"),
+    }
+    # The query's SQL asks for two lines.
+    assert line_dedup.report(table).where("doc_id < 2 AND n_removed > 0").count() == 0
+
+
 @pytest.mark.parametrize("operator", [deleted_bytes, deleted_words, line_dedup.report, line_dedup.clean, suffix_repeats.repeat_groups])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], plain.DOCS)).count() == 0
