@@ -211,18 +211,18 @@ class _SuffixRepeats:
         first = np.flatnonzero(fresh)
         different = np.add.reduceat((fresh | np.r_[True, hashes[1:] != hashes[:-1]]).astype(np.int64), first)
         several = np.minimum.reduceat(rows, first) != np.maximum.reduceat(rows, first)
-        flags = np.minimum(different, 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
-        return by_bucket(keys[first], flags)
+        return by_bucket(keys[first], different.astype(np.uint32), several.astype(np.uint8))
 
     def meet(self, bucket: int, asked: list[Arrays]) -> list[Arrays]:
-        keys, flags = (np.concatenate([a[i] for a in asked]) for i in (0, 1))
+        keys, different, several = (np.concatenate([a[i] for a in asked]) for i in range(3))
         owner = np.repeat(np.arange(len(asked)), [len(a[0]) for a in asked])
         order = np.argsort(keys, kind="stable")
-        keys, flags, owner = keys[order], flags[order], owner[order]
+        keys, different, several, owner = keys[order], different[order], several[order], owner[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         counts = np.diff(np.r_[first, len(keys)])
-        several = np.bitwise_or.reduceat(flags, first) >= 128
-        hot = np.add.reduceat((flags & 127).astype(np.int64), first) > self.hot
+        several = np.maximum.reduceat(several, first) > 0
+        # Regions that several chunks have count in each, so the sum is never below the true number.
+        hot = np.add.reduceat(different.astype(np.int64), first) > self.hot
         hit, hot = np.repeat((counts > 1) | several, counts), np.repeat(hot, counts)
         keys, owner, hot = keys[hit], owner[hit], hot[hit]
         order = np.argsort(owner, kind="stable")

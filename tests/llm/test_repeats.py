@@ -60,6 +60,26 @@ def test_hot_anchors_give_the_same_bytes(spark, monkeypatch):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, suffix_repeats.delete_repeats(table).collect()))
 
 
+def test_an_anchor_of_one_long_text_is_split(spark):
+    random = np.random.default_rng(5)
+    data = random.integers(97, 123, 200_000).astype(np.uint8)
+    at = int(suffix_repeats.rolling_sums(suffix_repeats.BYTE_VALUES[0][data], suffix_repeats.ANCHOR).argmin())
+    # The string with the smallest hash of all is the anchor of all strings that hold it.
+    anchor, fill = data[at : at + suffix_repeats.ANCHOR].tobytes().decode(), data.tobytes().decode()
+    long = "".join(fill[i * 40 : i * 40 + 40] + anchor for i in range(300))
+    texts = exchange.Texts(np.array([1, 2]), np.array([True, True]), __import__("pyarrow").array([long, long[500:900]]))
+    method = suffix_repeats._SuffixRepeats(50, hot=200)
+    asked = method.ask(texts, 1)
+    (answer,) = method.meet(0, [asked[0]])
+    assert answer[1].sum() == 1
+    table = plain.docs(spark, [long, long[500:900], "x" + long[700:1200]])
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
+    got = exchange.two_rounds(table, method, schema).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+    plain.same(got, plain.later_strings(table))
+
+
 def test_long_text_comes_in_parts(spark, monkeypatch):
     text = " ".join(plain.words(3_000, 5, 3))
     texts = exchange.Texts(np.array([1]), np.array([True]), __import__("pyarrow").array([text]))
