@@ -160,8 +160,10 @@ def _compare(scheme: Scheme):
                     if a[i] != last:
                         last, pivot = a[i], hashes(texts_a[i].as_py())
                     other = hashes(texts_b[i].as_py())
-                    at_pivot = np.minimum(np.searchsorted(pivot, other), len(pivot) - 1)
-                    held = pivot[at_pivot] == other
+                    # A row of a repeated id may have an empty text: it shares nothing.
+                    held = np.zeros(len(other), bool)
+                    if len(pivot):
+                        held = pivot[np.minimum(np.searchsorted(pivot, other), len(pivot) - 1)] == other
                     n, both = len(other), int(held.sum())
                     common.append(both)
                     size_a.append(len(pivot))
@@ -198,7 +200,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     schema = "a bigint, b bigint, many boolean, common bigint, n_a bigint, n_b bigint, added array<bigint>"
     found = full.select("a", "b", "many", "text_a", "text_b").mapInArrow(_compare(scheme), schema)
-    return settled(found.withColumn("linked", _enough(F.col("common"), F.col("n_a"), F.col("n_b"), scheme)), 2_000)[0]
+    return settled(found.withColumn("linked", (F.col("common") > 0) & _enough(F.col("common"), F.col("n_a"), F.col("n_b"), scheme)), 2_000)[0]
 
 
 def _pivot_pairs(groups: DataFrame) -> DataFrame:

@@ -77,6 +77,14 @@ def test_signatures_within_the_distance_always_meet():
         assert one & two
 
 
+def test_an_empty_pivot_shares_nothing():
+    import pyarrow as pa
+
+    texts = {"a": [1, 1, 1], "b": [2, 2, 3], "many": [True] * 3, "text_a": ["", None, ""], "text_b": ["one two three four five", "", None]}
+    (out,) = near_duplicates._compare(FOUR)(iter([pa.RecordBatch.from_pydict(texts)]))
+    assert out.column("common").to_pylist() == [0, 0, 0] and out.column("n_b").to_pylist() == [2, 0, 0]
+
+
 def test_one_document_of_each_group_stays(spark):
     table = plain.documents_of(spark)
     kept = near_duplicates.deduplicate(table, FOUR)
