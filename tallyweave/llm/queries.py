@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyweave.llm import (
-    block_anchors, chat_format, decontamination, line_dedup, near_duplicates, packing, quality_classifier,
-    quality_rules, suffix_repeats, url_filters,
+    block_anchors, chat_format, decontamination, language_id, line_dedup, near_duplicates, packing, quality_classifier,
+    quality_rules, spelling_variants, suffix_repeats, url_filters, vector_codes,
 )
 from tallyweave.llm.common import table
 
@@ -61,6 +61,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_suffix_repeats": op2_suffix_repeats,
@@ -72,6 +84,9 @@ QUERIES = {
     "op8_block_anchors": op8_block_anchors,
     "op9_chat_format": op9_chat_format,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_language_id": op12_language_id,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 # DuckDB counterparts, where SQL can express the result.
@@ -80,4 +95,5 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
