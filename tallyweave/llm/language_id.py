@@ -105,25 +105,28 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / own
 
 
-def fit(rows: np.ndarray, languages: np.ndarray, setting: Kernel = Kernel()) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def fit(packed: np.ndarray, languages: np.ndarray, setting: Kernel = Kernel()) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages; landmarks (presence rows); weights of kernel values; biases.
 
-    Rows come in a fixed order, and landmarks are taken from the languages in turn.
+    Presence rows come as bits, in a fixed order; landmarks are taken from the languages in turn.
     """
+    rows = lambda at: np.unpackbits(packed[at], axis=1).astype(np.float32)
     names = sorted(set(languages.tolist()))
-    turn = np.zeros(len(rows), np.int64)
+    turn = np.zeros(len(packed), np.int64)
     for name in names:
         of = np.flatnonzero(languages == name)
         turn[of] = np.arange(len(of))
-    marks = np.unique(rows[np.argsort(turn, kind="stable")[: setting.landmarks]], axis=0)
+    first = np.argsort(turn, kind="stable")[: setting.landmarks]
+    marks = rows(first[np.unique(packed[first], axis=0, return_index=True)[1]])
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
     # Copies among the landmarks leave directions of no extent.
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
-    features = kernel(rows, marks).astype(float) @ root
+    blocks = [slice(at, at + setting.landmarks) for at in range(0, len(packed), setting.landmarks)]
+    features = np.concatenate([kernel(rows(at), marks).astype(float) @ root for at in blocks])
     wanted = np.where(languages[:, None] == np.array(names)[None], 1.0, -1.0)
     # Every language counts alike, whatever its number of rows; the bias is not shrunk.
-    weight = np.zeros(len(rows))
+    weight = np.zeros(len(packed))
     for name in names:
         weight[languages == name] = 1 / (languages == name).sum() / len(names)
     centre, level = weight @ features, weight @ wanted
@@ -160,7 +163,7 @@ def _fit_sample(setting: Kernel):
         sample = sample.sort_by([("rank", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
         packed = np.frombuffer(b"".join(sample["bits"].to_pylist()), np.uint8).reshape(sample.num_rows, -1)
         languages = np.array(sample["lang"].to_pylist(), object)
-        names, marks, weights, bias = fit(np.unpackbits(packed, axis=1).astype(np.float32), languages, setting)
+        names, marks, weights, bias = fit(packed, languages, setting)
         slots = (marks / np.sqrt(marks.sum(1))[:, None]).T @ weights.astype(np.float32)
         return pa.table({"languages": [names], "slots": [slots.astype(np.float32).tobytes()], "bias": [bias.tolist()]})
 
