@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tallyweave.session import pin, ship, tune
 
@@ -48,10 +48,11 @@ def settled(df: DataFrame, rows_per_task: int = 20_000) -> tuple[DataFrame, int]
     """A result kept as a checkpoint, in no more partitions than its rows need, and its row count.
 
     Results much smaller than the tables they come from would otherwise be read, and shuffled
-    again, by as many tasks as those.
+    again, by as many tasks as those. The rows are counted while they are written.
     """
-    kept = pin(df)
-    count = kept.count()
+    seen = Observation()
+    kept = pin(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    count = seen.get["rows"]
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-count // rows_per_task))
     return kept.coalesce(tasks), count
 

@@ -51,8 +51,8 @@ class Scheme:
     width: int = 6
     # A further shingle that at most this many members of a pivot share is probed pair by pair.
     direct: int = 64
-    # Rounds of pivots; groups still mixed after the last are compared pair by pair.
-    rounds: int = 4
+    # Rounds of pivots; should a group still be mixed then, its components are compared pair by pair.
+    rounds: int = 8
 
     @property
     def symbols(self) -> int:
@@ -180,8 +180,10 @@ def _compare(scheme: Scheme):
     return run
 
 
-# Ids are 8 bytes, so this many are about 16 MB in a broadcast.
-BROADCAST_IDS = 2_000_000
+# A broadcast of that many ids takes some 10 MB with its hash table.
+BROADCAST_IDS = 200_000
+# Pivots with their few numbers, some 100 bytes each.
+BROADCAST_PIVOTS = 50_000
 
 
 def _enough(common: Column, n_a: Column, n_b: Column, scheme: Scheme) -> Column:
@@ -191,9 +193,9 @@ def _enough(common: Column, n_a: Column, n_b: Column, scheme: Scheme) -> Column:
 def _compared(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     """For pairs (a, b, many): sizes, common shingles, whether they are linked, and, where many is
     set, the shingles of b that a does not have."""
-    pairs, _ = settled(pairs, 2_000)
+    pairs, count = settled(pairs, 2_000)
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if 2 * count <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     # One text per class; a table that repeats an id with other texts links them all.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").join(wanted, "doc", "left_semi")
@@ -220,15 +222,25 @@ def _required(n_a: Column, n_b: Column, scheme: Scheme) -> Column:
 
 
 def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    """Pairs, and groups by further shingles, that may hold links the pivots missed."""
+    """Pairs, and groups of members, that may hold links the pivots missed."""
+    share = scheme.percent / (100.0 + scheme.percent)
     hubs = tested.groupBy("a").agg(
         F.count("*").alias("n"),
         F.count_if(~F.col("linked")).alias("apart"),
         F.min("n_b").alias("least"),
+        F.min(F.when(~F.col("linked"), share * F.col("n_b") - F.col("common"))).alias("base"),
     )
-    around = tested.join(hubs.where("n > 1 AND apart > 0").select("a", "least"), "a")
+    # The fewest further shingles that an outer member shares with another one it is linked to, and
+    # the fewest of all outer members, which holds for those that are linked to the pivot.
+    lowest = F.greatest(F.lit(1), F.ceil(F.col("base") + share * F.col("least") - 1e-9))
+    hubs, n_hubs = settled(hubs.where("n > 1 AND apart > 0").select("a", "least", lowest.alias("lowest")))
+    if n_hubs <= BROADCAST_PIVOTS:
+        hubs = F.broadcast(hubs)
+    needed = F.greatest(F.lit(1), _required(F.col("n_b"), F.col("least"), scheme) - F.col("common"))
+    around = tested.join(hubs, "a").withColumn("needed", F.when(F.col("linked"), F.col("lowest")).otherwise(needed))
 
-    # Pairs that need no further shingle: the other's set is smaller than the pivot's.
+    # Pairs that need no further shingle: what both share with the pivot is enough, and the other's
+    # set is smaller than the pivot's.
     smaller = around.where("n_b < n_a").select("a", F.col("b").alias("y"), F.col("common").alias("c_y"), F.col("n_b").alias("n_y"))
     outer = around.where(~F.col("linked") & _enough(F.col("common"), F.col("n_b"), F.col("least"), scheme))
     outer = outer.select("a", F.col("b").alias("x"), F.col("common").alias("c_x"), F.col("n_b").alias("n_x"))
@@ -236,13 +248,6 @@ def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]
     pairs = outer.join(smaller, "a").where(fits & (F.col("x") != F.col("y")))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    # The fewest further shingles that a member shares with another it is linked to, where at least
-    # one of the two is not linked to the pivot.
-    needed = F.greatest(F.lit(1), _required(F.col("n_b"), F.col("least"), scheme) - F.col("common"))
-    around = around.withColumn("needed", F.when(~F.col("linked"), needed))
-    lowest = around.groupBy("a").agg(F.min("needed").alias("lowest"))
-    around = around.join(lowest, "a").withColumn("needed", F.coalesce("needed", "lowest")).drop("lowest")
-    around, _ = settled(around, 2_000)
     keyed = around.select("a", "b", "linked", "needed", "common", "n_b", F.explode("added").alias("shingle"))
     several = keyed.groupBy("a", "shingle").agg(F.count("*").alias("f")).where("f > 1")
     keyed = keyed.join(several, ["a", "shingle"])
@@ -260,20 +265,16 @@ def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]
     two = few.select("a", "shingle", *[F.col(n).alias(f"{n}_y") for n in ("b", "common", "n_b", "behind")])
     at_least = _required(F.col("n_b_x"), F.col("n_b_y"), scheme) - F.least("common_x", "common_y")
     on = [one["a"] == two["a"], one["shingle"] == two["shingle"], one["b_x"] != two["b_y"], F.least("behind_x", "behind_y") >= at_least]
-    met = one.join(two, on).select(one["a"], F.least("b_x", "b_y").alias("x"), F.greatest("b_x", "b_y").alias("y")).distinct()
-    sets = around.select("a", "b", "common", "n_b", "added")
-    met = met.join(sets.toDF("a", "x", "c_x", "n_x", "s_x"), ["a", "x"]).join(sets.toDF("a", "y", "c_y", "n_y", "s_y"), ["a", "y"])
-    most = F.least("c_x", "c_y") + F.size(F.array_intersect("s_x", "s_y"))
-    met = met.where(_enough(most, F.col("n_x"), F.col("n_y"), scheme)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    met = one.join(two, on).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
     groups = offered.where(F.col("f") > scheme.direct)
     return pairs.unionByName(met).distinct(), groups.select(F.xxhash64("a", "shingle").alias("entry"), F.col("b").alias("doc"))
 
 
-def _mixed(groups: DataFrame, named: DataFrame) -> DataFrame:
-    """Members of groups that hold more than one component, with their components."""
-    held = groups.select("entry", "doc").join(named.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("component"))
+def _mixed(groups: DataFrame, named: DataFrame) -> tuple[DataFrame, int]:
+    """Members of groups that hold more than one component, and their number."""
+    held = groups.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("component"))
     several = held.groupBy("entry").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    return settled(held.join(several.where("least <> most").select("entry"), "entry"))[0]
+    return settled(held.join(several.where("least <> most").select("entry"), "entry"))
 
 
 def _apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -298,26 +299,21 @@ def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFr
     groups, _ = settled(entries.join(shared, "entry").select("entry", "doc"))
     tested = _compared(_pivot_pairs(groups), docs, scheme)
     linked = tested.where("linked").select("a", "b")
-    once = F.lit(False).alias("many")
     for turn in range(scheme.rounds):
         pairs, groups = _left_over(tested.where("many"), scheme)
-        groups, size = settled(groups)
-        done = not size
-        if not done:
-            named, _ = settled(components(linked))
-            groups, pairs = _mixed(groups, named), _apart(pairs, named)
-            done = groups.isEmpty()
-        pairs = pairs.select("a", "b", once)
-        if not done and turn < scheme.rounds - 1:
-            stars = _pivot_pairs(groups)
+        named = components(linked)
+        groups, size = _mixed(groups, named)
+        pairs = _apart(pairs, named).withColumn("many", F.lit(False))
+        if size and turn < scheme.rounds - 1:
+            stars = _pivot_pairs(groups.select("entry", "doc"))
             pairs = pairs.join(stars, ["a", "b"], "left_anti").unionByName(stars)
-        elif not done:
+        elif size:
             left = groups.select("entry", F.col("doc").alias("a"), F.col("component").alias("of_a"))
             cross = left.join(left.toDF("entry", "b", "of_b"), "entry").where("a < b AND of_a <> of_b")
-            pairs = pairs.unionByName(cross.select("a", "b", once)).distinct()
+            pairs = pairs.unionByName(cross.select("a", "b", F.lit(False).alias("many"))).distinct()
         tested = _compared(pairs, docs, scheme)
-        linked, _ = settled(linked.unionByName(tested.where("linked").select("a", "b")))
-        if done:
+        linked = linked.unionByName(tested.where("linked").select("a", "b"))
+        if not size:
             break
     return linked
 

@@ -46,18 +46,32 @@ def families(spark):
     return plain.docs(spark, texts)
 
 
-@pytest.mark.parametrize("make", [plain.documents_of, edited, families])
+def large_families(spark):
+    """One family of 200 members, and prefixes of one text that lie in one another."""
+    random = np.random.default_rng(17)
+    base, texts = plain.words(70, 900), []
+    for d in range(200):
+        own = list(base)
+        for _ in range(int(random.integers(1, 7))):
+            own[int(random.integers(len(own)))] = f"e{random.integers(9)}"
+        texts.append(" ".join(own))
+    long = plain.words(160, 901)
+    texts += [" ".join(long[: int(k)]) for k in random.integers(90, 160, 30)]
+    return plain.docs(spark, texts)
+
+
+@pytest.mark.parametrize("make", [plain.documents_of, edited, families, large_families])
 def test_components_as_brute_force(spark, make):
     table = make(spark)
     plain.same(near_duplicates.near_duplicates(table, FOUR), plain.components_of(table))
 
 
-@pytest.mark.parametrize("make", [edited, families])
-def test_pivots_lose_no_link(spark, make):
-    # Compared pair by pair after the first pivots, the groups are the same.
+@pytest.mark.parametrize("make", [families, large_families])
+@pytest.mark.parametrize("scheme", [Scheme(shingle=4, direct=1, rounds=3), Scheme(shingle=4, direct=4, rounds=1)])
+def test_pivots_lose_no_link(spark, make, scheme):
+    # Further shingles and size bands make groups instead of pairs; few rounds end with pairs.
     table = make(spark)
-    got = near_duplicates.near_duplicates(table, Scheme(shingle=4, rounds=1))
-    plain.same(got, plain.components_of(table))
+    plain.same(near_duplicates.near_duplicates(table, scheme), plain.components_of(table))
 
 
 def test_signatures_within_the_distance_always_meet():
@@ -95,7 +109,9 @@ def test_one_document_of_each_group_stays(spark):
 
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + list(itertools.pairwise([300, 250, 400, 260]))
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r.node: r.component for r in components(table).collect()}
+    assert {r.node: r.component for r in components(table, task_edges=9).collect()} == got
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 160)} == {100}
     assert {got[i] for i in (300, 250, 400, 260)} == {250} and len(got) == 41 + 60 + 4
 
