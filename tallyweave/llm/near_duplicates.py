@@ -20,7 +20,8 @@ use; ordered by how many members have them, the first one that x and y share lea
 it in both. A member therefore only offers the rarest of its shingles, and most offer none. Pairs
 that meet by one are compared if their shingles allow a link; a shingle that many members offer
 makes a group instead, treated as an entry again, until all members of each are connected or
-compared.
+compared. A share of a group's members, growing with every round, is compared with all others
+beside the pivot and then leaves, so groups end after few rounds.
 
 Null or empty texts and texts without words have an empty set and no links. Texts with fewer
 words than a shingle are one shingle. Equal rows share a class; a row without an id is linked
@@ -51,8 +52,10 @@ class Scheme:
     width: int = 6
     # A further shingle that at most this many members of a pivot share is probed pair by pair.
     direct: int = 64
-    # Rounds of pivots; should a group still be mixed then, its components are compared pair by pair.
-    rounds: int = 8
+    # Further pivots of a group, and how many times as many each round takes; they end mixed groups
+    # in a number of rounds that grows with the logarithm of the largest one.
+    further: int = 64
+    growth: int = 16
 
     @property
     def symbols(self) -> int:
@@ -267,7 +270,14 @@ def _left_over(tested: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]
     on = [one["a"] == two["a"], one["shingle"] == two["shingle"], one["b_x"] != two["b_y"], F.least("behind_x", "behind_y") >= at_least]
     met = one.join(two, on).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
     groups = offered.where(F.col("f") > scheme.direct)
-    return pairs.unionByName(met).distinct(), groups.select(F.xxhash64("a", "shingle").alias("entry"), F.col("b").alias("doc"))
+    return pairs.unionByName(met).distinct(), groups.select("a", F.xxhash64("a", "shingle").alias("entry"), F.col("b").alias("doc"))
+
+
+def _further_pivots(stars: DataFrame, wanted: int) -> DataFrame:
+    """About `wanted` members (p) of each pivot (a), by a hash; all of them where there are fewer."""
+    sizes = stars.groupBy("a").agg(F.count("*").alias("n"))
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(wanted), "b"), 11) / F.lit(2.0**53)
+    return stars.join(sizes, "a").where(chance * F.col("n") < wanted).select("a", F.col("b").alias("p"))
 
 
 def _mixed(groups: DataFrame, named: DataFrame) -> tuple[DataFrame, int]:
@@ -299,23 +309,26 @@ def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFr
     groups, _ = settled(entries.join(shared, "entry").select("entry", "doc"))
     tested = _compared(_pivot_pairs(groups), docs, scheme)
     linked = tested.where("linked").select("a", "b")
-    for turn in range(scheme.rounds):
+    picked, wanted = None, scheme.further
+    while True:
         pairs, groups = _left_over(tested.where("many"), scheme)
+        # A further pivot was compared with all members: it is left with none.
+        groups = groups if picked is None else groups.join(picked.withColumnRenamed("p", "doc"), ["a", "doc"], "left_anti")
         named = components(linked)
-        groups, size = _mixed(groups, named)
+        groups, size = _mixed(groups.select("entry", "doc"), named)
+        if size:
+            stars, _ = settled(_pivot_pairs(groups.select("entry", "doc")))
+            picked, _ = settled(_further_pivots(stars, wanted))
+            met = picked.join(stars, "a").where("p <> b").select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b"))
+            pairs = pairs.unionByName(met).distinct()
+            wanted *= scheme.growth
         pairs = _apart(pairs, named).withColumn("many", F.lit(False))
-        if size and turn < scheme.rounds - 1:
-            stars = _pivot_pairs(groups.select("entry", "doc"))
+        if size:
             pairs = pairs.join(stars, ["a", "b"], "left_anti").unionByName(stars)
-        elif size:
-            left = groups.select("entry", F.col("doc").alias("a"), F.col("component").alias("of_a"))
-            cross = left.join(left.toDF("entry", "b", "of_b"), "entry").where("a < b AND of_a <> of_b")
-            pairs = pairs.unionByName(cross.select("a", "b", F.lit(False).alias("many"))).distinct()
         tested = _compared(pairs, docs, scheme)
         linked = linked.unionByName(tested.where("linked").select("a", "b"))
         if not size:
-            break
-    return linked
+            return linked
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
