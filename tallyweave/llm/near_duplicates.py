@@ -277,7 +277,7 @@ def _further_pivots(stars: DataFrame, wanted: int) -> DataFrame:
     """About `wanted` members (p) of each pivot (a), by a hash; all of them where there are fewer."""
     sizes = stars.groupBy("a").agg(F.count("*").alias("n"))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(wanted), "b"), 11) / F.lit(2.0**53)
-    return stars.join(sizes, "a").where(chance * F.col("n") < wanted).select("a", F.col("b").alias("p"))
+    return stars.join(sizes, "a").where(chance * F.col("n") < wanted).select("a", F.col("b").alias("p"), F.col("of_b").alias("of_p"))
 
 
 def _mixed(groups: DataFrame, named: DataFrame) -> tuple[DataFrame, int]:
@@ -317,10 +317,13 @@ def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFr
         named = components(linked)
         groups, size = _mixed(groups.select("entry", "doc"), named)
         if size:
-            stars, _ = settled(_pivot_pairs(groups.select("entry", "doc")))
+            stars = _pivot_pairs(groups.select("entry", "doc")).join(named.toDF("b", "of_b"), "b", "left")
+            stars, _ = settled(stars.select("a", "b", "many", F.coalesce("of_b", "b").alias("of_b")))
             picked, _ = settled(_further_pivots(stars, wanted))
-            met = picked.join(stars, "a").where("p <> b").select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b"))
+            # Members of a further pivot's own component are never paired with it.
+            met = picked.join(stars, "a").where("of_p <> of_b").select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b"))
             pairs = pairs.unionByName(met).distinct()
+            picked, stars = picked.select("a", "p"), stars.select("a", "b", "many")
             wanted *= scheme.growth
         pairs = _apart(pairs, named).withColumn("many", F.lit(False))
         if size:
