@@ -250,10 +250,10 @@ def axis_labels(survey: Survey, cube: DataFrame) -> DataFrame:
 
 
 def crosstab(
-    survey: Survey, pairs: Pairs, value_units: DataFrame | None = None
+    survey: Survey, pairs: Pairs, value_units: DataFrame | None = None, cube: DataFrame | None = None
 ) -> DataFrame:
     """Tidy cross-tab: one row per occurring cell with its margins and both ranks."""
-    cube = pin(crosstab_cube(survey, pairs, value_units))
+    cube = pin(crosstab_cube(survey, pairs, value_units) if cube is None else cube)
     labels = pin(axis_labels(survey, cube))
     side = lambda axis, name: labels.where(F.col("axis") == axis).select(
         *PAIR,

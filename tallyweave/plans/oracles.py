@@ -442,6 +442,20 @@ O["q_crosstab_all_pairs"] = f"""
     gt AS (SELECT row_key, col_key, CAST(sum(count) AS BIGINT) AS grand_total FROM cell GROUP BY ALL)
     SELECT row_key, col_key, row_rank, r AS row_label, col_rank, c AS col_label, count, row_total, col_total, grand_total
     FROM cell JOIN rt USING (row_key, col_key, r) JOIN cl USING (row_key, col_key, c) JOIN gt USING (row_key, col_key)"""
+ALL8 = f"""SELECT * FROM ({ALL4})""" + "".join(
+    f" UNION ALL SELECT o_orderkey, '{q}', CAST({x} AS VARCHAR) FROM orders JOIN customer ON o_custkey = c_custkey"
+    for q, x in (("month", "month(o_orderdate)"), ("nation", "c_nationkey"), ("quarter", "quarter(o_orderdate)"), ("weekday", "dayofweek(o_orderdate) + 1"))
+)
+O["q_crosstab_bitmaps"] = f"""
+    WITH place(q, i) AS (VALUES ('status', 0), ('priority', 1), ('segment', 2), ('year', 3), ('month', 4), ('nation', 5), ('quarter', 6), ('weekday', 7)),
+    q8 AS (SELECT * FROM ({ALL8}) JOIN place USING (q) WHERE l IS NOT NULL),
+    cell AS (SELECT a.q AS row_key, b.q AS col_key, a.l AS row_label, b.l AS col_label, count(*) AS count
+             FROM q8 a JOIN q8 b ON a.rid = b.rid AND a.i < b.i GROUP BY ALL)
+    SELECT row_key, col_key, row_label, col_label, count,
+      CAST(sum(count) OVER (PARTITION BY row_key, col_key, row_label) AS BIGINT) AS row_total,
+      CAST(sum(count) OVER (PARTITION BY row_key, col_key, col_label) AS BIGINT) AS col_total,
+      CAST(sum(count) OVER (PARTITION BY row_key, col_key) AS BIGINT) AS grand_total
+    FROM cell"""
 NATION = """SELECT c_custkey AS rid, CAST(c_nationkey AS VARCHAR) AS r,
     CASE WHEN c_acctbal > 9000 THEN 'big ' || c_mktsegment ELSE c_mktsegment END AS c FROM customer"""
 O["q_crosstab_dense"] = f"""WITH {crosstab(NATION, "CAST(r AS INT)", "lower(c)")}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyweave.functions import answers, numbers, text, worktime
 from tallyweave.constants import DAYS_PRESET, MINUTES_PRESET, SAFE_DELIMITERS
 from tallyweave.model import Survey, define_survey, question, question_table, table_responses, traits_of
-from tallyweave.operators import crosstab as ct, frequency as fr, numeric as nu, policy as po
+from tallyweave.operators import bitmaps as bm, crosstab as ct, frequency as fr, numeric as nu, policy as po
 from tallyweave.operators import questions as qs
 from tallyweave.operators.inference import infer_kinds
 from tallyweave.operators.units import interpreted_units
@@ -735,6 +735,17 @@ def q_crosstab_all_pairs(spark, sf):
     return ct.mirrored(ct.crosstab(s, ct.all_pairs(s))).drop("survey_id")
 
 
+def q_crosstab_bitmaps(spark, sf):
+    """All pairs of eight questions from one bitmap index of the responses."""
+    year, month = F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string")
+    cells = [c("o_orderstatus"), _with_blanks(), c("c_mktsegment"), year, month]
+    cells += [c("c_nationkey").cast("string"), F.quarter("o_orderdate").cast("string"), F.dayofweek("o_orderdate").cast("string")]
+    r = _order_customers(spark, sf, cells)
+    keys = ("status", "priority", "segment", "year", "month", "nation", "quarter", "weekday")
+    s = define_survey(spark, r, [question("oc", i, k, "single", order="natural") for i, k in enumerate(keys)])
+    return bm.crosstab_of_many(s, ct.all_pairs(s)).drop("survey_id", "row_rank", "col_rank")
+
+
 def q_crosstab_dense(spark, sf):
     """Dense matrix of nation key by brand-like label, zeros included."""
     big = F.when(c("c_acctbal") > 9000, F.concat(lit("big "), c("c_mktsegment"))).otherwise(c("c_mktsegment"))
