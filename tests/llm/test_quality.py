@@ -29,23 +29,25 @@ def ordinary(n, seed, noise=0.0):
     return texts
 
 
-def numpy_mcd(x, rule):
+def numpy_mcd(x, noise, rule):
     """The same concentration steps on one group, with plain numpy; returns distances."""
     cut = quality_rules.chi_square_at(rule.coverage, quality_rules.DIM)
     scale = rule.coverage / quality_rules.chi_square(cut, quality_rules.DIM + 2)
-    best = None
-    for start in (0, 1):
-        d = np.zeros(len(x)) if start == 0 else (((x - np.sort(x, 0)[(len(x) - 1) // 2]) / rule.floors) ** 2).sum(1)
+    usual, ordered, best = noise.mean(0), np.sort(x, 0), None
+    low, middle, high = (ordered[int(np.ceil(q * len(x))) - 1] for q in (0.25, 0.5, 0.75))
+    near = (x - middle) ** 2
+    for d in (np.zeros(len(x)), (near / usual).sum(1), (near / ((high - low) ** 2 + usual)).sum(1)):
         for _ in range(rule.steps):
             most = np.sort(d)[int(np.ceil(rule.coverage * len(x))) - 1]
             inner = x[d <= most]
-            centre, spread = inner.mean(0), np.cov(inner.T, bias=True) * scale
-            np.fill_diagonal(spread, np.maximum(np.diag(spread), np.square(rule.floors)) + 1e-9)
+            centre, spread = inner.mean(0), np.cov(inner.T, bias=True) * scale + np.diag(usual)
             away = x - centre
             d = np.einsum("ij,jk,ik->i", away, np.linalg.inv(spread), away)
         det = np.linalg.slogdet(spread)[1]
         if best is None or det < best[0] - 1e-12:
-            best = (det, np.sqrt(d))
+            variances = np.diag(spread)
+            own = away * np.sqrt(variances / (variances + np.maximum(noise - usual, 0)))
+            best = (det, np.sqrt(np.einsum("ij,jk,ik->i", own, np.linalg.inv(spread), own)))
     return best[1]
 
 
@@ -53,17 +55,60 @@ def test_outliers_as_numpy(spark):
     rule = quality_rules.Rule(min_group=30)
     table = plain.docs(spark, ordinary(240, 5, noise=0.08)).withColumns({"lang": F.lit("en"), "source": F.lit("x")})
     judged = quality_rules.judge(quality_rules.base_counts(table), rule).collect()
-    x = []
+    x, noise = [], []
     for r in judged:
         w, c = max(1, r.n_words), max(1, r.word_chars)
         x.append([np.log1p(w), np.log(c / w), *np.sqrt([r.n_symbols / c, r.n_dup_lines / w, r.n_repeat_words / w])])
-    expected = numpy_mcd(np.array(x), rule)
+        noise.append([1 / w, 1 / c, 0.25 / c, 0.25 / w, 2.5 / w])
+    expected = numpy_mcd(np.array(x), np.array(noise), rule)
     assert np.allclose([r.distance for r in judged], expected, rtol=1e-6)
     noisy = np.array([r.n_symbols > 0 for r in judged])
     out = np.array([r.outlier for r in judged])
     assert noisy.sum() > 5 and out[noisy].all() and not out[~noisy].any()
 
 
+def counted(spark, rows):
+    """Rows of base counts from (source, words, word length, symbols)."""
+    return spark.createDataFrame(
+        [(i, "en", s, int(w), int(w * m), int(y), 0, 0, False) for i, (s, w, m, y) in enumerate(rows)],
+        "doc_id bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, "
+        "n_dup_lines bigint, n_repeat_words bigint, base_failed boolean",
+    )
+
+
+def outliers(table):
+    return {r.doc_id for r in quality_rules.judge(table).where("outlier").collect()}
+
+
+def test_the_same_text_is_judged_by_its_group(spark):
+    random = np.random.default_rng(8)
+    even = [("even", w, 5, 0) for w in random.integers(300, 900, 200)]
+    mixed = [("mixed", w, 5, w * 5 * random.uniform(0, 0.3)) for w in random.integers(300, 900, 200)]
+    text = (600, 5, 450)
+    table = counted(spark, [("even", *text), ("mixed", *text), *even, *mixed])
+    assert outliers(table) == {0}
+
+
+def test_correlated_statistics_reject_together(spark):
+    random = np.random.default_rng(9)
+    u = random.normal(0, 1, 400)
+
+    def made(u, v):
+        return "x", round(np.exp(6 + 0.8 * u)), np.exp(1.7 + 0.3 * v), 0
+
+    usual = [made(a, a + random.normal(0, 0.05)) for a in u]
+    # Both statistics are common by themselves: the first two texts go along with the rest.
+    table = counted(spark, [made(2, 2), made(-2, -2), made(2, -2), made(-2, 2), *usual])
+    assert outliers(table) == {2, 3}
+
+
+def test_short_texts_are_judged_by_their_own_uncertainty(spark):
+    random = np.random.default_rng(10)
+    usual = [("x", w, 5, 0) for w in np.exp(random.normal(5.5, 1, 300)).clip(20, 3000)]
+    # Half again the usual mean length: possible in fourteen words, not in six hundred.
+    assert outliers(counted(spark, [("x", 14, 7.5, 0), ("x", 600, 7.5, 0), *usual])) == {1}
+
+
 def test_small_groups_are_pooled_and_nulls_are_groups(spark):
     table = plain.documents_of(spark)
     judged = quality_rules.apply(table)
