@@ -3,9 +3,9 @@
 Files are read as lines of bytes, so that Spark can split a large one over many tasks. Whether a
 line end lies inside a quoted cell depends on everything before it, but a stretch of lines only
 turns one of two states (outside or inside a quoted cell) into another. A first scan works that
-out per input split and delimiter, together with the encoding and the delimiter count of the
-file's head; the few results are chained in file order, and a second scan knows for each split
-in which state it begins. Only records that span splits are moved to be joined.
+out per input split and delimiter, together with the encoding and the delimiter counts of the
+split's first lines; the few results are chained in file order, and a second scan knows for each
+split in which state it begins. Only records that span splits are moved to be joined.
 
 A quote opens a cell only where a cell starts (5"monitor is plain text), and a doubled quote
 inside a quoted cell is one quote. Line ends inside cells are kept as they are.
@@ -50,7 +50,7 @@ def sniff_delimiter(text: str) -> str:
     line = ""
 
     def keep() -> None:
-        if line.strip(" 　"):
+        if line.strip(_BLANKS):
             lines.append(line)
 
     for piece in _PIECE.finditer(text):
@@ -64,14 +64,91 @@ def sniff_delimiter(text: str) -> str:
             line += "q" if part.startswith('"') else part
     else:
         keep()
+    return _steadiest([[ln.count(d) for d in FILE_DELIMITERS] for ln in lines])
+
+
+def _steadiest(lines: list[list[int]]) -> str:
+    """The delimiter, from how often each occurs in every line."""
     best, least = ",", float("inf")
-    for delimiter in FILE_DELIMITERS:
-        counts = [ln.count(delimiter) for ln in lines]
+    for delimiter, counts in zip(FILE_DELIMITERS, zip(*lines)):
         if counts and sum(counts) >= len(counts) and pvariance(counts) < least - 1e-9:
             best, least = delimiter, pvariance(counts)
     return best
 
 
+_STOP = re.compile(r'"|\r\n|\r|\n')
+_BLANKS = " 　"
+
+
+class Head:
+    """The first lines of a stretch of text that begins outside or inside quotes.
+
+    A line, or a part of one, is a list: whether it is filled, and how often each delimiter occurs
+    in it. `first` is what precedes the first line end (None without one), `lines` the filled whole
+    lines after it, `last` what follows the last line end. Stretches are joined by `sniff_heads`.
+    """
+
+    def __init__(self, inside: bool):
+        self.inside, self.first, self.lines, self.last = inside, None, [], self._empty()
+
+    @staticmethod
+    def _empty() -> list[int]:
+        return [0] * (1 + len(FILE_DELIMITERS))
+
+    @property
+    def full(self) -> bool:
+        return len(self.lines) >= SNIFF_LINES
+
+    def feed(self, text: str) -> None:
+        at = 0
+        while not self.full:
+            if self.inside:
+                at = text.find('"', at) + 1
+                if not at:
+                    return
+                self.inside = False
+            stop = _STOP.search(text, at)
+            plain = text[at : stop.start() if stop else len(text)]
+            if plain:
+                self.last[0] |= bool(plain.strip(_BLANKS))
+                for i, delimiter in enumerate(FILE_DELIMITERS, 1):
+                    self.last[i] += plain.count(delimiter)
+            if not stop:
+                return
+            at = stop.end()
+            if stop.group() == '"':
+                self.last[0], self.inside = 1, True
+                continue
+            if self.first is None:
+                self.first = self.last
+            elif self.last[0]:
+                self.lines.append(self.last)
+            self.last = self._empty()
+
+    def row(self) -> dict:
+        return {"first": self.first, "lines": self.lines, "last": self.last}
+
+
+def sniff_heads(heads: list[dict]) -> str:
+    """The delimiter of a file from the heads of its splits, in order."""
+    lines, begun = [], Head._empty()
+    for head in heads:
+        if head["first"] is None:
+            begun = _together(begun, head["last"])
+            continue
+        lines += [line for line in (_together(begun, head["first"]), *head["lines"]) if line[0]]
+        begun = head["last"]
+        if len(lines) >= SNIFF_LINES:
+            break
+    if begun[0]:
+        lines.append(begun)
+    return _steadiest([line[1:] for line in lines[:SNIFF_LINES]])
+
+
+def _together(one: list[int], two: list[int]) -> list[int]:
+    return [one[0] | two[0], *(a + b for a, b in zip(one[1:], two[1:]))]
+
+
 # White space as in functions.text.WS.
 _WS = "\t\n\v\f\r       　﻿" + "".join(
     chr(c) for c in range(0x2000, 0x200B)
@@ -191,29 +268,29 @@ def _split_runs(batches: Iterator[pa.RecordBatch], more: tuple[str, ...]) -> Ite
                 current, start = keys[start][:2], i
 
 
-# Sniffing needs a few lines; a head of this many bytes without them is looked at as it is.
-_HEAD_BYTES = 4 << 20
+_ENCODINGS = ("utf-8", "cp932")
 
 
 def _profile_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scanners = [Quotes(d) for d in FILE_DELIMITERS]
-    names = ["survey_id", "split", "size", "bytes", "valid", "cr", "ends", "sniffed"]
+    names = ["survey_id", "split", "size", "bytes", "valid", "cr", "odd", "ends", "heads"]
     rows: list = []
 
     def finish() -> dict:
-        head = b"\n".join(state["head"])
-        texts = []
-        for encoding in ("utf-8", "cp932"):
-            texts.append(sniff_delimiter(head.decode(encoding, errors="replace")) if state["key"][1] == 0 else None)
-        return dict(zip(names, (*state["key"], state["bytes"], state["valid"], state["cr"], state["ends"], texts)))
+        heads = [[h.row() for h in both] for both in state["heads"]]
+        found = (state[n] for n in ("bytes", "valid", "cr", "odd", "ends"))
+        return dict(zip(names, (*state["key"], *found, heads)))
 
     state: dict = {}
     for key, begins, lines in _split_runs(batches, ("size",)):
         if begins:
             if state:
                 rows.append(finish())
-            state = {"key": key, "bytes": 0, "valid": True, "cr": False, "head": [], "held": 0,
-                     "ends": [[False, True] for _ in FILE_DELIMITERS]}
+            # A file begins outside quotes, so its first split needs one head only.
+            begins_in = (False, True) if key[1] else (False,)
+            state = {"key": key, "bytes": 0, "valid": True, "cr": False, "odd": False,
+                     "ends": [[False, True] for _ in FILE_DELIMITERS],
+                     "heads": [[Head(inside) for inside in begins_in] for _ in _ENCODINGS]}
         text = b"\n".join(lines) + b"\n"
         state["bytes"] += len(text)
         state["cr"] = lines[-1].endswith(b"\r")
@@ -222,10 +299,10 @@ def _profile_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 text.decode("utf-8")
             except UnicodeDecodeError:
                 state["valid"] = False
-        if key[1] == 0 and state["held"] < _HEAD_BYTES:
-            state["head"] += lines
-            state["held"] += len(text)
+        for encoding, heads in zip(_ENCODINGS, state["heads"]):
+            _feed(heads, lines, encoding, b'"' in text)
         if b'"' in text:
+            state["odd"] ^= text.count(b'"') % 2 == 1
             for scanner, ends in zip(scanners, state["ends"]):
                 ends[:] = [scanner.scan(text, s)[0] for s in ends]
         if len(rows) >= 1000:
@@ -237,12 +314,50 @@ def _profile_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pylist(rows, _PROFILE)
 
 
+def _feed(heads: list[Head], lines: list[bytes], encoding: str, quoted: bool) -> None:
+    """Show lines to heads until all are full; without a quote nothing changes inside of one."""
+    for line in lines:
+        open_heads = [h for h in heads if not h.full and (quoted or not h.inside)]
+        if not open_heads:
+            return
+        text = line.decode(encoding, errors="replace") + "\n"
+        for head in open_heads:
+            head.feed(text)
+
+
+_PART = pa.list_(pa.int64())
+_HEAD = pa.struct([("first", _PART), ("lines", pa.list_(_PART)), ("last", _PART)])
 _PROFILE = pa.schema(
     [("survey_id", pa.string()), ("split", pa.int64()), ("size", pa.int64()), ("bytes", pa.int64()), ("valid", pa.bool_()),
-     ("cr", pa.bool_()), ("ends", pa.list_(pa.list_(pa.bool_()))), ("sniffed", pa.list_(pa.string()))]
+     ("cr", pa.bool_()), ("odd", pa.bool_()), ("ends", pa.list_(pa.list_(pa.bool_()))), ("heads", pa.list_(pa.list_(_HEAD)))]
 )
-_PROFILE_SQL = """survey_id string, split bigint, size bigint, bytes bigint, valid boolean, cr boolean,
-                  ends array<array<boolean>>, sniffed array<string>"""
+_HEAD_SQL = "struct<first: array<bigint>, lines: array<array<bigint>>, last: array<bigint>>"
+_PROFILE_SQL = f"""survey_id string, split bigint, size bigint, bytes bigint, valid boolean, cr boolean, odd boolean,
+                  ends array<array<boolean>>, heads array<array<{_HEAD_SQL}>>"""
+
+
+def _sniff_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sniff_heads(heads) for heads in batch.column("heads").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("survey_id"), pa.array(found, pa.string())], ["survey_id", "delimiter"])
+
+
+def _delimiters(found: DataFrame) -> DataFrame:
+    """(survey_id, delimiter) from the heads of as many splits as hold the lines to look at."""
+    order = Window.partitionBy("survey_id").orderBy("split")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.count_if("odd").over(earlier), F.lit(0)) % 2
+    valid = F.min("valid").over(Window.partitionBy("survey_id"))
+    heads = found.withColumns({"_inside": inside.cast("int"), "_bytes": F.when(valid, 0).otherwise(1)})
+    heads = heads.select(*SPLIT, F.get(F.get("heads", F.col("_bytes")), F.col("_inside")).alias("head"))
+    # Splits within a quoted cell, or of blank lines, say nothing.
+    telling = F.col("head.first").isNotNull() | (F.get("head.last", F.lit(0)) == 1)
+    whole = F.size("head.lines") + F.coalesce(F.get("head.first", F.lit(0)), F.lit(0))
+    seen = F.coalesce(F.sum(whole).over(earlier), F.lit(0))
+    heads = heads.where(telling).withColumn("_seen", seen).where(F.col("_seen") < SNIFF_LINES)
+    listed = F.array_sort(F.collect_list(F.struct("split", "head")), lambda x, y: F.when(x["split"] < y["split"], -1).otherwise(1))
+    listed = heads.groupBy("survey_id").agg(F.transform(listed, lambda h: h["head"]).alias("heads"))
+    return listed.mapInArrow(_sniff_files, "survey_id string, delimiter string")
 
 
 def profile_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -252,14 +367,14 @@ def profile_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     extra = F.max("size") - F.sum("bytes")
     files = found.groupBy("survey_id").agg(
         F.min("valid").alias("utf8"),
-        F.min_by("sniffed", "split").alias("sniffed"),
         extra.isin(0, 3).alias("ends_lf"),
         F.max_by("cr", "split").alias("ends_cr"),
     )
-    files = files.select(
+    files = files.join(_delimiters(found), "survey_id", "left").select(
         "survey_id", "utf8", "ends_lf", (F.col("ends_lf") | F.col("ends_cr")).alias("blank_end"),
-        F.when(F.col("utf8"), F.get("sniffed", F.lit(0))).otherwise(F.get("sniffed", F.lit(1))).alias("delimiter"),
+        F.coalesce("delimiter", F.lit(",")).alias("delimiter"),
     )
+    files = pin(files)
     number = F.array_position(F.array(*[F.lit(d) for d in FILE_DELIMITERS]), F.col("delimiter")).cast("int") - 1
     chained = found.join(files, "survey_id").withColumn("turn", F.get("ends", number))
     # A stretch that ends alike from both states decides; otherwise it keeps the state or turns it.

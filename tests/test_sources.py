@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +35,24 @@ def test_sniff(text, expected):
     assert dl.sniff_delimiter(text) == expected
 
 
+def test_heads_of_any_stretches_sniff_like_the_whole_text():
+    random = np.random.default_rng(12)
+    for _ in range(3000):
+        marks = random.choice(list('ab,;\t|"\r\n\n  　'), int(random.integers(0, 90)))
+        text = "".join(marks) + random.choice(["", "\n"])
+        body = text[:-1] if text.endswith("\n") else text
+        lines, heads, inside, at = body.split("\n"), [], False, 0
+        while at < len(lines):
+            part = lines[at : at + int(random.integers(1, 6))]
+            both = {state: dl.Head(state) for state in (False, True)}
+            for head in both.values():
+                dl._feed([head], [ln.encode() for ln in part], "utf-8", any('"' in ln for ln in part))
+            heads.append(both[inside].row())
+            inside ^= sum(ln.count('"') for ln in part) % 2 == 1
+            at += len(part)
+        assert dl.sniff_heads(heads) == dl.sniff_delimiter(text), text
+
+
 def write(tmp_path, name, content):
     (tmp_path / name).write_bytes(content if isinstance(content, bytes) else content.encode())
 
@@ -73,6 +92,9 @@ FILES = {
     "crlf.csv": b'a,b\r\n"x\r\ny",2\r\n\r\n3,4\r\n',
     "cr.csv": b'a,b\r1,2\r3,4\r', "blank.csv": b",,\n1,2,3\n", "quotes.csv": b'a;b\n"x""y"z;"p;q"\n;"\n\n"\n',
     "long.csv": ("k,v\n" + "".join(f'{i},"' + "line\n" * (i * 40) + '"\n' for i in range(30))).encode(),
+    # Three lines alone would give another delimiter, as would the lines of a quoted cell.
+    "late;.csv": b"k;v\nk;v\nk;v\n" + b"a,b,c;;;;;\n" * 9,
+    "hidden.csv": b'a|b,"' + b"x;y;z\n" * 50 + b'"\n' + b"1|2,3|\n" * 4 + b"\n  \n" + b"1,2\n" * 9,
     "big.csv": BIG.encode(), "sub/big.csv": b"other,file\n1,2\n", "sub/a+b c.csv": b"x\n1\n",
 }
 
