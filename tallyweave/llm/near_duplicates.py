@@ -20,8 +20,9 @@ use; ordered by how many members have them, the first one that x and y share lea
 it in both. A member therefore only offers the rarest of its shingles, and most offer none. Pairs
 that meet by one are compared if their shingles allow a link; a shingle that many members offer
 makes a group instead, treated as an entry again, until all members of each are connected or
-compared. A share of a group's members, growing with every round, is compared with all others
-beside the pivot and then leaves, so groups end after few rounds.
+compared. A share of a group's members, growing with every round, meets all others beside the pivot
+and then leaves, so groups end after few rounds. Of these meetings only those are compared in which
+the shingles that both have beside the pivot's, and what each shares with the pivot, allow a link.
 
 Null or empty texts and texts without words have an empty set and no links. Texts with fewer
 words than a shingle are one shingle. Equal rows share a class; a row without an id is linked
@@ -208,12 +209,17 @@ def _compared(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     return settled(found.withColumn("linked", (F.col("common") > 0) & _enough(F.col("common"), F.col("n_a"), F.col("n_b"), scheme)), 2_000)[0]
 
 
-def _pivot_pairs(groups: DataFrame) -> DataFrame:
-    """Each group's members (b) with its pivot (a): the member that meets most others."""
+def _pivots(groups: DataFrame) -> DataFrame:
+    """Each group's pivot (a): the member that meets most others."""
     sizes = groups.groupBy("entry").agg(F.count("*").alias("n"))
     meets = groups.join(sizes, "entry").groupBy("doc").agg(F.sum("n").alias("meets"))
     pivots = groups.join(meets, "doc").groupBy("entry").agg(F.max(F.struct("meets", (-F.col("doc")).alias("o"))).alias("p"))
-    pairs = groups.select("entry", F.col("doc").alias("b")).join(pivots.select("entry", (-F.col("p.o")).alias("a")), "entry")
+    return pivots.select("entry", (-F.col("p.o")).alias("a"))
+
+
+def _pivot_pairs(groups: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Each group's members (b) with its pivot (a)."""
+    pairs = groups.select("entry", F.col("doc").alias("b")).join(pivots, "entry")
     pairs = pairs.where("a <> b").select("a", "b").distinct()
     hubs = pairs.groupBy("a").agg((F.count("*") > 1).alias("many"))
     return pairs.join(hubs, "a")
@@ -277,12 +283,30 @@ def _further_pivots(stars: DataFrame, wanted: int) -> DataFrame:
     """About `wanted` members (p) of each pivot (a), by a hash; all of them where there are fewer."""
     sizes = stars.groupBy("a").agg(F.count("*").alias("n"))
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(wanted), "b"), 11) / F.lit(2.0**53)
-    return stars.join(sizes, "a").where(chance * F.col("n") < wanted).select("a", F.col("b").alias("p"), F.col("of_b").alias("of_p"))
+    return stars.join(sizes, "a").where(chance * F.col("n") < wanted).select("a", F.col("b").alias("p"))
+
+
+def _meetings(members: DataFrame, picked: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs of a further pivot and a member of another component that may be linked.
+
+    Both belonged to an earlier pivot (old): they share at most what each shares with that one,
+    and the shingles both have beside it.
+    """
+    facts = ("doc", "component", "common", "n_b", "added")
+    one = members.join(picked.select("a", F.col("p").alias("doc")), ["a", "doc"])
+    one = one.select("old", "a", *[F.col(n).alias(f"{n}_x") for n in facts])
+    two = members.select("old", "a", *[F.col(n).alias(f"{n}_y") for n in facts])
+    needed = _required(F.col("n_b_x"), F.col("n_b_y"), scheme) - F.least("common_x", "common_y")
+    possible = F.least(F.size("added_x"), F.size("added_y")) >= needed
+    possible = possible & (F.size(F.array_intersect("added_x", "added_y")) >= needed)
+    met = one.join(two, ["old", "a"]).where((F.col("component_x") != F.col("component_y")) & possible)
+    return met.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
 
 
 def _mixed(groups: DataFrame, named: DataFrame) -> tuple[DataFrame, int]:
     """Members of groups that hold more than one component, and their number."""
-    held = groups.join(named.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("component"))
+    held = groups.join(named.withColumnRenamed("node", "doc"), "doc", "left")
+    held = held.withColumn("component", F.coalesce("component", "doc"))
     several = held.groupBy("entry").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     return settled(held.join(several.where("least <> most").select("entry"), "entry"))
 
@@ -307,23 +331,23 @@ def links(docs: DataFrame, sets: DataFrame, scheme: Scheme = Scheme()) -> DataFr
     entries = reps.mapInArrow(_index_entries(scheme), "entry bigint, doc bigint")
     shared = entries.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1")
     groups, _ = settled(entries.join(shared, "entry").select("entry", "doc"))
-    tested = _compared(_pivot_pairs(groups), docs, scheme)
+    tested = _compared(_pivot_pairs(groups, _pivots(groups)), docs, scheme)
     linked = tested.where("linked").select("a", "b")
     picked, wanted = None, scheme.further
     while True:
         pairs, groups = _left_over(tested.where("many"), scheme)
-        # A further pivot was compared with all members: it is left with none.
+        # A further pivot has met all members: it is left with none.
         groups = groups if picked is None else groups.join(picked.withColumnRenamed("p", "doc"), ["a", "doc"], "left_anti")
         named = components(linked)
-        groups, size = _mixed(groups.select("entry", "doc"), named)
+        groups, size = _mixed(groups.select("entry", "doc", F.col("a").alias("old")), named)
         if size:
-            stars = _pivot_pairs(groups.select("entry", "doc")).join(named.toDF("b", "of_b"), "b", "left")
-            stars, _ = settled(stars.select("a", "b", "many", F.coalesce("of_b", "b").alias("of_b")))
+            pivots = _pivots(groups)
+            stars, _ = settled(_pivot_pairs(groups, pivots))
             picked, _ = settled(_further_pivots(stars, wanted))
-            # Members of a further pivot's own component are never paired with it.
-            met = picked.join(stars, "a").where("of_p <> of_b").select(F.least("p", "b").alias("a"), F.greatest("p", "b").alias("b"))
+            members = groups.join(pivots, "entry").where("doc <> a").select("old", "a", "doc", "component").distinct()
+            facts = tested.where("many").select(F.col("a").alias("old"), F.col("b").alias("doc"), "common", "n_b", "added")
+            met = _meetings(members.join(facts, ["old", "doc"]), picked, scheme)
             pairs = pairs.unionByName(met).distinct()
-            picked, stars = picked.select("a", "p"), stars.select("a", "b", "many")
             wanted *= scheme.growth
         pairs = _apart(pairs, named).withColumn("many", F.lit(False))
         if size:
