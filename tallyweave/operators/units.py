@@ -219,17 +219,20 @@ def interpreted_units(
         rows = [r for r in survey.rows or () if wanted(r)]
         if len({r[0] for r in survey.rows or ()}) != 1:
             rows = None
-    traits = survey.traits
-    spec = with_dictionaries(questions, traits).select(
-        "survey_id", "q_key", "kind", "delimiters", "unit", "derived", "alias_index"
-    )
     units = answer_units(survey, questions, rows)
-    joined = dim_join(units, spec, KEY, "raw", rows=traits.rows)
-    return interpret(joined, traits).select(
+    return with_meaning(units, questions, survey.traits).select(
         "survey_id", "q_key", "kind", "raw", "n", "first_id", "options", "num", "answered"
     )
 
 
+def with_meaning(units: DataFrame, questions: DataFrame, traits: Traits) -> DataFrame:
+    """Units with their question's rules and what their cells mean."""
+    spec = with_dictionaries(questions, traits).select(
+        "survey_id", "q_key", "kind", "delimiters", "unit", "derived", "alias_index"
+    )
+    return interpret(dim_join(units, spec, KEY, "raw", rows=traits.rows), traits)
+
+
 def fractional_year_warnings(units: DataFrame, questions: DataFrame) -> DataFrame:
     """(survey_id, code, n): responses whose year cell was a range and gave a fractional year."""
     derived = questions.where(F.col("derived.type") == "year-month").select(*KEY)

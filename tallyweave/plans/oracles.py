@@ -490,6 +490,14 @@ O["q_search_exclude"] = freq(
 O["q_exclusion_overlay"] = freq(
     "SELECT o_orderkey AS rid, o_orderpriority AS key, o_orderpriority AS label FROM orders WHERE o_orderstatus <> 'F'"
 )
+EDITED = """SELECT *, CASE WHEN o_totalprice > 150000 THEN lower(o_orderpriority) ELSE o_orderpriority END AS p FROM orders
+    WHERE o_orderstatus <> 'P' AND o_totalprice >= 160000 OR o_orderstatus = 'P' AND o_totalprice >= 300000 OR o_totalprice < 20000"""
+EDITED_PRIORITY = "SELECT o_orderkey AS rid, lower(p) AS key, p AS label FROM ({}) e".format(EDITED)
+EDITED_STATUS = "SELECT o_orderkey AS rid, lower(o_orderstatus) AS key, o_orderstatus AS label FROM ({}) e".format(EDITED)
+O["q_frequency_after_edits"] = "SELECT * FROM ({}) UNION ALL SELECT * FROM ({})".format(
+    freq(EDITED_PRIORITY, columns="'priority' AS q_key, rank, label, count, percentage"),
+    freq(f"{EDITED_PRIORITY} UNION ALL {EDITED_STATUS}", columns="'both' AS q_key, rank, label, count, percentage"),
+)
 O["q_response_counters"] = """
     SELECT o_orderstatus AS survey_id, count(*) AS total,
            count(*) FILTER (contains(o_orderpriority, '77') OR contains(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '77')) AS matched,

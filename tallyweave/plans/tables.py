@@ -14,7 +14,7 @@ from tallyweave.functions import answers, numbers, text, worktime
 from tallyweave.constants import DAYS_PRESET, MINUTES_PRESET, SAFE_DELIMITERS
 from tallyweave.model import Survey, define_survey, question, question_table, table_responses, traits_of
 from tallyweave.operators import bitmaps as bm, crosstab as ct, frequency as fr, numeric as nu, policy as po
-from tallyweave.operators import questions as qs
+from tallyweave.operators import questions as qs, upkeep as up
 from tallyweave.operators.inference import infer_kinds
 from tallyweave.operators.units import interpreted_units
 from tallyweave.plans.survey import analysis_documents, analyze
@@ -808,6 +808,25 @@ def q_exclusion_overlay(spark, sf):
     return _items(_freq(spark, r, question("orders", 0, "priority", "single")))
 
 
+def q_frequency_after_edits(spark, sf):
+    """Two rounds of decisions on kept units; option labels follow the earliest order that is left."""
+    spelled = F.when(c("o_totalprice") > 150000, F.lower("o_orderpriority")).otherwise(c("o_orderpriority"))
+    both = F.concat_ws("、", c("o_orderstatus"), spelled)
+    r = _orders(spark, sf, spelled, both, included=c("o_orderstatus") != "P")
+    questions = [question("orders", 0, "priority", "single"), question("orders", 1, "both", "multiple")]
+
+    def decided(condition: str, included: bool) -> DataFrame:
+        return table(spark, sf, "orders").where(condition).select(
+            lit("orders").alias("survey_id"), c("o_orderkey").alias("response_id"), lit(included).alias("included")
+        )
+
+    kept = up.keep(define_survey(spark, r, questions))
+    kept = up.edit(kept, decided("o_totalprice < 160000", False))
+    back = decided("o_orderstatus = 'P' AND o_totalprice >= 300000 OR o_totalprice < 20000", True)
+    kept = up.edit(kept, back)
+    return up.kept_frequency(kept).select("q_key", "rank", "label", "count", "percentage")
+
+
 def q_response_counters(spark, sf):
     r = _orders(spark, sf, c("o_orderpriority"), money("o_totalprice"), included=c("o_totalprice") > 1000 * 50, sid=c("o_orderstatus"))
     return po.response_counters(r, "77")
