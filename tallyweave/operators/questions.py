@@ -6,14 +6,16 @@ responses except through the inferred kinds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyweave.constants import DAYS_PRESET, KINDS_CHART, MINUTES_PRESET, SAFE_DELIMITERS
 from tallyweave.functions.text import let, norm_header
 from tallyweave.profiles import DEFAULT_PROFILES, Profile
+from tallyweave.session import pin
 
 _NAMES = (
     "survey_id", "q_ord", "q_key", "col_idx", "header", "label", "kind", "chart", "delimiters",
@@ -25,50 +27,72 @@ _NAMES = (
 # ---- ordered de-duplication of names ------------------------------------------------------
 
 
-def uniquify(names: Column, first: int, suffix: str) -> Column:
-    """Make an ordered array of names unique: a repeat takes the first free `name + suffix`.
+class _Names:
+    """Names of one header made unique in order: a repeat takes the first free `name + suffix`.
 
-    `suffix` holds `{n}`, counted from `first`; empty names stay empty. The array is one survey's
-    header. Numbers of a name only grow, so each name is looked up about once.
+    `suffix` holds `{n}`, counted from `first`; empty names stay empty. Numbers of a name only
+    grow, so each name is looked up about once.
     """
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def unique(headers: pd.Series) -> pd.Series:
-        def one(header):
-            taken, following, out = set(), {}, []
-            for name in header:
-                chosen = name
-                if name and name in taken:
-                    n = following.get(name, first)
-                    while (chosen := name + suffix.format(n=n)) in taken:
-                        n += 1
-                    following[name] = n + 1
-                taken.add(chosen)
-                out.append(chosen)
-            return out
+    def __init__(self, first: int, suffix: str):
+        self._first, self._suffix, self._taken, self._following = first, suffix, set(), {}
 
-        return headers.map(one)
+    def unique(self, name: str | None) -> str | None:
+        chosen = name
+        if name and name in self._taken:
+            n = self._following.get(name, self._first)
+            while (chosen := name + self._suffix.format(n=n)) in self._taken:
+                n += 1
+            self._following[name] = n + 1
+        self._taken.add(chosen)
+        return chosen
 
-    return unique(names)
+
+def _with_names(batch: pa.RecordBatch, names: list, places: list[tuple], into: str) -> pa.RecordBatch:
+    """Rows with their names; rows of one place get each of its names, rows without one go."""
+    if len(set(places)) < len(places) or any(p[1] is None for p in places):
+        runs = (list(run) for place, run in groupby(range(len(places)), places.__getitem__) if place[1] is not None)
+        pairs = [(i, names[j]) for run in runs for i in run for j in run]
+        batch, names = batch.take(pa.array([i for i, _ in pairs], pa.int64())), [name for _, name in pairs]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], [*batch.schema.names, into])
 
 
 def unique_names(
     columns: DataFrame, source: str, into: str, first: int = 2, suffix: str = " ({n})", by: str = "col_idx"
 ) -> DataFrame:
-    """Add a unique version of `source` within each survey, in column order."""
-    ordered = columns.groupBy("survey_id").agg(
-        F.array_sort(F.collect_list(F.struct(by, source))).alias("_cols")
-    )
-    unique = ordered.select(
-        "survey_id",
-        F.posexplode(
-            F.arrays_zip(
-                F.transform("_cols", lambda c: c[by]).alias("at"),
-                uniquify(F.transform("_cols", lambda c: c[source]), first, suffix).alias("name"),
-            )
-        ).alias("_pos", "_u"),
-    ).select("survey_id", F.col("_u.at").alias(by), F.col("_u.name").alias(into))
-    return columns.join(unique, ["survey_id", by])
+    """Add a unique version of `source` within each survey, in column order.
+
+    Rows are sorted by survey and named as they pass: no header is collected and nothing joined.
+    """
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        survey, header, held, held_names = None, None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = held_names
+            for sid, name in zip(batch.column("survey_id").to_pylist(), batch.column(source).to_pylist()):
+                if sid != survey:
+                    survey, header = sid, _Names(first, suffix)
+                names.append(header.unique(name))
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            places = list(zip(batch.column("survey_id").to_pylist(), batch.column(by).to_pylist()))
+            # The last place may go on in the next batch.
+            end = len(places) - 1
+            while end and places[end - 1] == places[-1]:
+                end -= 1
+            if end:
+                yield _with_names(batch.slice(0, end), names[:end], places[:end], into)
+            held, held_names, held_places = batch.slice(end), names[end:], places[end:]
+        if held is not None:
+            yield _with_names(held, held_names, held_places, into)
+
+    kept = ["survey_id", by, *(c for c in columns.columns if c not in ("survey_id", by))]
+    placed = columns.select(kept).where("survey_id IS NOT NULL")
+    fields = [T.StructField(f.name, f.dataType) for f in placed.schema.fields]
+    ordered = placed.repartition("survey_id").sortWithinPartitions("survey_id", by, source)
+    return ordered.mapInArrow(named, T.StructType([*fields, T.StructField(into, T.StringType())]))
 
 
 # ---- profile matching ---------------------------------------------------------------------

@@ -36,6 +36,11 @@ def heavy(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spread(table(spark, sf, name))
 
 
+def dealt(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose every row becomes a survey of its own, dealt out evenly."""
+    return spread(table(spark, sf, name).select(*columns), evenly=True)
+
+
 def money(column: str) -> Column:
     return c(column).cast("decimal(18,2)").cast("string")
 
@@ -555,7 +560,7 @@ def q_detect_layout(spark, sf):
         F.when(bal > 5000, F.concat(lit("1-1. "), seg)).otherwise(F.concat(lit("1. "), seg)),
         F.when(bal < 1000, "").otherwise(c("c_name")),
     )
-    raw = table(spark, sf, "customer").select(
+    raw = dealt(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment").select(
         c("c_custkey").cast("string").alias("survey_id"), F.posexplode(headers).alias("col_idx", "header_raw")
     )
     return detect_layout(named_columns(raw))
@@ -568,7 +573,7 @@ def q_header_uniquify(spark, sf):
         words, F.array(c("p_type"), F.concat(c("p_type"), lit(" (2)"))), words,
         F.array(c("p_type"), lit("　"), F.when(c("p_size") > 25, "").otherwise("列8")),
     )
-    raw = table(spark, sf, "part").select(
+    raw = dealt(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_size").select(
         c("p_partkey").cast("string").alias("survey_id"), F.posexplode(headers).alias("col_idx", "header_raw")
     )
     return named_columns(raw).select(

@@ -61,13 +61,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, evenly: bool = False) -> DataFrame:
     """Give a scan of few input splits one task per core; large inputs pass unchanged.
 
-    For plain scans ahead of CPU-heavy row work only.
+    For plain scans ahead of CPU-heavy row work only. Splits follow the bytes of files, and a
+    split without the start of a row group is empty: `evenly` deals out the rows in any case.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    parts = scan.rdd.getNumPartitions()
+    if evenly:
+        return scan.repartition(max(4 * cores, parts))
+    return scan if parts >= cores else scan.repartition(cores)
 
 
 def staged(df: DataFrame, keep=None, **columns: Column) -> DataFrame:

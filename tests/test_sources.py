@@ -237,3 +237,24 @@ def test_numeric_profile_and_forced(spark):
     assert [(r["q_key"], r["kind"], r["chart"], r["unit"], r["inferred"]) for r in q] == [
         ("reward", "numeric", "bar", "円", False), ("q2", "single", "bar", None, True), ("age", "multiple", "hbar", None, False)]
     assert len(q[2]["delimiters"]) == 7 and q[0]["delimiters"] == []
+
+
+def test_unique_names_of_repeated_places_and_many_batches(spark):
+    rows = [("a", 0, "x"), ("a", 1, "x"), ("a", 1, "y"), ("a", None, "y"), (None, 0, "x"), ("b", 0, "x"), ("b", 0, "x")]
+    df = spark.createDataFrame(rows, "survey_id string, col_idx int, n string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = sorted([("a", 0, "x", "x"), ("a", 1, "x", "x (2)"), ("a", 1, "x", "y (2)"), ("a", 1, "y", "x (2)"), ("a", 1, "y", "y (2)")]
+                    + [("b", 0, "x", "x"), ("b", 0, "x", "x (2)")] * 2)
+    try:
+        for size in ("1", "2", "3", old):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(map(tuple, unique_names(df, "n", "u").collect())) == wanted
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_names_of_many_headers_are_not_broadcast(spark):
+    """A header's size is underestimated from its file: a join by that estimate sent all names to the driver."""
+    raw = spark.range(10).select(F.col("id").cast("string").alias("survey_id"), F.posexplode(F.array(F.lit("x"), F.lit("x"))).alias("col_idx", "header_raw"))
+    plan = named_columns(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
