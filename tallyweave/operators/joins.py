@@ -30,9 +30,18 @@ def dim_join(
         return facts.join(F.broadcast(dim), on, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return grown_join(salted, repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def is_small(dim: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
     """Whether a table has at most `bound` rows; stops counting beyond it."""
     return dim.limit(bound + 1).count() <= bound
+
+
+def grown_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow with the input; neither is broadcast.
+
+    Sizes are estimated from compressed files and not counted again when rows are exploded or
+    made in Python, so without the hint a table of millions of rows may pass for a small one.
+    """
+    return left.join(right.hint("merge"), on, how)

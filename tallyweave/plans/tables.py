@@ -603,7 +603,8 @@ def _exports(spark, sf) -> DataFrame:
     opened = c("p_size") % 7 == 0
     tail = F.when(opened, F.concat(end, lit('"open'), d, "p_name")).when(c("p_size") % 5 == 0, "").otherwise(end)
     content = F.concat(bom, number, F.concat(rows, tail).cast("binary"))
-    return table(spark, sf, "part").select(key.alias("survey_id"), content.alias("content"))
+    part = dealt(spark, sf, "part", "p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    return part.select(key.alias("survey_id"), content.alias("content"))
 
 
 def q_sniff_delimiter(spark, sf):

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import re
 import sys
 import unicodedata
@@ -28,7 +29,7 @@ from tallyweave.constants import BLANK_TOKENS, FILE_DELIMITERS, SNIFF_LINES
 from tallyweave.functions.text import norm_text
 from tallyweave.model import Survey, traits_of
 from tallyweave.operators.inference import infer_kinds
-from tallyweave.operators.joins import dim_join
+from tallyweave.operators.joins import grown_join, is_small
 from tallyweave.operators.questions import build_questions
 from tallyweave.profiles import DEFAULT_PROFILES
 from tallyweave.session import pin
@@ -39,6 +40,8 @@ SPLIT = ["survey_id", "split"]
 BROADCAST_SPLITS = 250_000
 _PIECE = re.compile(r'"[^"]*(?:"|\Z)|\r\n|\r|\n|[^"\r\n]+')
 _BOM = b"\xef\xbb\xbf"
+# Rows that Python hands on at once, and bytes of lines.
+_BATCH, _BATCH_BYTES = 4096, 1 << 22
 
 
 def sniff_delimiter(text: str) -> str:
@@ -125,6 +128,11 @@ class Head:
                 self.lines.append(self.last)
             self.last = self._empty()
 
+    def copy(self) -> Head:
+        made = Head(self.inside)
+        made.first, made.lines, made.last = self.first and [*self.first], [[*ln] for ln in self.lines], [*self.last]
+        return made
+
     def row(self) -> dict:
         return {"first": self.first, "lines": self.lines, "last": self.last}
 
@@ -227,32 +235,41 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def content_lines(contents: DataFrame, lines_per_split: int = 10_000) -> DataFrame:
-    """The same from (survey_id, content BINARY) rows, one row per file."""
+def cut_contents(batches: Iterator[pa.RecordBatch], lines_per_split: int) -> Iterator[pa.RecordBatch]:
+    """The lines of whole files. Small files share a batch; a large one is handed on in several."""
+    names = ["survey_id", "split", "at", "line", "size"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    rows: list[list] = [[] for _ in names]
+    held = 0
+
+    def batch_of_rows() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names)
+        rows[:] = [[] for _ in names]
+        return made
+
+    for batch in batches:
+        for survey_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            content = content or b""
+            body = content.removeprefix(_BOM)
+            lines = body.split(b"\n")
+            lines = lines[:-1] if body.endswith(b"\n") else lines if body else []
+            for first in range(0, len(lines), lines_per_split):
+                part = lines[first : first + lines_per_split]
+                n = len(part)
+                for column, values in zip(rows, ([survey_id] * n, [first] * n, range(first, first + n), part, [len(content)] * n)):
+                    column.extend(values)
+                held += sum(map(len, part))
+                if len(rows[0]) >= _BATCH or held >= _BATCH_BYTES:
+                    yield batch_of_rows()
+                    held = 0
+    if rows[0]:
+        yield batch_of_rows()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for survey_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                content = content or b""
-                body = content.removeprefix(_BOM)
-                lines = body.split(b"\n")
-                lines = lines[:-1] if body.endswith(b"\n") else lines if body else []
-                for first in range(0, len(lines), lines_per_split):
-                    part = lines[first : first + lines_per_split]
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([survey_id] * n, pa.string()),
-                            pa.array([first] * n, pa.int64()),
-                            pa.array(range(first, first + n), pa.int64()),
-                            pa.array(part, pa.binary()),
-                            pa.array([len(content)] * n, pa.int64()),
-                        ],
-                        ["survey_id", "split", "at", "line", "size"],
-                    )
 
+def content_lines(contents: DataFrame, lines_per_split: int = 10_000) -> DataFrame:
+    """The same from (survey_id, content BINARY) rows, one row per file."""
     schema = "survey_id string, split bigint, at bigint, line binary, size bigint"
-    return contents.select("survey_id", "content").mapInArrow(cut, schema)
+    return contents.select("survey_id", "content").mapInArrow(lambda found: cut_contents(found, lines_per_split), schema)
 
 
 def _split_runs(batches: Iterator[pa.RecordBatch], more: tuple[str, ...]) -> Iterator[tuple[tuple, bool, list[bytes]]]:
@@ -277,7 +294,7 @@ def _profile_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     rows: list = []
 
     def finish() -> dict:
-        heads = [[h.row() for h in both] for both in state["heads"]]
+        heads = [[_stored(h) for h in both] for both in state["heads"]]
         found = (state[n] for n in ("bytes", "valid", "cr", "odd", "ends"))
         return dict(zip(names, (*state["key"], *found, heads)))
 
@@ -290,16 +307,20 @@ def _profile_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             begins_in = (False, True) if key[1] else (False,)
             state = {"key": key, "bytes": 0, "valid": True, "cr": False, "odd": False,
                      "ends": [[False, True] for _ in FILE_DELIMITERS],
-                     "heads": [[Head(inside) for inside in begins_in] for _ in _ENCODINGS]}
+                     "heads": [[Head(inside) for inside in begins_in]] * len(_ENCODINGS), "ascii": True}
         text = b"\n".join(lines) + b"\n"
         state["bytes"] += len(text)
         state["cr"] = lines[-1].endswith(b"\r")
-        if state["valid"]:
+        ascii_only = text.isascii()
+        if state["valid"] and not ascii_only:
             try:
                 text.decode("utf-8")
             except UnicodeDecodeError:
                 state["valid"] = False
-        for encoding, heads in zip(_ENCODINGS, state["heads"]):
+        # ASCII reads alike in both encodings, so their heads are the same ones until other bytes come.
+        if state["ascii"] and not ascii_only:
+            state["heads"], state["ascii"] = [state["heads"][0], [h.copy() for h in state["heads"][0]]], False
+        for encoding, heads in list(zip(_ENCODINGS, state["heads"]))[: 1 if state["ascii"] else None]:
             _feed(heads, lines, encoding, b'"' in text)
         if b'"' in text:
             state["odd"] ^= text.count(b'"') % 2 == 1
@@ -314,6 +335,13 @@ def _profile_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_pylist(rows, _PROFILE)
 
 
+def _stored(head: Head) -> dict:
+    """A head as a row: the whole lines in it, whether it says anything, and itself as text."""
+    found = head.row()
+    whole = len(found["lines"]) + (found["first"][0] if found["first"] else 0)
+    return {"whole": whole, "telling": found["first"] is not None or found["last"][0] == 1, "text": json.dumps(found)}
+
+
 def _feed(heads: list[Head], lines: list[bytes], encoding: str, quoted: bool) -> None:
     """Show lines to heads until all are full; without a quote nothing changes inside of one."""
     for line in lines:
@@ -325,20 +353,19 @@ def _feed(heads: list[Head], lines: list[bytes], encoding: str, quoted: bool) ->
             head.feed(text)
 
 
-_PART = pa.list_(pa.int64())
-_HEAD = pa.struct([("first", _PART), ("lines", pa.list_(_PART)), ("last", _PART)])
+_HEAD = pa.struct([("whole", pa.int64()), ("telling", pa.bool_()), ("text", pa.string())])
 _PROFILE = pa.schema(
     [("survey_id", pa.string()), ("split", pa.int64()), ("size", pa.int64()), ("bytes", pa.int64()), ("valid", pa.bool_()),
      ("cr", pa.bool_()), ("odd", pa.bool_()), ("ends", pa.list_(pa.list_(pa.bool_()))), ("heads", pa.list_(pa.list_(_HEAD)))]
 )
-_HEAD_SQL = "struct<first: array<bigint>, lines: array<array<bigint>>, last: array<bigint>>"
+_HEAD_SQL = "struct<whole: bigint, telling: boolean, text: string>"
 _PROFILE_SQL = f"""survey_id string, split bigint, size bigint, bytes bigint, valid boolean, cr boolean, odd boolean,
                   ends array<array<boolean>>, heads array<array<{_HEAD_SQL}>>"""
 
 
 def _sniff_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sniff_heads(heads) for heads in batch.column("heads").to_pylist()]
+        found = [sniff_heads([json.loads(head) for head in heads]) for heads in batch.column("heads").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("survey_id"), pa.array(found, pa.string())], ["survey_id", "delimiter"])
 
 
@@ -351,12 +378,10 @@ def _delimiters(found: DataFrame) -> DataFrame:
     heads = found.withColumns({"_inside": inside.cast("int"), "_bytes": F.when(valid, 0).otherwise(1)})
     heads = heads.select(*SPLIT, F.get(F.get("heads", F.col("_bytes")), F.col("_inside")).alias("head"))
     # Splits within a quoted cell, or of blank lines, say nothing.
-    telling = F.col("head.first").isNotNull() | (F.get("head.last", F.lit(0)) == 1)
-    whole = F.size("head.lines") + F.coalesce(F.get("head.first", F.lit(0)), F.lit(0))
-    seen = F.coalesce(F.sum(whole).over(earlier), F.lit(0))
-    heads = heads.where(telling).withColumn("_seen", seen).where(F.col("_seen") < SNIFF_LINES)
+    seen = F.coalesce(F.sum("head.whole").over(earlier), F.lit(0))
+    heads = heads.where("head.telling").withColumn("_seen", seen).where(F.col("_seen") < SNIFF_LINES)
     listed = F.array_sort(F.collect_list(F.struct("split", "head")), lambda x, y: F.when(x["split"] < y["split"], -1).otherwise(1))
-    listed = heads.groupBy("survey_id").agg(F.transform(listed, lambda h: h["head"]).alias("heads"))
+    listed = heads.groupBy("survey_id").agg(F.transform(listed, lambda h: h["head"]["text"]).alias("heads"))
     return listed.mapInArrow(_sniff_files, "survey_id string, delimiter string")
 
 
@@ -370,13 +395,13 @@ def profile_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         extra.isin(0, 3).alias("ends_lf"),
         F.max_by("cr", "split").alias("ends_cr"),
     )
-    files = files.join(_delimiters(found), "survey_id", "left").select(
+    files = grown_join(files, _delimiters(found), "survey_id", "left").select(
         "survey_id", "utf8", "ends_lf", (F.col("ends_lf") | F.col("ends_cr")).alias("blank_end"),
         F.coalesce("delimiter", F.lit(",")).alias("delimiter"),
     )
     files = pin(files)
     number = F.array_position(F.array(*[F.lit(d) for d in FILE_DELIMITERS]), F.col("delimiter")).cast("int") - 1
-    chained = found.join(files, "survey_id").withColumn("turn", F.get("ends", number))
+    chained = grown_join(found, files, "survey_id").withColumn("turn", F.get("ends", number))
     # A stretch that ends alike from both states decides; otherwise it keeps the state or turns it.
     order = Window.partitionBy("survey_id").orderBy("split")
     outside, inside = F.get("turn", F.lit(0)), F.get("turn", F.lit(1))
@@ -400,7 +425,6 @@ _RECORD_SCHEMA = pa.schema(
     [("survey_id", pa.string()), ("split", pa.int64()), ("n", pa.int64()), ("cells", pa.list_(pa.string())),
      ("first_filled", pa.int32()), ("piece", pa.binary())]
 )
-_BATCH = 4096
 # Numbers of pieces: the end of a record begun in an earlier split, all of a split inside one, and
 # the beginning of a record that goes on in the next split.
 _ENDED, _INSIDE, _BEGUN = -1, -2, -3
@@ -476,20 +500,21 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     if count <= BROADCAST_SPLITS:
         named = lines.join(F.broadcast(known), SPLIT)
     else:
-        named = lines.join(known, SPLIT).repartition(*SPLIT).sortWithinPartitions(*SPLIT, "at")
+        named = grown_join(lines, known, SPLIT).sortWithinPartitions(*SPLIT, "at")
     parsed = pin(named.select(*SPLIT, "line", "delimiter", "utf8", "inside").mapInArrow(_tokenise, _RECORDS))
 
     # The end of a record, and a split inside one, belong to the last split that began a record.
-    pieces = parsed.where("piece IS NOT NULL").join(splits.select(*SPLIT, "delimiter", "utf8"), SPLIT)
+    pieces = grown_join(parsed.where("piece IS NOT NULL"), splits.select(*SPLIT, "delimiter", "utf8"), SPLIT)
     order = Window.partitionBy("survey_id").orderBy("split", F.col("n").desc())
     pieces = pieces.withColumn("owner", F.last(F.when(F.col("n") == _BEGUN, F.col("split")), True).over(order))
     listed = F.array_sort(F.collect_list(F.struct("split", (-F.col("n")).alias("n"), "piece")))
     joined = pieces.groupBy("survey_id", "owner", "delimiter", "utf8").agg(F.transform(listed, lambda p: p["piece"]).alias("pieces"))
     # An open cell at the end of a file without a last line end has been given one.
     opened = splits.groupBy("survey_id").agg(F.max_by("stays_open", "split").alias("opened"), F.max("split").alias("_last"))
-    unended = files.where("NOT ends_lf").join(opened.where("opened"), "survey_id").select("survey_id", F.lit(True).alias("unended"))
+    unended = grown_join(files.where("NOT ends_lf"), opened.where("opened"), "survey_id").select("survey_id", F.lit(True).alias("unended"))
     last_owner = Window.partitionBy("survey_id")
-    joined = joined.withColumn("_final", F.col("owner") == F.max("owner").over(last_owner)).join(unended, "survey_id", "left")
+    joined = joined.withColumn("_final", F.col("owner") == F.max("owner").over(last_owner))
+    joined = grown_join(joined, unended, "survey_id", "left")
     joined = joined.withColumn("cut", F.coalesce("unended", F.lit(False)) & F.col("_final")).drop("_final", "unended")
     whole = parsed.where("piece IS NULL").unionByName(joined.mapInArrow(_join_pieces, _RECORDS))
     return _tables(whole.drop("piece"), files, splits)
@@ -500,10 +525,15 @@ def _tables(records: DataFrame, files: DataFrame, splits: DataFrame) -> tuple[Da
     headers = pin(records.groupBy("survey_id").agg(F.min(place).alias("first"), F.min_by("cells", place).alias("names")))
     raw = headers.select("survey_id", F.posexplode("names").alias("col_idx", "header_raw"))
     filled = raw.groupBy("survey_id").agg(F.max(norm_text(F.col("header_raw")) != "").alias("filled")).where("filled")
-    columns = named_columns(raw.join(filled.select("survey_id"), "survey_id", "left_semi"))
+    columns = named_columns(grown_join(raw, filled.select("survey_id"), "survey_id", "left_semi"))
 
-    sized = headers.join(filled, "survey_id").select("survey_id", "first", F.size("names").alias("width"))
-    rows = dim_join(records, sized, ["survey_id"], "n").where(place != F.col("first"))
+    sized = grown_join(headers, filled, "survey_id").select("survey_id", "first", F.size("names").alias("width"))
+    if is_small(headers):
+        rows = records.join(F.broadcast(sized), "survey_id")
+    else:
+        # A split has few rows and a file may have many, so what is known of a file goes to its splits.
+        rows = grown_join(records, grown_join(splits.select(*SPLIT), sized, "survey_id"), SPLIT)
+    rows = rows.where(place != F.col("first"))
     rows = rows.withColumn("blank", F.coalesce(F.col("first_filled") >= F.col("width"), F.lit(True)))
     padding = F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.col("width") - F.size("cells")))
     cells = F.slice(F.concat("cells", padding), F.lit(1), F.col("width"))
@@ -512,14 +542,15 @@ def _tables(records: DataFrame, files: DataFrame, splits: DataFrame) -> tuple[Da
     counts = rows.where(~F.col("blank")).groupBy(*SPLIT).agg(F.count("*").alias("k"))
     earlier = Window.partitionBy("survey_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn("_before", F.coalesce(F.sum("k").over(earlier), F.lit(0))).drop("k")
-    responses = dim_join(kept, shifts, SPLIT, "n").select(
+    responses = grown_join(kept, shifts, SPLIT).select(
         "survey_id", (F.col("_no") + F.col("_before") - 1).alias("response_id"), F.lit(True).alias("included"), cells.alias("cells")
     )
 
     one = F.lit(1).cast("bigint")
     tallies = rows.groupBy("survey_id").agg(F.count_if(F.size("cells") > F.col("width")).alias("long"), F.count_if("blank").alias("blanks"))
     opened = splits.groupBy("survey_id").agg(F.max_by("stays_open", "split").alias("opened"))
-    stated = files.join(filled, "survey_id", "left").join(tallies, "survey_id", "left").join(opened, "survey_id")
+    stated = grown_join(grown_join(files, filled, "survey_id", "left"), tallies, "survey_id", "left")
+    stated = grown_join(stated, opened, "survey_id")
     # A final line end is followed by one more, empty record, unless a quote is still open.
     last = F.when(F.col("blank_end") & ~F.col("opened"), 1).otherwise(0)
     blanks = F.when(F.col("filled"), F.coalesce("blanks", F.lit(0)) + last).otherwise(0)
