@@ -180,9 +180,10 @@ def build_questions(
     """Question table from columns(survey_id, col_idx, header, forced_kind) and inferred
     kinds(survey_id, col_idx, kind, chart); derived questions come last."""
     catalogue = F.array(*[_profile_struct(p, i) for i, p in enumerate(profiles)])
-    found = inferred.select(
+    # Inferring reads all responses and the table below uses its few rows twice: kept, it runs once.
+    found = pin(inferred.select(
         "survey_id", "col_idx", F.col("kind").alias("_kind"), F.col("chart").alias("_chart")
-    )
+    ))
     df = (
         match_profiles(columns, profiles)
         .join(found, ["survey_id", "col_idx"], "left")

@@ -258,3 +258,30 @@ def test_names_of_many_headers_are_not_broadcast(spark):
     raw = spark.range(10).select(F.col("id").cast("string").alias("survey_id"), F.posexplode(F.array(F.lit("x"), F.lit("x"))).alias("col_idx", "header_raw"))
     plan = named_columns(raw)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_small_files_share_batches_and_joins_are_not_broadcast(spark):
+    contents = spark.createDataFrame([(str(i), bytearray(b"a;b\n1;2\n3;4\n")) for i in range(500)], "survey_id string, content binary").coalesce(1)
+    lines = dl.content_lines(contents, 2)
+    assert lines.count() == 1500
+    # One batch of lines per file, or per split, made the reader's time.
+    cut = next(iter(contents.select("survey_id", "content").toArrow().to_batches()))
+    assert [b.num_rows for b in dl.cut_contents(iter([cut]), 2)] == [1500]
+    files, _ = dl.profile_files(lines)
+    assert files.where("delimiter = ';' AND utf8 AND ends_lf").count() == 500
+    plan = dl.grown_join(lines, lines.limit(1), "survey_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_kinds_are_inferred_once_for_the_question_table(spark):
+    cols = spark.createDataFrame([("s", 0, "a", None), ("s", 1, "b", None)], "survey_id string, col_idx int, header string, forced_kind string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    made = infer_kinds(spark.createDataFrame([("s", i, True, ["x", str(i)]) for i in range(9)], RESPONSES))
+    assert build_questions(cols, made.mapInArrow(counted, made.schema)).count() == 2
+    assert seen.value == 2
