@@ -15,7 +15,7 @@ from tallyweave.functions.numbers import fixed
 from tallyweave.functions.text import key_of, let, natural_key
 from tallyweave.model import Survey
 from tallyweave.operators.frequency import option_order
-from tallyweave.operators.joins import BROADCAST_ROWS, dim_join
+from tallyweave.operators.joins import BROADCAST_ROWS, dim_join, grown_join, is_small
 from tallyweave.operators.numeric import bin_lookup, looked_up_label, value_counts
 from tallyweave.operators.ranking import ranked
 from tallyweave.operators.units import (
@@ -171,12 +171,16 @@ def _options(units: DataFrame, survey: Survey, spec: DataFrame, layout: DataFram
     return df.drop("_options")
 
 
-def _axis(units: DataFrame, options: DataFrame, side: str, key: str, count: int) -> DataFrame:
-    """Replace one side's raw cells by its options."""
+def _axis(units: DataFrame, options: DataFrame, pairs: DataFrame, side: str, key: str) -> DataFrame:
+    """Replace one side's raw cells by its options; `pairs` are the units with both cells."""
+    keys = pairs.select("survey_id", key).distinct()
     named = options.toDF("survey_id", key, f"{side}_raw", f"{side}_raw2", f"{side}_options")
+    named = dim_join(named, keys, ["survey_id", key], f"{side}_raw", how="left_semi")
     filled = units.withColumn(f"{side}_raw2", F.coalesce(f"{side}_raw2", F.lit(_NO_SECOND)))
-    # A cell that meets very many others is spread over tasks by the number of the pair.
-    joined = dim_join(filled, named, ["survey_id", key, f"{side}_raw", f"{side}_raw2"], "first_id", rows=count)
+    # Cells of one axis may be as many as the pairs, so they are not repeated per salt; the many
+    # pairs of a frequent cell are split by Spark's skew join.
+    on = ["survey_id", key, f"{side}_raw", f"{side}_raw2"]
+    joined = filled.join(F.broadcast(named), on) if is_small(named) else grown_join(filled, named, on)
     return joined.drop(f"{side}_raw", f"{side}_raw2")
 
 
@@ -193,9 +197,9 @@ def crosstab_cube(survey: Survey, pairs: Pairs, value_units: DataFrame | None =
         layout = pin(bin_lookup(values, questions.select("survey_id", "q_key", "unit")))
     units = pin(pair_units(survey, pairs))
     options = pin(_options(units, survey, spec, layout))
-    count = options.limit(BROADCAST_ROWS + 1).count()
+    pairs_of_cells = units
     for side, key in (("r", "row_key"), ("c", "col_key")):
-        units = _axis(units, options, side, key, count)
+        units = _axis(units, options, pairs_of_cells, side, key)
 
     total = F.array(F.lit(None).cast("struct<key:string,label:string>"))
     combos = F.flatten(

@@ -17,6 +17,7 @@ from tallyweave.session import staged
 
 # Cells up to this length are grouped by their text; longer keys and tokens by a digest.
 SHORT_CELL = 64
+# What a counted text is; bits, as one text may be the key of cells and a token of cells.
 _CELL, _KEY, _TOKEN = 0, 1, 2
 _FLAGS = ("filled", "multiline", "parsed", "split_rows")
 
@@ -26,20 +27,20 @@ def _short(text: Column) -> Column:
     return F.when(F.length(text) > SHORT_CELL, F.concat(F.lit("\n"), F.sha2(text, 256))).otherwise(text)
 
 
-def _row(part: int, value: Column, flags: dict[str, Column] | None = None) -> Column:
+def _row(part: int | Column, value: Column, flags: dict[str, Column] | None = None) -> Column:
     made = [F.coalesce((flags or {}).get(name, F.lit(False)), F.lit(False)).alias(name) for name in _FLAGS]
-    return F.struct(F.lit(part).alias("part"), value.cast("string").alias("value"), *made)
+    return F.struct((part if isinstance(part, Column) else F.lit(part)).alias("part"), value.cast("string").alias("value"), *made)
 
 
 def _examined(df: DataFrame, cell: Column) -> DataFrame:
-    """Add `found`: a row for the cell's key with its flags, and one for each distinct token."""
+    """Add `found`: a row for the cell's key with its flags, and one for each other distinct token."""
     safe = F.array(*[F.lit(d) for d in K.SAFE_DELIMITERS])
     raw = F.coalesce(cell, F.lit(""))
     kept = df.columns
     df = df.withColumns({"_raw": raw, "_whole": nfkc(raw), "_joined": joined_text(raw, safe, F.lit(True))})
     df = staged(df, _text=squeeze(F.col("_whole")))
     tokens = F.array_distinct(F.transform(values_of(F.col("_joined"), F.lit(True)), lambda v: _short(key_of(v))))
-    df = staged(df, _filled=~is_blank_norm(F.col("_text")), _tokens=tokens)
+    df = staged(df, _filled=~is_blank_norm(F.col("_text")), _tokens=tokens, _key=_short(key_of(F.col("_text"))))
     filled = F.col("_filled")
     flags = {
         "filled": filled,
@@ -48,8 +49,11 @@ def _examined(df: DataFrame, cell: Column) -> DataFrame:
         "parsed": filled & F.col("_text").rlike("[0-9]"),
         "split_rows": filled & (F.size("_tokens") >= 2),
     }
-    listed = F.transform(F.when(filled, F.col("_tokens")).otherwise(F.array().cast("array<string>")), lambda t: _row(_TOKEN, t))
-    key = F.array(_row(_KEY, F.when(filled, _short(key_of(F.col("_text")))), flags))
+    # Most cells are their own only token: then one row says both.
+    others = F.filter("_tokens", lambda t: t != F.col("_key"))
+    listed = F.transform(F.when(filled, others).otherwise(F.array().cast("array<string>")), lambda t: _row(_TOKEN, t))
+    part = F.when(filled & (F.size(others) < F.size("_tokens")), _KEY | _TOKEN).otherwise(_KEY)
+    key = F.array(_row(part, F.when(filled, F.col("_key")), flags))
     return df.select(*kept, F.concat(key, listed).alias("found"))
 
 
@@ -68,11 +72,12 @@ def column_profile(responses: DataFrame) -> DataFrame:
     itself = F.array(F.struct("part", "value", *_FLAGS))
     rows = again.select(*column, "n", F.inline(F.when(short, F.col("found")).otherwise(itself)))
     tally = lambda name: F.sum(F.when(F.col(name), F.col("n")).otherwise(0)).alias(name)
-    values = rows.groupBy(*column, "part", "value").agg(*[tally(name) for name in _FLAGS])
+    values = rows.groupBy(*column, "value").agg(F.bit_or("part").alias("part"), *[tally(name) for name in _FLAGS])
+    is_a = lambda part: F.col("part").bitwiseAND(part) > 0
     return values.groupBy(*column).agg(
         *[F.sum(name).alias(name) for name in _FLAGS],
-        F.count_if((F.col("part") == _KEY) & F.col("value").isNotNull()).alias("distinct_values"),
-        F.count_if(F.col("part") == _TOKEN).alias("distinct_tokens"),
+        F.count_if(is_a(_KEY) & F.col("value").isNotNull()).alias("distinct_values"),
+        F.count_if(is_a(_TOKEN)).alias("distinct_tokens"),
     )
 
 
