@@ -28,7 +28,7 @@ def named_columns(raw_columns: DataFrame) -> DataFrame:
             F.col("is_empty"), F.concat(F.lit(UNNAMED_COLUMN), (F.col("col_idx") + 1).cast("string"))
         ).otherwise(F.col("_norm")),
     )
-    return unique_names(named, "_named", "header").select(
+    return unique_names(named.drop("_norm"), "_named", "header").select(
         "survey_id", "col_idx", "header_raw", "header", "is_empty",
         (F.col("header") != F.col("_named")).alias("renamed"),
     )
@@ -52,13 +52,19 @@ def detect_layout(columns: DataFrame) -> DataFrame:
     """(survey_id, paired): all management headers present, and a branch-numbered header or a
     numbered header directly followed by an empty one."""
     df = parse_headers(columns)
+    # Rows are sorted as a few small numbers, however long their headers are.
+    df = df.select(
+        "survey_id",
+        "col_idx",
+        "is_empty",
+        F.array_position(F.array(*map(F.lit, MANAGEMENT_HEADERS)), F.col("header_norm")).cast("tinyint").alias("_managed"),
+        F.col("number").isNotNull().alias("_numbered"),
+        F.col("branch").isNotNull().alias("_branched"),
+    )
     nxt = F.lead("is_empty").over(Window.partitionBy("survey_id").orderBy("col_idx"))
     df = df.withColumn("_next", F.coalesce(nxt, F.lit(False)))
-    flags = [
-        F.max(F.col("header_norm") == name).alias(f"_m{i}")
-        for i, name in enumerate(MANAGEMENT_HEADERS)
-    ]
-    is_pair = F.col("number").isNotNull() & (F.col("branch").isNotNull() | F.col("_next"))
+    flags = [F.max(F.col("_managed") == i + 1).alias(f"_m{i}") for i in range(len(MANAGEMENT_HEADERS))]
+    is_pair = F.col("_numbered") & (F.col("_branched") | F.col("_next"))
     found = df.groupBy("survey_id").agg(*flags, F.max(is_pair).alias("_pair"))
     paired = F.col("_pair")
     for i in range(len(MANAGEMENT_HEADERS)):

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -285,3 +287,24 @@ def test_kinds_are_inferred_once_for_the_question_table(spark):
     made = infer_kinds(spark.createDataFrame([("s", i, True, ["x", str(i)]) for i in range(9)], RESPONSES))
     assert build_questions(cols, made.mapInArrow(counted, made.schema)).count() == 2
     assert seen.value == 2
+
+
+def test_layout_is_found_without_sorting_header_texts(spark, capsys):
+    """Detection sorts marks of headers, not their texts, and naming sorts each text no more often than it must."""
+    four = ["作業ID", "作業者", "作業者ページURL", "承認日時"]
+    surveys = {
+        "empty-next": four + ["1. a", ""], "branch": ["2-1. a"] + four, "empty-first": four + ["", "1. a"],
+        "no-number": four + ["a", ""], "three": four[:3] + ["1. a", ""], "other-next": four + ["1. a", "b", ""],
+        "wide": ["作業ＩＤ", *four[1:], "１．" + "長" * 5000, "　"], "repeated": four + ["1. a", "1. a", ""],
+    }
+    rows = [(s, 3 * i, h) for s, names in surveys.items() for i, h in enumerate(names)]
+    cols = named_columns(spark.createDataFrame(rows, "survey_id string, col_idx int, header_raw string"))
+    found = detect_layout(cols)
+    capsys.readouterr()
+    found.explain("formatted")
+    text = capsys.readouterr().out
+    held = [set(re.findall(r"(\w+)#", x)) for x in re.findall(r"\) Sort[^\n]*\nInput[^:]*: \[(.*)\]", text)]
+    assert held == [{"survey_id", "col_idx", "header_raw", "is_empty", "_named"},
+                    {"survey_id", "col_idx", "is_empty", "_managed", "_numbered", "_branched"}]
+    got = {r["survey_id"]: r["paired"] for r in found.collect()}
+    assert got == {s: s in ("empty-next", "branch", "wide", "repeated") for s in surveys}
