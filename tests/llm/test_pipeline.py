@@ -13,7 +13,7 @@ from tests.llm import plain
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables not present")
-TABLES = ("documents", "benchmark", "labels", "pages", "conversations")
+TABLES = ("documents", "benchmark", "labels", "pages", "conversations", "embeddings")
 
 
 @pytest.fixture(scope="module")
