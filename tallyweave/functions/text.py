@@ -17,7 +17,7 @@ from tallyweave.constants import BLANK_TOKEN_MAX, BLANK_TOKENS, HEADER_SYMBOLS,
 
 _WS_REST = "\\t\\u000B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 WS = f"[\\n{_WS_REST}]"
-_INLINE_WS = f"[{_WS_REST}]+"
+INLINE_WS = f"[{_WS_REST}]+"
 
 # Full-width ASCII block U+FF01..U+FF5E sits 0xFEE0 above its ASCII twin.
 _WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "\u3000\u00A0"
@@ -26,7 +26,7 @@ _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + "  "
 # Unicode noncharacter that joins the fragments of a cell, so that one call normalises them all.
 # `protect` hides it in input, behind another noncharacter and a digit.
 SEPARATOR = "\uFDD0"
-_HIDDEN = "\uFDD2"
+HIDDEN = "\uFDD2"
 
 # Ranges whose characters NFKC maps to themselves and never composes with one another.
 INERT_RANGES = (
@@ -55,13 +55,13 @@ def let(value: Column, body) -> Column:
 
 def protect(c: Column) -> Column:
     """Text without SEPARATOR, from which `restore` makes the original again."""
-    escaped = F.replace(F.replace(c, F.lit(_HIDDEN), F.lit(_HIDDEN + "2")), F.lit(SEPARATOR), F.lit(_HIDDEN + "0"))
-    return F.when(c.rlike(f"[{SEPARATOR}{_HIDDEN}]"), escaped).otherwise(c)
+    escaped = F.replace(F.replace(c, F.lit(HIDDEN), F.lit(HIDDEN + "2")), F.lit(SEPARATOR), F.lit(HIDDEN + "0"))
+    return F.when(c.rlike(f"[{SEPARATOR}{HIDDEN}]"), escaped).otherwise(c)
 
 
 def restore(c: Column) -> Column:
-    plain = F.replace(F.replace(c, F.lit(_HIDDEN + "0"), F.lit(SEPARATOR)), F.lit(_HIDDEN + "2"), F.lit(_HIDDEN))
-    return F.when(c.contains(_HIDDEN), plain).otherwise(c)
+    plain = F.replace(F.replace(c, F.lit(HIDDEN + "0"), F.lit(SEPARATOR)), F.lit(HIDDEN + "2"), F.lit(HIDDEN))
+    return F.when(c.contains(HIDDEN), plain).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())
@@ -79,7 +79,7 @@ def squeeze(c: Column) -> Column:
     """White-space rules of a normalised text: single inline spaces, LF line ends, trimmed."""
 
     def rules(t: Column) -> Column:
-        spaced = F.regexp_replace(F.regexp_replace(t, "\\r\\n?", "\n"), _INLINE_WS, " ")
+        spaced = F.regexp_replace(F.regexp_replace(t, "\\r\\n?", "\n"), INLINE_WS, " ")
         return F.trim(F.regexp_replace(spaced, " *\\n *", "\n"), F.lit(" \n"))
 
     # Most answers hold no white space at all; one test then replaces all rules.

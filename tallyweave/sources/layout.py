@@ -7,13 +7,22 @@ plan is worked out on headers only; responses are then folded in place, without
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallyweave.constants import MANAGEMENT_HEADERS, NUMBERED_HEADER, UNNAMED_COLUMN
-from tallyweave.functions.text import SEPARATOR, is_blank_norm, nfkc, norm_text, protect, restore, squeeze
+from tallyweave.constants import BLANK_TOKENS, MANAGEMENT_HEADERS, NUMBERED_HEADER, UNNAMED_COLUMN
+from tallyweave.functions.text import HIDDEN, INLINE_WS, SEPARATOR, norm_text, protect, restore
 from tallyweave.operators.joins import dim_join
 from tallyweave.operators.questions import unique_names
-from tallyweave.session import staged
+from tallyweave.session import pin, staged
+
+# Between the texts of several questions; protected text has no such pair of characters.
+BESIDE = HIDDEN + "1"
 
 
 def named_columns(raw_columns: DataFrame) -> DataFrame:
@@ -117,6 +126,32 @@ def column_plan(columns: DataFrame) -> DataFrame:
     )
 
 
+def _label_folder():
+    # Everything the helper needs is local, so it travels to executors by value.
+    separator, hidden, beside, blanks = SEPARATOR, HIDDEN, BESIDE, frozenset(("", *BLANK_TOKENS))
+    inline, around = re.compile(INLINE_WS), re.compile(" *\\n *")
+
+    def label(text: str) -> str:
+        """As `norm_text` of a protected label."""
+        text = text.replace(hidden + "0", separator).replace(hidden + "2", hidden)
+        text = unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n")
+        return around.sub("\n", inline.sub(" ", text)).strip(" \n")
+
+    def question(labels: str) -> str:
+        kept = dict.fromkeys(v for v in map(label, labels.split(separator)) if v.lower() not in blanks)
+        return "\n".join(kept).replace(hidden, hidden + "2").replace(separator, hidden + "0")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Labels repeat: each different text of a batch is folded once.
+            texts = batch.column("_text").dictionary_encode()
+            made = [beside.join(map(question, text.split(beside))) for text in texts.dictionary.to_pylist()]
+            folded = pc.take(pa.array(made, texts.type.value_type), texts.indices)
+            yield batch.set_column(batch.schema.get_field_index("_text"), "_text", folded)
+
+    return fold
+
+
 def fold_responses(responses: DataFrame, plan: DataFrame, rows: int | None = None) -> DataFrame:
     """Fold cells by the column plan; responses of surveys without a plan pass unchanged.
 
@@ -129,41 +164,29 @@ def fold_responses(responses: DataFrame, plan: DataFrame, rows: int | None = Non
             lambda p: F.struct(p["multiple"].alias("multiple"), p["sources"].alias("sources")),
         ).alias("_plan")
     )
-    # Sources of all multiple-choice questions side by side, and where each question starts.
-    multi = F.filter("_plan", lambda p: p["multiple"])
+    # Multiple-choice questions side by side; a column is its source, or -1, -2, ... for these.
+    place = lambda i: F.size(F.filter(F.slice("_plan", F.lit(1), i + 1), lambda q: q["multiple"]))
     per_survey = per_survey.withColumn(
-        "_wide", F.flatten(F.transform(multi, lambda p: p["sources"]))
+        "_wide", F.transform(F.filter("_plan", lambda p: p["multiple"]), lambda p: p["sources"])
     ).withColumn(
         "_plan",
-        F.transform(
-            "_plan",
-            lambda p, i: F.struct(
-                p["multiple"].alias("multiple"),
-                p["sources"].alias("sources"),
-                F.aggregate(
-                    F.filter(F.slice("_plan", F.lit(1), i), lambda q: q["multiple"]),
-                    F.lit(1),
-                    lambda acc, q: acc + F.size(q["sources"]),
-                ).alias("start"),
-            ),
-        ),
+        F.transform("_plan", lambda p, i: F.when(p["multiple"], -place(i)).otherwise(F.get(p["sources"], F.lit(0)))),
     )
     df = dim_join(responses, per_survey, ["survey_id"], "response_id", rows=rows, how="left")
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
-    wide = F.array_join(F.transform("_wide", lambda i: protect(cell(i))), SEPARATOR)
-    df = staged(df.withColumn("_text", nfkc(wide)), _labels=F.split("_text", SEPARATOR))
+    side_by_side = F.transform("_wide", lambda w: F.array_join(F.transform(w, lambda i: protect(cell(i))), SEPARATOR))
+    # Rows pass through Python whole: beside a column function Spark queues them, on disk if need be.
+    df = df.withColumn("_text", F.array_join(side_by_side, BESIDE)).drop("_wide")
+    df = df.mapInArrow(_label_folder(), df.schema)
+    df = staged(df, _labels=F.split("_text", BESIDE))
 
-    def folded(p: Column) -> Column:
-        own = F.slice("_labels", p["start"], F.size(p["sources"]))
-        kept = F.filter(F.transform(own, lambda v: squeeze(restore(v))), lambda v: ~is_blank_norm(v))
-        return F.when(p["multiple"], F.array_join(F.array_distinct(kept), "\n")).otherwise(
-            cell(F.get(p["sources"], F.lit(0)))
-        )
+    def folded(source: Column) -> Column:
+        return F.when(source < 0, restore(F.get("_labels", -source - 1))).otherwise(cell(source))
 
     cells = F.when(F.col("_plan").isNull(), F.col("cells")).otherwise(
         F.transform("_plan", folded)
     )
-    return df.withColumn("cells", cells).drop("_plan", "_wide", "_text", "_labels")
+    return df.withColumn("cells", cells).drop("_plan", "_text", "_labels")
 
 
 def fold_paired(columns: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +195,8 @@ def fold_paired(columns: DataFrame, responses: DataFrame) -> tuple[DataFrame, Da
     The returned columns are (survey_id, col_idx, header, forced_kind).
     """
     paired = detect_layout(columns).where("paired").select("survey_id")
-    plan = column_plan(columns.join(paired, "survey_id", "left_semi"))
+    # Made of headers only, and read by every pass over the responses.
+    plan = pin(column_plan(columns.join(paired, "survey_id", "left_semi")))
     plain = columns.join(paired, "survey_id", "left_anti").select(
         "survey_id", "col_idx", "header", F.lit(None).cast("string").alias("forced_kind")
     )

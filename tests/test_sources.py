@@ -308,3 +308,23 @@ def test_layout_is_found_without_sorting_header_texts(spark, capsys):
                     {"survey_id", "col_idx", "is_empty", "_managed", "_numbered", "_branched"}]
     got = {r["survey_id"]: r["paired"] for r in found.collect()}
     assert got == {s: s in ("empty-next", "branch", "wide", "repeated") for s in surveys}
+
+
+def test_labels_are_folded_without_a_queue_of_rows(spark):
+    """Beside a column function in Python whole rows are queued, on disk once memory is short."""
+    headers = ["作業ID", "作業者", "作業者ページURL", "承認日時", "1-1. a", "", "1-2. a", "", "2-1. b", "", "3. c", ""]
+    odd = ["", "-", " ＡＢ　c\r\n d ", "AB c\nd", "x\uFDD0y", "\uFDD20", "\uFDD21", "null", None, "ｶﾞ"]
+    rows = [("s", i, True, ["1", "2", "3", "4", "1", a, "1", b, "1", b, "1", a]) for i, (a, b) in enumerate((a, b) for a in odd for b in odd)]
+    other = [("t", 1000, True, ["a", None])]
+    responses = spark.createDataFrame(rows + other, RESPONSES)
+    cols = columns_of(spark, headers).unionByName(columns_of(spark, ["a", "b"], "t"))
+    _, folded = fold_paired(cols, responses)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "MapInArrow" in plan
+    got = {r["response_id"]: r["cells"] for r in folded.collect()}
+    clean = {" ＡＢ　c\r\n d ": "AB c\nd", "-": "", "null": "", None: "", "ｶﾞ": "ガ"}
+    for _, i, _, cells in rows:
+        a, b = (clean.get(cells[j], cells[j]) for j in (5, 7))
+        both = "\n".join(dict.fromkeys(v for v in (a, b) if v))
+        assert got[i] == ["1", "2", "3", "4", both, b, cells[11] or ""]
+    assert got[1000] == ["a", None]
