@@ -13,13 +13,15 @@ from tallyweave.functions.text import (
 )
 
 _QUOTE = '"'
-_STRUCTURE = "[" + "".join("\\" + ch for ch in [*BRACKETS, *BRACKETS.values(), _QUOTE]) + "]"
+STRUCTURE = "[" + "".join("\\" + ch for ch in [*BRACKETS, *BRACKETS.values(), _QUOTE]) + "]"
 _WRAPPED = '^(?:"[^"]*"|“[^"]*”)\\z'
 
 
-def _cutter():
+def cutter():
+    """A function (delimiters, text) -> pieces; delimiters in brackets or quotes do not cut."""
     # Everything the helper needs is local, so it travels to executors by value.
-    openers, closers, quote, sep = dict(BRACKETS), frozenset(BRACKETS.values()), _QUOTE, SEPARATOR
+    openers, closers, quote = dict(BRACKETS), frozenset(BRACKETS.values()), _QUOTE
+    patterns: dict[str, re.Pattern] = {}
 
     def cut(text: str, marks, quotes_count: bool) -> tuple[list[str], bool]:
         """Pieces between delimiters outside brackets and quotes; whether a quote stayed open."""
@@ -40,35 +42,41 @@ def _cutter():
         pieces.append(text[start:])
         return pieces, quoted
 
-    def cut_cells(cells: pd.Series) -> pd.Series:
-        patterns: dict[str, re.Pattern] = {}
+    def pieces_of(delimiters: str, text: str) -> list[str]:
+        if delimiters not in patterns:
+            chars = [*delimiters, *openers, *closers, quote]
+            patterns[delimiters] = re.compile("[" + "".join(map(re.escape, chars)) + "]")
+        pieces, still_open = cut(text, patterns[delimiters], True)
+        if still_open:
+            # A quote that never closes is part of the text (5"monitor): it protects nothing.
+            pieces, _ = cut(text, patterns[delimiters], False)
+        return pieces
+
+    return pieces_of
+
 
+def _cutting():
+    pieces_of, sep = cutter(), SEPARATOR
+
+    def cut_cells(cells: pd.Series) -> pd.Series:
         def one(cell):
             if cell is None:
                 return None
-            delimiters, text = cell.split(sep, 1)
-            if delimiters not in patterns:
-                chars = [*delimiters, *openers, *closers, quote]
-                patterns[delimiters] = re.compile("[" + "".join(map(re.escape, chars)) + "]")
-            pieces, still_open = cut(text, patterns[delimiters], True)
-            if still_open:
-                # A quote that never closes is part of the text (5"monitor): it protects nothing.
-                pieces, _ = cut(text, patterns[delimiters], False)
-            return sep.join(pieces)
+            return sep.join(pieces_of(*cell.split(sep, 1)))
 
         return cells.map(one)
 
     return F.pandas_udf(cut_cells, T.StringType())
 
 
-_cut_structured = _cutter()
+_cut_structured = _cutting()
 
 
 def cut_text(cell: Column, delimiters: Column, active: Column) -> Column:
     """Cell with SEPARATOR at each cut. Only active cells with brackets or quotes leave the JVM."""
     text = F.regexp_replace(cell, "\\r\\n?", "\n")
     marked = F.concat(F.array_join(delimiters, ""), F.lit(SEPARATOR), text)
-    structured = _cut_structured(F.when(active & text.rlike(_STRUCTURE), marked))
+    structured = _cut_structured(F.when(active & text.rlike(STRUCTURE), marked))
     any_of = F.concat(F.lit("[\\Q"), F.array_join(delimiters, ""), F.lit("\\E]"))
     pattern = F.when(F.size(delimiters) == 0, F.lit("(?!)")).otherwise(any_of)
     return F.coalesce(structured, F.regexp_replace(text, pattern, F.lit(SEPARATOR)))
