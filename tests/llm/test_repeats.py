@@ -171,3 +171,30 @@ def test_a_long_line_between_other_lines_is_a_run(spark):
 @pytest.mark.parametrize("operator", [deleted_bytes, deleted_words, line_dedup.report, line_dedup.clean, suffix_repeats.repeat_groups])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], plain.DOCS)).count() == 0
+
+
+def test_chunks_of_a_box_share_rows(spark, monkeypatch):
+    """A row for every chunk and bucket made the rows grow with the square of the texts."""
+    table = mutated(spark)
+    expected = sorted(map(tuple, deleted_bytes(table).collect()))
+    for name, value in (("CHUNK_BYTES", 1500), ("BUCKET_BYTES", 4000), ("CORE_BOXES", 1)):
+        monkeypatch.setattr(exchange, name, value)
+    made, sent = exchange._rows, {}
+    for size in (1, 4):
+        sent[size] = spark.sparkContext.accumulator(0)
+        monkeypatch.setattr(exchange, "BOX_CHUNKS", size)
+        monkeypatch.setattr(exchange, "_rows", lambda parts, box, turn, seen=sent[size]: (seen.add(len(parts)), made(parts, box, turn))[1])
+        assert sorted(map(tuple, deleted_bytes(table).collect())) == expected
+    assert 0 < 3 * sent[4].value < 2 * sent[1].value
+
+
+def test_arrays_of_several_chunks_travel_together():
+    random = np.random.default_rng(3)
+    for most in (5, 4000):
+        parts = {
+            at: [np.sort(random.integers(0, 1 << 32, n, dtype=np.uint32)), random.integers(0, 9, n, dtype=np.uint8), random.integers(-9, 9, n // 2)]
+            for at, n in ((0, most), (2, 1), (7, most // 2))
+        }
+        back = exchange.unpack_parts(exchange.pack_parts(parts))
+        assert list(back) == [0, 2, 7]
+        assert all(x.dtype == y.dtype and np.array_equal(x, y) for at in parts for x, y in zip(back[at], parts[at], strict=True))
